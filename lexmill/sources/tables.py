@@ -46,7 +46,7 @@ def read_named_csv(spark: SparkSession, path: str, schema: T.StructType | str, n
 def clean_csv_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Repair raw lines: trim, drop the space after commas, drop lines that are
     empty or hold no comma, drop one trailing full stop. Other columns stay."""
-    line = F.replace(F.trim(F.col(col)), F.lit(", "), F.lit(","))
+    line = F.replace(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""), F.lit(", "), F.lit(","))
     return (
         lines.withColumn(col, line)
         .where((F.col(col) != "") & F.col(col).contains(","))
