@@ -58,7 +58,7 @@ def subword_tokens(words: DataFrame, vocab: DataFrame, max_chars: int = 100) ->
     longest hit stays, and one fold over the positions walks the word. A word with
     a gap, or longer than ``max_chars``, is [UNK].
     """
-    word = words.select("word", F.length("word").alias("n")).where("n <= max_chars".replace("max_chars", str(max_chars)))
+    word = words.select("word", F.length("word").alias("n")).where(F.col("n") <= max_chars)
     piece = vocab.select(
         F.regexp_replace("piece", "^##", "").alias("chunk"),
         F.col("piece").startswith("##").alias("inner"),

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexmill.plans.registry import ORACLES, QUERIES, Query
 
-AREAS = ("flagship", "scans", "profiling")
+AREAS = ("flagship", "scans", "profiling", "texts")
 
 
 def _load() -> None:

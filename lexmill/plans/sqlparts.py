@@ -35,3 +35,23 @@ TOKENS = f"""tokens AS (
   FROM (SELECT doc_id, {WORDS} AS w FROM documents))"""
 
 COUNTS = TOKENS + ", counts AS (SELECT doc_id, token AS term, count(*) AS tf FROM tokens GROUP BY 1, 2)"
+
+def vocab_sql(min_df: str = "df >= 2", max_df: str = "TRUE", cap: int = 10_000) -> str:
+    return f""", v0 AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM counts GROUP BY 1),
+  vocab AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS term_id, df, tf FROM
+    (SELECT * FROM v0 WHERE {min_df} AND {max_df} ORDER BY tf DESC, term LIMIT {cap}))"""
+
+
+N_DOCS = "(SELECT count(*) FROM documents)"
+VOCAB = COUNTS + vocab_sql()
+IDF = VOCAB + f", weights AS (SELECT *, ln((1 + {N_DOCS}) / (1 + df)) + 1 AS idf FROM vocab)"
+TFIDF = IDF + """, raw AS (SELECT doc_id, term, c.tf, c.tf * idf AS w FROM counts c JOIN weights USING (term)),
+  tfidf AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+
+
+def extremes_sql(src: str, col: str, k_top: int = 20, k_bottom: int = 20, places: int | None = None) -> str:
+    out = f"round({col}, {places})" if places is not None else col
+    return f"""SELECT 'top' AS side, rank, term, {out} AS {col} FROM (SELECT *, row_number() OVER (ORDER BY {col} DESC, term) AS rank FROM {src})
+      WHERE rank <= {k_top} UNION ALL
+      SELECT 'bottom' AS side, rank, term, {out} AS {col} FROM (SELECT *, row_number() OVER (ORDER BY {col}, term) AS rank FROM {src})
+      WHERE rank <= {k_bottom}"""
