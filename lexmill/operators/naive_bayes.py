@@ -8,6 +8,7 @@ and class. No model is fitted in a driver loop and no rows are copied per model.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,11 +31,11 @@ class Variant:
 @dataclass(frozen=True)
 class BayesModel:
     """``table``: (term, ll) with one log likelihood per variant and class;
-    ``prior``: an array value of the same layout; ``classes`` in order."""
+    ``prior``: a list of the same layout; ``classes`` in order."""
 
     classes: list
     table: DataFrame
-    prior: Column
+    prior: list[float]
     n_variants: int = 1
     max_terms: int | None = None
 
@@ -64,23 +65,18 @@ def nb_fit_many(
             for j, (v, c) in enumerate(cells)
         ]
     )
-    sums = materialize(sums, "class_sums")  # read twice: totals and rows
-    totals = sums.agg(F.count(F.lit(1)).alias("size"), *[F.sum(f"s{j}").alias(f"t{j}") for j in range(len(cells))])
-    ll = [
-        F.log((F.col(f"s{j}") + v.alpha) / (F.col(f"_t.t{j}") + F.col("_t.size") * v.alpha))
-        for j, (v, _) in enumerate(cells)
-    ]
-    table = sums.withColumn("_t", totals.select(F.struct("*")).scalar()).select("term", F.array(*ll).alias("ll"))
-
-    never = F.lit(float("-inf"))
-    prior = docs.agg(
-        F.array(
-            *[
-                F.coalesce(F.log(F.count_if(v.member & (F.col(label) == c)) / F.count_if(v.member & F.col(label).isNotNull())), never)
-                for v, c in cells
-            ]
-        )
-    ).scalar()
+    sums = materialize(sums, "class_sums")  # read for the totals and for the rows
+    # A few numbers per class and variant: the fitted parameters of the model.
+    size, *totals = sums.agg(F.count(F.lit(1)), *[F.sum(f"s{j}") for j in range(len(cells))]).first()
+    ll = [F.log((F.col(f"s{j}") + v.alpha) / F.lit(totals[j] + size * v.alpha)) for j, (v, _) in enumerate(cells)]
+    table = sums.select("term", F.array(*ll).alias("ll"))
+
+    known = F.col(label).isNotNull()
+    counted = docs.agg(
+        *[F.count_if(v.member & (F.col(label) == c)) for v, c in cells], *[F.count_if(v.member & known) for v, _ in cells]
+    ).first()
+    pairs = zip(counted[: len(cells)], counted[len(cells):])
+    prior = [math.log(n / whole) if n else -math.inf for n, whole in pairs]
     return BayesModel(classes, table, prior, len(variants), max_terms)
 
 
@@ -94,9 +90,7 @@ def nb_scores(weights: DataFrame, docs: DataFrame, model: BayesModel, key: str =
     n = model.n_variants * len(model.classes)
     joined = weights.select(key, "term", "weight").join(hinted(model.table, model.max_terms), "term")
     sums = joined.groupBy(key).agg(*[F.sum(F.col("weight") * F.get("ll", F.lit(j))).alias(f"j{j}") for j in range(n)])
-    joint = F.zip_with(
-        model.prior, F.array(*[F.coalesce(F.col(f"j{j}"), F.lit(0.0)) for j in range(n)]), lambda a, b: a + b
-    )
+    joint = F.array(*[F.lit(model.prior[j]) + F.coalesce(F.col(f"j{j}"), F.lit(0.0)) for j in range(n)])
     return docs.join(sums, key, "left").select(*docs.columns, joint.alias("joint"))
 
 

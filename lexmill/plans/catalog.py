@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexmill.plans.registry import ORACLES, QUERIES, Query
 
-AREAS = ("flagship", "scans", "profiling", "texts")
+AREAS = ("flagship", "scans", "profiling", "texts", "features", "evaluation", "models", "shaping", "logs", "serving")
 
 
 def _load() -> None:

@@ -9,7 +9,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import encode, profile, shape, tokens
 from lexmill.plans.registry import query
 from lexmill.plans.sqlparts import COUNTS, IDF, TFIDF, TOKENS, VOCAB, WORDS, extremes_sql, vocab_sql
-from lexmill.session import scratch_path
+from lexmill.session import materialize, scratch_path
 from lexmill.sources import tables
 
 CAP = 10_000
@@ -298,17 +298,18 @@ def t18(spark, d):
 
 def pieces_vocab(spark, d):
     """Sub-word pieces from the corpus: every character, frequent starts and ends."""
-    v = vocab(spark, d)
+    v = materialize(vocab(spark, d), "vocab")  # read four times below
     chars = F.explode(F.split(F.regexp_replace("term", "(?s)(.)", "$1\u0001"), "\u0001"))
     single = v.select(chars.alias("c")).where(F.length("c") == 1).distinct()
     starts = v.where(F.length("term") >= 3).groupBy(F.substring("term", 1, 3).alias("p")).count().where("count >= 5")
     ends = v.where(F.length("term") >= 4).groupBy(F.expr("right(term, 3)").alias("p")).count().where("count >= 5")
-    return (
+    pieces = (
         single.where("c <> 'q'").select(F.col("c").alias("piece"))
         .union(single.where("c <> 'z'").select(F.concat(F.lit("##"), "c")))
         .union(starts.select("p")).union(ends.select(F.concat(F.lit("##"), "p")))
         .distinct()
     )
+    return materialize(pieces, "pieces")
 
 
 @query(
