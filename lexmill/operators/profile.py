@@ -14,14 +14,16 @@ from lexmill.functions.joins import null_safe_join
 from lexmill.functions.ordered import ordered_scan
 from lexmill.session import materialize
 
-N = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def yearly_rate(df: DataFrame, ts: str, condition: Column, low: int, high: int) -> DataFrame:
     """Rows and percentage that meets ``condition`` per year in ``low``..``high``."""
     return (
         df.groupBy(F.year(ts).alias("year"))
-        .agg(N.alias("n_rows"), F.round(100 * F.sum(F.when(condition, 1).otherwise(0)) / N, 1).alias("pct"))
+        .agg(rows().alias("n_rows"), F.round(100 * F.sum(F.when(condition, 1).otherwise(0)) / rows(), 1).alias("pct"))
         .where(F.col("year").between(low, high))
         .orderBy("year")
     )
@@ -32,7 +34,7 @@ def dataset_card(df: DataFrame, splits: Sequence[str], split: str = "split", lab
     are reported with ``is_defined`` false."""
     found = (
         df.groupBy(split, label)
-        .agg(N.alias("n"))
+        .agg(rows().alias("n"))
         .groupBy(split)
         .agg(
             F.sum("n").alias("n_rows"),
@@ -59,8 +61,8 @@ def structure_card(df: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
-                N.alias("n_rows"),
-                (N - F.count(f.name)).alias("n_null"),
+                rows().alias("n_rows"),
+                (rows() - F.count(f.name)).alias("n_null"),
                 F.min(size).alias("min_size"),
                 F.max(size).alias("max_size"),
                 F.substring(F.min(F.col(f.name).cast("string")), 1, 40).alias("example"),
@@ -77,12 +79,12 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:
     """Rows per value, null included, most frequent first."""
-    return df.groupBy(*cols).agg(N.alias("n")).orderBy(F.desc("n"), *cols)
+    return df.groupBy(*cols).agg(rows().alias("n")).orderBy(F.desc("n"), *cols)
 
 
 def class_balance(df: DataFrame, *by: str, label: str = "label") -> DataFrame:
     """Rows and percentage of each label inside each group."""
-    counts = df.groupBy(*by, label).agg(N.alias("n"))
+    counts = df.groupBy(*by, label).agg(rows().alias("n"))
     whole = Window.partitionBy(*by)  # one row per label
     return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(whole))
 
@@ -95,7 +97,7 @@ def positive_share(df: DataFrame, label: str = "label", *by: str) -> DataFrame:
 
 def counted_values(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., value, n), written once because quantiles scan it several times."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(N.alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(rows().alias("n"))
     return materialize(counts, "counts")
 
 
@@ -169,7 +171,7 @@ def percentile_of_score(df: DataFrame, col: str, value: float) -> DataFrame:
 
 def fraction_below(df: DataFrame, col: str, sizes: Sequence[float]) -> DataFrame:
     """Share of rows strictly below each threshold, in one pass."""
-    one = df.agg(*[(F.count_if(F.col(col) < s) / N).alias(str(s)) for s in sizes])
+    one = df.agg(*[(F.count_if(F.col(col) < s) / rows()).alias(str(s)) for s in sizes])
     return one.unpivot([], one.columns, "threshold", "share").withColumn("threshold", F.col("threshold").cast("double"))
 
 
@@ -191,7 +193,7 @@ def _binned(df: DataFrame, col: str, edges: DataFrame, by: Sequence[str] = ()) -
     at = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x")).withColumn("_e", e)
     place = F.floor((F.col("_x") - F.col("_e.lo")) * F.col("_e.bins") / (F.col("_e.hi") - F.col("_e.lo")))
     bin_no = F.least(place, F.col("_e.bins") - 1).cast("int")
-    counts = at.groupBy(*by, bin_no.alias("bin")).agg(N.alias("n"))
+    counts = at.groupBy(*by, bin_no.alias("bin")).agg(rows().alias("n"))
     groups = df.select(*by).distinct().withColumn("_e", e) if by else edges.select(F.struct("lo", "hi", "bins").alias("_e"))
     grid = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_e.bins") - 1)))
     width = (F.col("_e.hi") - F.col("_e.lo")) / F.col("_e.bins")
@@ -278,7 +280,7 @@ def feature_stats_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> D
 def feature_stats_string(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per text column: rows, missing, distinct values, top value, mean length."""
     cols = list(cols or string_columns(df))
-    counts = df.select(*cols).unpivot([], cols, "column", "value").groupBy("column", "value").agg(N.alias("n"))
+    counts = df.select(*cols).unpivot([], cols, "column", "value").groupBy("column", "value").agg(rows().alias("n"))
     known = F.col("value").isNotNull()
     best = F.min(F.when(known, F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value"))))
     return counts.groupBy("column").agg(
@@ -313,7 +315,7 @@ def feature_histograms(df: DataFrame, bins: int = 10, cols: Sequence[str] | None
     counts = (
         long.join(F.broadcast(ranges), "column")
         .groupBy("column", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(N.alias("n"))
+        .agg(rows().alias("n"))
     )
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return grid.join(counts, ["column", "bin"], "left").select(

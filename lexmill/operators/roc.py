@@ -57,7 +57,7 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
 def class_scores(df: DataFrame, classes: Sequence, prob: str = "prob", label: str = "label") -> DataFrame:
     """One row per (row, class): the score of the class and whether it is the label."""
     names = F.array(*[F.lit(c) for c in classes])
-    long = df.select(F.col(label).alias("_y"), F.posexplode(prob).alias("_i", "score"))
+    long = df.select(F.col(label).alias("_y"), F.posexplode_outer(prob).alias("_i", "score")).where("_i IS NOT NULL")
     return long.select(F.get(names, F.col("_i")).alias("class"), "score", (F.get(names, F.col("_i")) == F.col("_y")).cast("int").alias("hit"))
 
 

@@ -1,8 +1,9 @@
 """Tokens, vocabularies and term weights as long tables.
 
-Words are extracted before the one exchange on the document key, so every later
-step of a document (counts, weights, norms, scores) runs without another shuffle
-and Spark can reuse that exchange when two branches need the same words.
+Texts are exchanged once on the document key, before they are taken apart: raw text
+is the smallest form, long documents spread out, and every later step of a document
+(counts, weights, norms, scores) runs on that partitioning without another shuffle.
+Spark reuses the exchange when two branches need the same texts.
 """
 
 from __future__ import annotations
@@ -17,31 +18,35 @@ from lexmill.functions.ordered import ordered_scan
 from lexmill.session import materialize
 
 
+def each(df: DataFrame, keys: Sequence[str], words: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per word. The outer form is used because the inner one makes the
+    optimizer compute the words a second time, to filter out empty documents before
+    the exchange; the null row of an empty document is dropped afterwards."""
+    out = F.posexplode_outer(words).alias(pos, name) if pos else F.explode_outer(words).alias(name)
+    return df.select(*keys, out).where(F.col(name).isNotNull())
+
+
 def document_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, words): long texts are spread by key before anything is exploded."""
-    return df.select(key, tx.words(text).alias("words")).repartition(key)
+    """(key, words)."""
+    return df.select(key, text).repartition(key).select(key, tx.words(text).alias("words"))
 
 
 def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, token)."""
-    return df.select(key, F.posexplode(tx.words(text)).alias("pos", "token"))
+    return each(df.select(key, text).repartition(key), [key], tx.words(text), "token", "pos")
 
 
 def term_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf) from documents."""
-    exploded = document_words(df, key, text).select(key, F.explode("words").alias("term"))
+    exploded = each(document_words(df, key, text), [key], F.col("words"), "term")
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def ngram_counts(df: DataFrame, low: int = 1, high: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf) where terms are word n-grams."""
     grams = tx.word_ngrams("words", low, high)
-    return (
-        document_words(df, key, text)
-        .select(key, F.explode(grams).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    exploded = each(document_words(df, key, text), [key], grams, "term")
+    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 # ---- vocabulary -----------------------------------------------------------
@@ -147,7 +152,7 @@ def vocab_report(vocab: DataFrame) -> DataFrame:
 
 def _ranked_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(word, n, neg_n, first_key, first_pos)."""
-    exploded = df.select(key, F.posexplode(tx.index_words(text)).alias("pos", "word"))
+    exploded = each(df.select(key, text).repartition(key), [key], tx.index_words(text), "word", "pos")
     first = F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p")))
     return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select(
         "word", "n", (-F.col("n")).alias("neg_n"), F.col("f.k").alias("first_key"), F.col("f.p").alias("first_pos")
@@ -176,9 +181,9 @@ def to_sequences(df: DataFrame, index: DataFrame, num_words: int = 10_000, key:
     """(key, ids): ids below ``num_words`` in text order, other words dropped."""
     small = index.where(F.col("idx") < num_words).select("word", "idx")
     exploded = (
-        df.select(key, tx.index_words(text).alias("words"))
+        df.select(key, text)
         .repartition(key)
-        .select(key, F.posexplode_outer("words").alias("pos", "word"))
+        .select(key, F.posexplode_outer(tx.index_words(text)).alias("pos", "word"))
     )
     return _gather(exploded.join(hinted(small, num_words), "word", "left"), [key], "idx")
 
@@ -197,9 +202,9 @@ def to_ids(
     words = tx.words(text)
     words = F.slice(words, 1, first) if first is not None else words
     exploded = (
-        df.select(*keys, words.alias("words"))
+        df.select(*keys, text)
         .repartition(*keys)
-        .select(*keys, F.posexplode_outer("words").alias("pos", "term"))
+        .select(*keys, F.posexplode_outer(words).alias("pos", "term"))
     )
     coded = exploded.join(hinted(vocab.select("term", "token_id"), max_features), "term", "left").withColumn(
         "token_id", F.when(F.col("term").isNotNull(), F.coalesce("token_id", F.lit(unk_id)))
@@ -237,7 +242,7 @@ def align_tokens(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFram
 
 def case_collisions(df: DataFrame, text: str = "text") -> DataFrame:
     """Lower-case words that several cased forms share, with those forms."""
-    forms = df.select(F.explode(tx.cased_words(text)).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    forms = each(df, [], tx.cased_words(text), "form").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
     return (
         forms.groupBy(F.lower("form").alias("word"))
         .agg(
@@ -266,7 +271,7 @@ def truncation_report(df: DataFrame, max_len: int = 128, by: str = "lang", text:
 def vector_coverage(df: DataFrame, vectors: DataFrame, by: str = "lang", text: str = "text") -> DataFrame:
     """Share of tokens and of distinct words that have a vector. Words are counted
     first, so the join sees each (group, word) once."""
-    counted = df.select(by, F.explode(tx.words(text)).alias("word")).groupBy(by, "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = each(df, [by], tx.words(text), "word").groupBy(by, "word").agg(F.count(F.lit(1)).alias("n"))
     known = vectors.select("word", F.lit(1).alias("found"))
     joined = counted.join(known, "word", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return joined.groupBy(by).agg(

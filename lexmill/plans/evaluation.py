@@ -35,12 +35,10 @@ QUALITY = CORPUS + """, q0 AS (SELECT doc_id, lang, label, round(1.0::DOUBLE - 1
 def language_scores(spark, d):
     """(doc_id, source, label, prob, prediction) of all documents."""
     low = F.lower("text")
-    hits = [(F.length("text") - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m) + 1.0 for m in MARKS]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    docs = tables.table(spark, d, "documents")
-    scored = docs.select("doc_id", "source", F.col("lang").alias("label"), F.array(*[h / total for h in hits]).alias("prob"))
+    hits = {f"h{i}": (F.length("text") - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m) + 1.0 for i, m in enumerate(MARKS)}
+    docs = tables.table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("label"), "text")
+    counted = docs.withColumns(hits).withColumn("total", F.col("h0") + F.col("h1") + F.col("h2") + F.col("h3"))
+    scored = counted.select("doc_id", "source", "label", F.array(*[F.col(h) / F.col("total") for h in hits]).alias("prob"))
     names = F.array(*[F.lit(x) for x in LANGS])
     return scored.withColumn("prediction", F.get(names, vx.argmax("prob")))
 
