@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Rates by step limit, the base of the exponential schedule, and the
+# amplitude and base of the shrinking one.
+MANUAL_RATES = ((3, 1e-3), (7, 1e-4), (None, 1e-5))
+EXPONENTIAL_BASE = 0.1
+SHRINK_SIZE, SHRINK_BASE = 0.02, 0.5
 KINDS = ("manual", "exponential", "step", "time", "constant", "shrinking")
 
 
@@ -11,9 +16,12 @@ def decay(kind: str, step: Column, lr0: float = 0.1, s: float = 0.5, drop: float
     """Rate at ``step``. ``shrinking`` is ``lr0 + 0.02 * 0.5^(1 + t)``."""
     lr, t = F.lit(float(lr0)), step.cast("double")
     if kind == "manual":
-        return F.when(step < 3, F.lit(1e-3)).when(step < 7, F.lit(1e-4)).otherwise(F.lit(1e-5))
+        rate = F.lit(MANUAL_RATES[-1][1])
+        for limit, value in reversed(MANUAL_RATES[:-1]):
+            rate = F.when(step < limit, F.lit(value)).otherwise(rate)
+        return rate
     if kind == "exponential":
-        return lr * F.pow(F.lit(0.1), t / F.lit(float(s)))
+        return lr * F.pow(F.lit(EXPONENTIAL_BASE), t / F.lit(float(s)))
     if kind == "step":
         return lr * F.pow(F.lit(float(s)), F.floor((t + 1) / F.lit(float(drop))))
     if kind == "time":
@@ -21,7 +29,7 @@ def decay(kind: str, step: Column, lr0: float = 0.1, s: float = 0.5, drop: float
     if kind == "constant":
         return lr
     if kind == "shrinking":
-        return lr + F.lit(0.02) * F.pow(F.lit(0.5), t + 1)
+        return lr + F.lit(SHRINK_SIZE) * F.pow(F.lit(SHRINK_BASE), t + 1)
     raise ValueError(f"unknown schedule {kind!r}")
 
 

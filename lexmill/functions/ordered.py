@@ -39,11 +39,15 @@ def _bounds(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
     return sample.select(F.filter(picks, lambda b: b.isNotNull())).scalar()
 
 
-def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None, hashed: bool = False) -> DataFrame:
     """Add ``_range``: how many cut points are at or below the row's key. Any cut
-    points give right results; good ones give even ranges."""
+    points give right results; good ones give even ranges. ``hashed`` says that the
+    first order column is an md5 text, whose even cut points need no look at the data."""
     order = list(order)
     buckets = buckets or _default_buckets(df)
+    if hashed:
+        head = F.conv(F.substring(order[0], 1, 8), 16, 10).cast("long")
+        return df.withColumn(BUCKET, F.floor(head * buckets / 2**32).cast("int"))
     key = F.col(order[0]) if len(order) == 1 and isinstance(df.schema[order[0]].dataType, _NUMERIC) else F.struct(*order)
     df = df.withColumn("_cuts", _bounds(df, order, buckets)).withColumn("_key", key)
     steps = [2**i for i in reversed(range(max(1, buckets.bit_length())))]
@@ -61,6 +65,7 @@ def ordered_scan(
     order: Sequence[str],
     specs: dict[str, tuple],
     buckets: int | None = None,
+    hashed: bool = False,
 ) -> DataFrame:
     """Add one column per entry of ``specs``: name -> (kind, column).
 
@@ -70,7 +75,7 @@ def ordered_scan(
     and must be unique inside a group.
     """
     by, order = list(by), list(order)
-    rows = range_bucket(df, order, buckets)
+    rows = range_bucket(df, order, buckets, hashed)
     key = F.struct(*order)
     inside = Window.partitionBy(*by, BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -65,7 +65,7 @@ def structure_card(df: DataFrame) -> DataFrame:
                 (rows() - F.count(f.name)).alias("n_null"),
                 F.min(size).alias("min_size"),
                 F.max(size).alias("max_size"),
-                F.substring(F.min(F.col(f.name).cast("string")), 1, 40).alias("example"),
+                F.substring(F.first(f.name, True).cast("string"), 1, 40).alias("example"),
             ).alias(f"c{len(aggs)}")
         )
     one = df.agg(*aggs)

@@ -45,7 +45,7 @@ def stratified_split(df: DataFrame, key: str, label: str, frac: float = 0.5, see
         )
     )
     ranked = ordered_scan(
-        df.withColumn("_shuffle", shuffle_key(key, seed)), [label], ["_shuffle", key], {"_rank": ("row_number",)}
+        df.withColumn("_shuffle", shuffle_key(key, seed)), [label], ["_shuffle", key], {"_rank": ("row_number",)}, hashed=True
     )
     part = F.when(F.col("_rank") <= F.col("_quota"), "train").otherwise("test")
     return null_safe_join(ranked, quota, [label]).select(*df.columns, part.alias("part"))
@@ -78,10 +78,10 @@ def long_documents(df: DataFrame, text: str = "text", n_bytes: int = 7500) -> Da
 
 # ---- indexes, order and batches -------------------------------------------
 
-def with_index(df: DataFrame, order_by: Sequence[str], shift: int | Column = 0, name: str = "idx") -> DataFrame:
+def with_index(df: DataFrame, order_by: Sequence[str], shift: int | Column = 0, name: str = "idx", hashed: bool = False) -> DataFrame:
     """Dense 0-based index in key order, plus ``shift``."""
     moved = shift if isinstance(shift, Column) else F.lit(shift)
-    out = ordered_scan(df, [], order_by, {"_n": ("row_number",)})
+    out = ordered_scan(df, [], order_by, {"_n": ("row_number",)}, hashed=hashed)
     return out.select(*df.columns, (F.col("_n") - 1 + moved).cast("long").alias(name))
 
 
@@ -101,7 +101,7 @@ def shuffle(df: DataFrame, key: str, seed: str = "shuffle") -> DataFrame:
 
 def shuffled_index(df: DataFrame, key: str, seed: str = "shuffle", name: str = "pos") -> DataFrame:
     keyed = df.withColumn("_shuffle", shuffle_key(key, seed))
-    return with_index(keyed, ["_shuffle", key], name=name).drop("_shuffle")
+    return with_index(keyed, ["_shuffle", key], name=name, hashed=True).drop("_shuffle")
 
 
 def batch(df: DataFrame, size: int, key: str, cols: Sequence[str]) -> DataFrame:
@@ -127,7 +127,8 @@ def repeat(df: DataFrame, n: int, key: str, seed: str = "epoch") -> DataFrame:
     """``n`` copies of the rows; every epoch has its own order, given by ``pos``."""
     copies = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col(key).cast("string")))
-    out = ordered_scan(copies.withColumn("_shuffle", order), ["epoch"], ["_shuffle", key], {"_n": ("row_number",)})
+    keyed = copies.withColumn("_shuffle", order)
+    out = ordered_scan(keyed, ["epoch"], ["_shuffle", key], {"_n": ("row_number",)}, hashed=True)
     return out.select(*copies.columns, (F.col("_n") - 1).cast("long").alias("pos"))
 
 

@@ -15,7 +15,7 @@ from lexmill.session import materialize
 def with_fold(df: DataFrame, key: str, label: str, folds: int, seed: str = "fold") -> DataFrame:
     """Stratified folds: inside each label, shuffled rows are dealt out in turn."""
     dealt = ordered_scan(
-        df.withColumn("_shuffle", shuffle_key(key, seed)), [label], ["_shuffle", key], {"_n": ("row_number",)}
+        df.withColumn("_shuffle", shuffle_key(key, seed)), [label], ["_shuffle", key], {"_n": ("row_number",)}, hashed=True
     )
     return dealt.select(*df.columns, ((F.col("_n") - 1) % folds).cast("int").alias("fold"))
 
@@ -126,7 +126,8 @@ def learning_curve(
     copies = dealt.withColumn("train_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("train_fold <> fold")
     order = shuffle_key(F.concat(F.col("train_fold").cast("string"), F.lit("-"), F.col(key).cast("string")), seed)
     ranked = ordered_scan(
-        materialize(copies.withColumn("_shuffle", order), "copies"), ["train_fold"], ["_shuffle", key], {"_n": ("row_number",)}
+        materialize(copies.withColumn("_shuffle", order), "copies"), ["train_fold"], ["_shuffle", key], {"_n": ("row_number",)},
+        hashed=True,
     )
     per_fold = copies.groupBy("train_fold").agg(F.count(F.lit(1)).alias("_size"))
     share = [F.floor(F.col("_size") * F.lit(s)) for s in sizes]

@@ -30,23 +30,34 @@ def local_session(cores: str = "8", app: str = "lexmill", partitions: int = 8) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach. The cluster names it in
-    ``spark.checkpoint.dir``; a temporary folder is used only where that is unset."""
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a temporary folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    made = tempfile.mkdtemp(prefix="lexmill-")
-    sc.setCheckpointDir(made)
-    return (sc.getCheckpointDir() or made).rstrip("/")
+    if not named:
+        named = sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lexmill/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table inside the shared folder."""
-    return f"{shared_dir(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's written tables; call it when results are stored."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators.naive_bayes import TrainedText
 
+# The shape of a log entry and the text of a message.
+SUCCESS_WORD = "successfully"
+MARKS = {"Failed": ":x:", "Succeed": ":white_check_mark:"}
+MESSAGE = "%s Job: %s\nStatus:  %s \nType: %s\nTimestamp: %s\nDetails %s"
 LOG_SCHEMA = "resource STRUCT<type: STRING, labels: STRUCT<job_id: STRING>>, textPayload STRING, timestamp STRING"
 
 
@@ -19,15 +23,13 @@ def job_status(logs: DataFrame, data: str = "data", keep: Sequence[str] = ()) ->
     parsed = logs.select(*keep, entry.alias("e")).select(
         *keep,
         F.col("e.resource.labels.job_id").alias("job_id"),
-        F.when(F.contains("e.textPayload", F.lit("successfully")), "Succeed").otherwise("Failed").alias("status"),
+        F.when(F.contains("e.textPayload", F.lit(SUCCESS_WORD)), "Succeed").otherwise("Failed").alias("status"),
         F.col("e.resource.type").alias("job_type"),
         F.col("e.timestamp").alias("timestamp"),
         F.col("e.textPayload").alias("details"),
     )
-    mark = F.when(F.col("status") == "Failed", ":x:").otherwise(":white_check_mark:")
-    text = F.format_string(
-        "%s Job: %s\nStatus:  %s \nType: %s\nTimestamp: %s\nDetails %s", mark, "job_id", "status", "job_type", "timestamp", "details"
-    )
+    mark = F.when(F.col("status") == "Failed", MARKS["Failed"]).otherwise(MARKS["Succeed"])
+    text = F.format_string(MESSAGE, mark, "job_id", "status", "job_type", "timestamp", "details")
     return parsed.withColumn("message", text).drop("details")
 
 

@@ -107,3 +107,12 @@ def test_percentile_of_score_and_nulls(spark):
     assert profile.percentile_of_score(df, "v", 2.5).first()[0] == 50.0
     counts = {r["column"]: r.n_null for r in profile.null_counts(spark.createDataFrame([(1, None), (None, "a")], "a int, b string")).collect()}
     assert counts == {"a": 1, "b": 1}
+
+
+def test_hashed_order_needs_no_statistics(spark, skewed):
+    keyed = skewed.withColumn("h", F.md5(F.col("id").cast("string")))
+    got = ordered_scan(keyed, ["g"], ["h", "id"], SPECS, 6, hashed=True).withColumn("rn", F.col("rn").cast("long"))
+    want = plain(keyed, ["g"], ["h", "id"])
+    assert got.select(want.columns).exceptAll(want).count() == 0
+    sizes = [r["count"] for r in range_bucket(keyed, ["h"], 6, True).groupBy("_range").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 700
