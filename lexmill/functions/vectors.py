@@ -19,7 +19,8 @@ def norm(a) -> Column:
 
 
 def normalised(a) -> Column:
-    n = norm(a)
+    """Length one; a zero vector stays zero."""
+    n = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
     return F.transform(_col(a), lambda x: x.cast("double") / n)
 
 

@@ -22,15 +22,16 @@ def anchor_projection(df: DataFrame, group: str, pos: str, vec: str) -> DataFram
     ends = df.groupBy(group).agg(F.min_by(vec, pos).alias("b1"), F.max_by(vec, pos).alias("b2"))
     anchors = ends.select(
         group, "b1", "b2", vx.dot("b1", "b1").alias("g11"), vx.dot("b1", "b2").alias("g12"), vx.dot("b2", "b2").alias("g22"),
-        (F.col("b1") == F.col("b2")).alias("same"),
     )
     placed = null_safe_join(df.select(group, pos, vec), anchors, [group]).select(
-        group, pos, "g11", "g12", "g22", "same", vx.dot("b1", vec).alias("x1"), vx.dot("b2", vec).alias("x2")
+        group, pos, "g11", "g12", "g22", vx.dot("b1", vec).alias("x1"), vx.dot("b2", vec).alias("x2")
     )
     det = F.col("g11") * F.col("g22") - F.col("g12") * F.col("g12")
-    half = F.col("x1") / (2 * F.col("g11"))  # a single anchor shares its weight
-    u = F.when(F.col("same"), half).otherwise((F.col("g22") * F.col("x1") - F.col("g12") * F.col("x2")) / det)
-    v = F.when(F.col("same"), half).otherwise((F.col("g11") * F.col("x2") - F.col("g12") * F.col("x1")) / det)
+    # Parallel anchors span a line: the shortest coordinates that reach the point.
+    ratio = F.col("g12") / F.nullif(F.col("g11"), F.lit(0.0))
+    along = F.col("x1") / F.nullif(F.col("g11"), F.lit(0.0)) / (1 + ratio * ratio)
+    u = F.when(det == 0, along).otherwise((F.col("g22") * F.col("x1") - F.col("g12") * F.col("x2")) / det)
+    v = F.when(det == 0, along * ratio).otherwise((F.col("g11") * F.col("x2") - F.col("g12") * F.col("x1")) / det)
     return placed.select(group, pos, u.alias("u"), v.alias("v"))
 
 

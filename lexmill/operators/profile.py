@@ -166,12 +166,12 @@ def percentile_of_score(df: DataFrame, col: str, value: float) -> DataFrame:
     less = F.count_if(x < value)
     less_equal = F.count_if(x <= value)
     bump = F.when(less_equal > less, 1).otherwise(0)
-    return df.agg(((less + less_equal + bump) * 50.0 / F.count(x)).alias("percentile"))
+    return df.agg(((less + less_equal + bump) * 50.0 / F.nullif(F.count(x), F.lit(0))).alias("percentile"))
 
 
 def fraction_below(df: DataFrame, col: str, sizes: Sequence[float]) -> DataFrame:
     """Share of rows strictly below each threshold, in one pass."""
-    one = df.agg(*[(F.count_if(F.col(col) < s) / rows()).alias(str(s)) for s in sizes])
+    one = df.agg(*[(F.count_if(F.col(col) < s) / F.nullif(rows(), F.lit(0))).alias(str(s)) for s in sizes])
     return one.unpivot([], one.columns, "threshold", "share").withColumn("threshold", F.col("threshold").cast("double"))
 
 
@@ -232,7 +232,7 @@ def histogram_density(df: DataFrame, col: str, by: str, bins: int = 50) -> DataF
     edges = _edges(_range_row(df, col).withColumn("bins", F.lit(bins)))
     counts = _binned(df, col, edges, [by])
     whole = Window.partitionBy(by)  # one row per bin
-    return counts.withColumn("density", F.col("n") / (F.sum("n").over(whole) * F.col("width")))
+    return counts.withColumn("density", F.col("n") / (F.nullif(F.sum("n").over(whole), F.lit(0)) * F.col("width")))
 
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -288,7 +288,7 @@ def feature_stats_string(df: DataFrame, cols: Sequence[str] | None = None) -> Da
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_missing"),
         F.count("value").alias("n_unique"),
         best.alias("_best"),
-        (F.sum(F.length("value") * F.col("n")) / F.sum(F.when(known, F.col("n")))).alias("mean_length"),
+        (F.sum(F.length("value") * F.col("n")) / F.nullif(F.sum(F.when(known, F.col("n"))), F.lit(0))).alias("mean_length"),
     ).select(
         "column", "n_rows", "n_missing", "n_unique",
         F.col("_best.value").alias("top_value"), (-F.col("_best.neg")).alias("top_count"), "mean_length",

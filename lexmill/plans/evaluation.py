@@ -13,6 +13,7 @@ from lexmill.functions import vectors as vx
 from lexmill.operators import metrics, naive_bayes, roc, shape
 from lexmill.plans.registry import query
 from lexmill.plans.sqlparts import CORPUS
+from lexmill.session import materialize
 from lexmill.sources import tables
 
 LANGS = ("de", "en", "es", "fr")
@@ -33,14 +34,16 @@ QUALITY = CORPUS + """, q0 AS (SELECT doc_id, lang, label, round(1.0::DOUBLE - 1
 
 
 def language_scores(spark, d):
-    """(doc_id, source, label, prob, prediction) of all documents."""
+    """(doc_id, source, label, prob, prediction) of all documents. The scores are
+    written once: a filter on a computed column would be pushed to the scan and
+    compute every score again."""
     low = F.lower("text")
     hits = {f"h{i}": (F.length("text") - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m) + 1.0 for i, m in enumerate(MARKS)}
     docs = tables.table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("label"), "text")
     counted = docs.withColumns(hits).withColumn("total", F.col("h0") + F.col("h1") + F.col("h2") + F.col("h3"))
     scored = counted.select("doc_id", "source", "label", F.array(*[F.col(h) / F.col("total") for h in hits]).alias("prob"))
     names = F.array(*[F.lit(x) for x in LANGS])
-    return scored.withColumn("prediction", F.get(names, vx.argmax("prob")))
+    return materialize(scored, "scores").withColumn("prediction", F.get(names, vx.argmax("prob")))
 
 
 def _hit_sql(m):

@@ -212,7 +212,8 @@ def test_epoch_timing(spark):
 
 def brute(pdf, k):
     m = np.array(pdf.v.tolist())
-    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    m = m / np.where(size == 0, 1, size)
     cos = np.round(m @ m.T, 9)
     out = set()
     for i in range(len(pdf)):
@@ -227,6 +228,7 @@ def test_neighbours_equal_brute_force(spark, clustered):
     centres = rng.normal(size=(6, 8))
     v = rng.normal(size=(360, 8)) if not clustered else centres[np.arange(360) % 6] + 0.05 * rng.normal(size=(360, 8))
     v[::3] = v[0]  # a third of the rows are copies
+    v[1] = v[2] = 0.0  # and two have no direction
     pdf = pd.DataFrame({"id": np.arange(360), "g": [f"g{(i * 7) % 4}" for i in range(360)], "v": [list(map(float, x)) for x in v]})
     got = embeddings.cross_group_neighbours(spark.createDataFrame(pdf, "id long, g string, v array<double>"), "id", "g", "v", 4, block=16, n_pivots=7)
     assert {(r.key, r["rank"], r.neighbour) for r in got.collect()} == brute(pdf, 4)
@@ -238,12 +240,16 @@ def test_single_group_has_no_neighbours(spark):
 
 
 def test_anchor_projection(spark):
-    df = spark.createDataFrame([("s", 0, [1.0, 2.0, 0.0]), ("s", 1, [0.5, 1.5, 3.0]), ("s", 2, [0.0, 1.0, 1.0]), ("t", 0, [2.0, 0.0, 0.0])],
+    df = spark.createDataFrame([("s", 0, [1.0, 2.0, 0.0]), ("s", 1, [0.5, 1.5, 3.0]), ("s", 2, [0.0, 1.0, 1.0]), ("t", 0, [2.0, 0.0, 0.0]),
+                               ("p", 0, [1.0, 1.0, 0.0]), ("p", 1, [1.0, 0.0, 5.0]), ("p", 2, [2.0, 2.0, 0.0]), ("z", 0, [0.0, 0.0, 0.0])],
                                "g string, pos int, v array<double>")
     got = {(r.g, r.pos): (r.u, r.v) for r in embeddings.anchor_projection(df, "g", "pos", "v").collect()}
     b = np.array([[1.0, 2, 0], [0, 1, 1]])
     assert np.allclose(got[("s", 1)], np.linalg.pinv(b.T) @ np.array([0.5, 1.5, 3.0]))
     assert np.allclose(got[("s", 0)], (1, 0)) and np.allclose(got[("s", 2)], (0, 1)) and np.allclose(got[("t", 0)], (0.5, 0.5))
+    parallel = np.array([[1.0, 1, 0], [2, 2, 0]])
+    assert np.allclose(got[("p", 1)], np.linalg.pinv(parallel.T) @ np.array([1.0, 0, 5]))
+    assert got[("z", 0)] == (None, None)
 
 
 # ---- pipelines and streams ------------------------------------------------
