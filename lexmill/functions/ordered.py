@@ -47,7 +47,7 @@ def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None
     buckets = buckets or _default_buckets(df)
     if hashed:
         head = F.conv(F.substring(order[0], 1, 8), 16, 10).cast("long")
-        return df.withColumn(BUCKET, F.floor(head * buckets / 2**32).cast("int"))
+        return df.withColumn(BUCKET, F.coalesce(F.floor(head * buckets / 2**32).cast("int"), F.lit(0)))
     key = F.col(order[0]) if len(order) == 1 and isinstance(df.schema[order[0]].dataType, _NUMERIC) else F.struct(*order)
     df = df.withColumn("_cuts", _bounds(df, order, buckets)).withColumn("_key", key)
     steps = [2**i for i in reversed(range(max(1, buckets.bit_length())))]
@@ -56,7 +56,8 @@ def range_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None
         F.lit(0),
         lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col("_key"), at + step).otherwise(at),
     )
-    return df.withColumn(BUCKET, found).drop("_cuts", "_key")
+    # never null, so that the join on the range adds no filter that computes it again
+    return df.withColumn(BUCKET, F.coalesce(found, F.lit(0))).drop("_cuts", "_key")
 
 
 def ordered_scan(
@@ -73,6 +74,9 @@ def ordered_scan(
     ``min_before`` (row excluded), ``lag``, ``lead``, ``last`` (latest non-null up
     to the row), ``next`` (first non-null from the row on). ``order`` is ascending
     and must be unique inside a group.
+
+    The input is read three times (cut points, range totals, rows), the first two with
+    few columns: pass a stored table, or a ``materialize``d one when it is costly.
     """
     by, order = list(by), list(order)
     rows = range_bucket(df, order, buckets, hashed)

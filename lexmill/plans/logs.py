@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import telemetry
 from lexmill.plans.registry import query
 from lexmill.plans.shaping import STEPS
-from lexmill.session import scratch_path
+from lexmill.session import materialize, scratch_path
 from lexmill.sources import scalars, tables
 
 
@@ -15,6 +15,12 @@ def events(spark, d):
     return tables.table(spark, d, "events")
 
 
+def stored_steps(spark, d):
+    """(run, step, value), written once: an ordered scan reads its input three times,
+    and the numbering of the steps is itself one."""
+    return materialize(scalars.run_steps(events(spark, d)).select("run", "step", "value"), "steps")
+
+
 SCALARS = """sc AS (SELECT user_id AS run, event_type AS tag, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS step, "value" FROM events)"""
 
 
@@ -131,7 +137,7 @@ def w5(spark, d):
         FROM sm JOIN st USING (run) WHERE n > 10 AND n < stop""",
 )
 def w6(spark, d):
-    losses = scalars.run_steps(events(spark, d)).select("run", F.col("step").alias("n"), F.col("value").alias("loss"))
+    losses = stored_steps(spark, d).select("run", F.col("step").alias("n"), F.col("value").alias("loss"))
     return telemetry.lr_finder(losses).select("run", "n", F.round(F.log("lr"), 6).alias("log_lr"), F.round("smooth", 6).alias("smooth"))
 
 
@@ -141,5 +147,4 @@ def w6(spark, d):
         SELECT run, (step - 1) // 10 AS epoch, step, round(jump, 6) AS jump FROM l WHERE step % 10 = 1 AND step > 1""",
 )
 def w7(spark, d):
-    steps = scalars.run_steps(events(spark, d)).select("run", "step", "value")
-    return telemetry.epoch_jumps(steps, 10).withColumn("jump", F.round("jump", 6))
+    return telemetry.epoch_jumps(stored_steps(spark, d), 10).withColumn("jump", F.round("jump", 6))
