@@ -1 +1 @@
-"""lexmill: corpus operators for labelled multilingual text, written for Spark."""
+"""lexmill: corpus operators for labelled text in several languages, on Spark."""
