@@ -103,7 +103,7 @@ f AS (SELECT *, cap / weight AS ratio, sum(cap) OVER o AS caps, sum(weight) OVER
 v AS (SELECT *, (total - (caps - cap)) / (weights - (used - weight)) AS level FROM f),
 m AS (SELECT arg_min(level, (ratio, k)) AS level FROM v WHERE level <= ratio),
 g AS (SELECT source, k, source_size, coalesce(least(cap, m.level * weight), 0.0) AS target FROM r, m),
-u AS (SELECT k, u, size, source_size, target, count(*) * size AS words FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+u AS (SELECT k, u, size, source_size, target, count(*) * size AS words FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY k, u, size, source_size, target),
 c AS (SELECT *, sum(words) OVER (PARTITION BY k ORDER BY u, size) - words AS placed, floor(target / nullif(source_size, 0)) AS q FROM u),
 n AS (SELECT *, CASE WHEN target > 0 THEN least(q + CASE WHEN placed + words / 2 < target - q * source_size THEN 1 ELSE 0 END, 3) ELSE 0 END AS copies FROM c)
 SELECT d.doc_id, d.size, n.source_size, n.target, (d.size * n.copies)::BIGINT AS taken
