@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm.registry import query
 from lexmill.llm.sharding import kd_shards
+from lexmill.llm.toxicity import fit_toxicity, score_toxicity
 from lexmill.llm.urlfilter import judge_urls
 
 
@@ -95,3 +96,9 @@ FROM p LEFT JOIN hit ON hit.a = p.key"""
 @query("op4_url_filters", OP4_SQL)
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
