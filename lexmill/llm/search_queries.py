@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexmill.llm.maintext import main_text
 from lexmill.llm.registry import query
 from lexmill.llm.sharding import kd_shards
 from lexmill.llm.toxicity import fit_toxicity, score_toxicity
@@ -102,3 +103,8 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
