@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexmill.llm.covertree import near_vectors
 from lexmill.llm.maintext import main_text
 from lexmill.llm.registry import query
 from lexmill.llm.sharding import kd_shards
@@ -108,3 +109,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_html_text")
 def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
+
+
+OP5_SQL = """
+WITH v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+l AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links FROM v LEFT JOIN n USING (k)"""
+
+
+@query("op5_embedding_groups")
+def op5_embedding_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
