@@ -154,7 +154,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     gone = lines.groupBy("end").agg(F.collect_list("p").alias("p"))
     places = seq.select(*_KEY, "_at", "_end").join(gone, F.col("_end") == F.col("end"))
     marks = materialize(places.select(*_KEY, F.transform("p", lambda p: (p - F.col("_at")).cast("int")).alias("_gone")), "gone")
-    joined = _keyed(docs).join(marks, _KEY, "left").drop(*_KEY)
+    # one strategy at every size: the marks grow with the documents
+    joined = _keyed(docs).join(marks.hint("merge"), _KEY, "left").drop(*_KEY)
     names = docs.columns
 
     def rebuild(batches):
