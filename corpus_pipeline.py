@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,11 +16,29 @@ from lexmill.llm.simhash import simhash_groups
 from lexmill.session import scratch_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+USED = ("doc_id", "text", "source", "n_chars")
+
+
+def same_columns(stage: Stage) -> Stage:
+    """Let a stage see columns it does not use under neutral names, so that no name of an
+    input clashes with one of its own, and give them back as they were."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        neutral = [c if c in USED else f"other{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*neutral), sf_dir).select(*neutral).toDF(*docs.columns)
+
+    return run_stage
+
+
+@same_columns
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and repeat little of themselves."""
     return judge_quality(docs).where("_kept").select(*docs.columns)
 
 
+@same_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without line runs seen before; a document with no line left goes."""
     rows = dedup_lines(docs)
@@ -28,6 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*docs.columns)
 
 
+@same_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id; a group without ids stays whole."""
     groups = simhash_groups(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
@@ -36,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.unionByName(docs.where(unnamed))
 
 
+@same_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, in training order."""
     return mix(docs).select(*docs.columns)
