@@ -112,15 +112,19 @@ def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
-  AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
-n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links FROM v LEFT JOIN n USING (k)"""
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a),
+reach(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+c AS (SELECT reach.a AS k, min(v.vec_id) AS low FROM reach JOIN v ON v.k = reach.b GROUP BY reach.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id,
+  coalesce(vec_id = coalesce(low, vec_id), false) AS kept
+FROM v LEFT JOIN n USING (k) LEFT JOIN c USING (k)"""
 
 
-@query("op5_embedding_groups")
+@query("op5_embedding_groups", OP5_SQL)
 def op5_embedding_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
