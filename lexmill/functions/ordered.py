@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-BUCKET = "_range"
+BUCKET, GROUP = "_range", "_group_key"
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
@@ -79,61 +79,68 @@ def ordered_scan(
     few columns: pass a stored table, or a ``materialize``d one when it is costly.
     """
     by, order = list(by), list(order)
-    rows = range_bucket(df, order, buckets, hashed)
+    rows = range_bucket(df, order, buckets, hashed).withColumn(GROUP, F.struct(*by) if by else F.lit(0))
     key = F.struct(*order)
-    inside = Window.partitionBy(*by, BUCKET).orderBy(*order)
+    inside = Window.partitionBy(GROUP, BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = Window.partitionBy(*by).orderBy(BUCKET)
+    ranges = Window.partitionBy(GROUP).orderBy(BUCKET)
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
     after = ranges.rowsBetween(1, Window.unboundedFollowing)
 
-    aggs, carries, finals = [], [], []
+    aggs, carries, locals_, finals = [], [], [], []
     for i, (name, spec) in enumerate(specs.items()):
         kind = spec[0]
         c = (F.col(spec[1]) if isinstance(spec[1], str) else spec[1]) if len(spec) > 1 else F.lit(1)
-        part, carry = f"_part{i}", f"_carry{i}"
+        part, carry, own, edge = f"_part{i}", f"_carry{i}", f"_own{i}", f"_edge{i}"
+        at_edge = None
         if kind == "row_number":
             aggs.append(F.count(F.lit(1)).alias(part))
             carries.append(F.coalesce(F.sum(part).over(before), F.lit(0)).alias(carry))
-            out = F.row_number().over(inside) + F.col(carry)
+            local, out = F.row_number().over(inside), F.col(own) + F.col(carry)
         elif kind == "sum":
             aggs.append(F.sum(c).alias(part))
             carries.append(F.coalesce(F.sum(part).over(before), F.lit(0)).alias(carry))
-            out = F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.col(carry)
+            local, out = F.coalesce(F.sum(c).over(upto), F.lit(0)), F.col(own) + F.col(carry)
         elif kind in ("min", "min_before"):
             aggs.append(F.min(c).alias(part))
             carries.append(F.min(part).over(before).alias(carry))
             frame = upto if kind == "min" else inside.rowsBetween(Window.unboundedPreceding, -1)
-            out = F.least(F.min(c).over(frame), F.col(carry))
+            local, out = F.min(c).over(frame), F.least(F.col(own), F.col(carry))
         elif kind == "lag":
             aggs.append(F.max_by(c, key).alias(part))
             carries.append(F.lag(part).over(ranges).alias(carry))
-            out = F.when(F.row_number().over(inside) == 1, F.col(carry)).otherwise(F.lag(c).over(inside))
+            at_edge = F.row_number().over(inside) == 1
+            local, out = F.lag(c).over(inside), F.when(F.col(edge), F.col(carry)).otherwise(F.col(own))
         elif kind == "lead":
             aggs.append(F.min_by(c, key).alias(part))
             carries.append(F.lead(part).over(ranges).alias(carry))
-            out = F.when(F.lead(F.lit(1)).over(inside).isNull(), F.col(carry)).otherwise(F.lead(c).over(inside))
+            at_edge = F.lead(F.lit(1)).over(inside).isNull()
+            local, out = F.lead(c).over(inside), F.when(F.col(edge), F.col(carry)).otherwise(F.col(own))
         elif kind == "last":
             aggs.append(F.max_by(c, F.when(c.isNotNull(), key)).alias(part))
             carries.append(F.last(part, True).over(before).alias(carry))
-            out = F.coalesce(F.last(c, True).over(upto), F.col(carry))
+            local, out = F.last(c, True).over(upto), F.coalesce(F.col(own), F.col(carry))
         elif kind == "next":
             aggs.append(F.min_by(c, F.when(c.isNotNull(), key)).alias(part))
             carries.append(F.first(part, True).over(after).alias(carry))
             ahead = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-            out = F.coalesce(F.first(c, True).over(ahead), F.col(carry))
+            local, out = F.first(c, True).over(ahead), F.coalesce(F.col(own), F.col(carry))
         else:
             raise ValueError(f"unknown scan kind {kind!r}")
+        locals_.append(local.alias(own))
+        if at_edge is not None:
+            locals_.append(at_edge.alias(edge))
         finals.append(out.alias(name))
 
-    totals = rows.groupBy(*by, BUCKET).agg(*aggs)
-    renamed = [F.col(c).alias(f"_by{j}") for j, c in enumerate([*by, BUCKET])]
-    carried = totals.select(*renamed, *carries)
-    if not by:
+    totals = rows.groupBy(GROUP, BUCKET).agg(*aggs)
+    carried = totals.select(GROUP, BUCKET, *carries)
+    # The window comes first: the join then finds the rows already dealt by (group, range)
+    # and only the carries, one row per group and range, are exchanged for it. A null
+    # group is a struct with a null field, which is equal to itself.
+    local_rows = rows.select("*", *locals_)
+    if by:
+        met = local_rows.join(carried, [GROUP, BUCKET])
+    else:
         # one row per range: bounded by the number of ranges, not by the data
-        carried = F.broadcast(carried)
-    same = F.lit(True)
-    for j, c in enumerate([*by, BUCKET]):
-        test = rows[c].eqNullSafe(carried[f"_by{j}"]) if c != BUCKET else rows[c] == carried[f"_by{j}"]
-        same = test if j == 0 else same & test
-    return rows.join(carried, same).select(*[F.col(c) for c in df.columns], *finals)
+        met = local_rows.join(F.broadcast(carried.drop(GROUP)), BUCKET)
+    return met.select(*[F.col(c) for c in df.columns], *finals)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -82,11 +83,25 @@ def cased_words(col) -> Column:
     return F.regexp_extract_all(_col(col), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def _accents() -> tuple[str, str]:
+    """Characters to replace and to drop, from the decompositions of the character
+    database: a letter with marks becomes the letter, a mark of its own goes."""
+    bare, marked = [], []
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        whole = unicodedata.normalize("NFD", chr(code))
+        if len(whole) > 1 and all(unicodedata.combining(c) for c in whole[1:]):
+            marked.append(chr(code))
+            bare.append(whole[0])
+    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
+    return "".join(marked) + marks, "".join(bare)
+
+
+ACCENTS = _accents()
+
+
 def strip_accents(col) -> Column:
-    """Latin letters without their marks; the lists pair by position."""
-    marked = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(_col(col), marked, plain)
+    """Letters without their marks; ``translate`` drops what has no partner."""
+    return F.translate(_col(col), *ACCENTS)
 
 
 def index_words(col) -> Column:

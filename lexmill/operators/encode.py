@@ -50,15 +50,17 @@ def token_detail(encoded: DataFrame, vocab: DataFrame, keys: Sequence[str], n: i
     )
 
 
-def subword_tokens(words: DataFrame, vocab: DataFrame, max_chars: int = 100) -> DataFrame:
+def subword_tokens(words: DataFrame, vocab: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(word, pieces) by greedy longest match.
 
     ``words`` holds distinct words, ``vocab`` the pieces, continuations marked by
     '##'. Every substring of a word is looked up by an equi-join; per start only the
     longest hit stays, and one fold over the positions walks the word. A word with
-    a gap, or longer than ``max_chars``, is [UNK].
+    a gap, or longer than ``max_chars`` if that is given, is [UNK].
     """
-    word = words.select("word", F.length("word").alias("n")).where(F.col("n") <= max_chars)
+    word = words.select("word", F.length("word").alias("n"))
+    if max_chars is not None:
+        word = word.where(F.col("n") <= max_chars)
     piece = vocab.select(
         F.regexp_replace("piece", "^##", "").alias("chunk"),
         F.col("piece").startswith("##").alias("inner"),

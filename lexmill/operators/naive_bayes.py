@@ -52,7 +52,7 @@ def label_classes(docs: DataFrame, label: str = "label") -> list:
 
 def nb_fit_many(
     weights: DataFrame, docs: DataFrame, variants: Sequence[Variant], key: str = "doc_id", label: str = "label",
-    max_terms: int | None = 10_000,
+    max_terms: int | None = None,
 ) -> BayesModel:
     """``weights`` (key, term, weight) joined to ``docs`` (key, label, ...); the
     member conditions refer to columns of ``docs``."""
@@ -80,7 +80,7 @@ def nb_fit_many(
     return BayesModel(classes, table, prior, len(variants), max_terms)
 
 
-def nb_fit(weights: DataFrame, docs: DataFrame, alpha: float = 1.0, key: str = "doc_id", label: str = "label", max_terms: int | None = 10_000) -> BayesModel:
+def nb_fit(weights: DataFrame, docs: DataFrame, alpha: float = 1.0, key: str = "doc_id", label: str = "label", max_terms: int | None = None) -> BayesModel:
     return nb_fit_many(weights, docs, [Variant(F.lit(True), alpha)], key, label, max_terms)
 
 
@@ -123,7 +123,7 @@ class TrainedText:
     norm: str | None = "l2"
 
     def features(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        return tokens.transform_features(df, self.weights, self.norm, key, text)
+        return tokens.transform_features(df, self.weights, self.norm, key, text, self.model.max_terms)
 
     def predict(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
         docs = df.select(key, *keep)
@@ -131,7 +131,7 @@ class TrainedText:
 
 
 def train(
-    df: DataFrame, min_df: float | int = 1, max_df: float | int = 1.0, max_features: int = 10_000, norm: str | None = "l2",
+    df: DataFrame, min_df: float | int = 1, max_df: float | int = 1.0, max_features: int | None = 10_000, norm: str | None = "l2",
     alpha: float = 1.0, key: str = "doc_id", text: str = "text", label: str = "label",
 ) -> TrainedText:
     """Fit vocabulary, weights and model on labelled documents."""

@@ -52,8 +52,9 @@ def dataset_card(df: DataFrame, splits: Sequence[str], split: str = "split", lab
     )
 
 
-def structure_card(df: DataFrame) -> DataFrame:
-    """Per column: type, rows, nulls, and the shortest and longest array."""
+def structure_card(df: DataFrame, key: str) -> DataFrame:
+    """Per column: type, rows, nulls, the shortest and longest array, and the value of
+    the row with the lowest key that has one."""
     aggs = []
     for f in df.schema.fields:
         size = F.size(f.name).cast("long") if isinstance(f.dataType, (T.ArrayType, T.MapType)) else F.lit(None).cast("long")
@@ -65,13 +66,18 @@ def structure_card(df: DataFrame) -> DataFrame:
                 (rows() - F.count(f.name)).alias("n_null"),
                 F.min(size).alias("min_size"),
                 F.max(size).alias("max_size"),
-                F.substring(F.first(f.name, True).cast("string"), 1, 40).alias("example"),
+                F.min_by(f.name, F.when(F.col(f.name).isNotNull(), F.col(key))).cast("string").alias("example"),
             ).alias(f"c{len(aggs)}")
         )
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
 
 
+def sample_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows with the lowest keys, as a reader would look at first."""
+    return df.orderBy(key).limit(n)
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     return one.unpivot([], one.columns, "column", "n_null")

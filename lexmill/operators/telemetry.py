@@ -6,9 +6,10 @@ order inside a run goes through ``ordered_scan``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lexmill.functions.decay import decay, decay_per_n
 from lexmill.functions.joins import null_safe_join
@@ -56,39 +57,41 @@ def final_metric(df: DataFrame, by: Sequence[str], step: str = "step", value: st
     return df.groupBy(*by).agg(F.max(step).alias("last_step"), F.max_by(value, step).alias("final_value"))
 
 
-def smoothed_loss(df: DataFrame, beta: float = 0.98, chunk: int = 5000) -> DataFrame:
-    """(run, n, loss, smooth): bias-corrected exponential average of the losses.
+def smoothed_loss(df: DataFrame, beta: float = 0.98, chunk: int | None = None) -> DataFrame:
+    """(run, n, loss, smooth): bias-corrected exponential average of the losses; ``n``
+    counts a run's steps from 1.
 
-    The average is a weighted sum, so steps are cut into chunks: inside a chunk it is
-    a running sum, and one short fold per run carries it from chunk to chunk.
+    The average is a weighted sum, so steps are cut into chunks: inside a chunk it is a
+    running sum of losses scaled by ``beta ** -j``. A chunk is as long as that factor
+    stays a finite number (about ``600 / -ln(beta)`` steps), so what reaches past the next
+    chunk is below the precision of a double and only the end of the chunk before counts.
+    A shorter ``chunk`` is exact only while ``beta ** chunk`` is that small.
     """
-    part = F.floor((F.col("n") - 1) / chunk).cast("int")
+    if not 0 <= beta < 1:
+        raise ValueError("beta must be in [0, 1)")
+    chunk = chunk or (max(1, int(600 / -math.log(beta))) if beta > 0 else 1)
+    fade = F.lit(float(beta))
+    part = F.floor((F.col("n") - 1) / chunk)
     j = (F.col("n") - 1) % chunk
-    rows = df.select("run", "n", "loss", part.alias("part"), j.alias("j"), (F.col("loss") * F.pow(F.lit(beta), -j)).alias("scaled"))
-    from pyspark.sql import Window
-
+    rows = df.select("run", "n", "loss", part.alias("part"), j.alias("j"), (F.col("loss") * F.pow(fade, -j)).alias("scaled"))
     w = Window.partitionBy("run", "part").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = rows.withColumn("inside", (1 - beta) * F.pow(F.lit(beta), F.col("j")) * F.sum("scaled").over(w))
-    ends = rows.groupBy("run", "part").agg(
-        ((1 - beta) * F.pow(F.lit(beta), F.max("j")) * F.sum("scaled")).alias("end"), F.max("j").alias("last_j")
+    inside = rows.withColumn("inside", (1 - beta) * F.pow(fade, F.col("j")) * F.sum("scaled").over(w))
+    ends = rows.groupBy("run", "part").agg(((1 - beta) * F.pow(fade, F.max("j")) * F.sum("scaled")).alias("carry"))
+    ends = ends.select("run", (F.col("part") + 1).alias("part"), "carry")  # what the next chunk starts from
+    average = F.col("inside") + F.coalesce("carry", F.lit(0.0)) * F.pow(fade, F.col("j") + 1)
+    return inside.join(ends, ["run", "part"], "left").select(
+        "run", "n", "loss", (average / (1 - F.pow(fade, F.col("n")))).alias("smooth")
     )
-    packed = ends.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("part", "end", "last_j"))).alias("ends"))
-    state = F.struct(F.lit(0.0).alias("avg"), F.array().cast("array<double>").alias("before"))
 
-    def fold(acc, e):
-        moved = acc["avg"] * F.pow(F.lit(beta), e["last_j"] + 1) + e["end"]
-        return F.struct(moved.alias("avg"), F.array_append(acc["before"], acc["avg"]).alias("before"))
 
-    carried = packed.select("run", F.posexplode(F.aggregate("ends", state, fold)["before"]).alias("part", "carry"))
-    average = F.col("inside") + F.col("carry") * F.pow(F.lit(beta), F.col("j") + 1)
-    return inside.join(carried, ["run", "part"]).select(
-        "run", "n", "loss", (average / (1 - F.pow(F.lit(beta), F.col("n")))).alias("smooth")
-    )
+# Fixed values of a learning-rate scan: fade of the average, stop factor, first and last
+# rate, updates between them, points left out at the start.
+SCAN = {"beta": 0.98, "stop_factor": 4.0, "start_lr": 1e-10, "end_lr": 10.0, "updates": 3900, "skip": 10}
 
 
 def lr_finder(
-    df: DataFrame, beta: float = 0.98, stop_factor: float = 4.0, start_lr: float = 1e-10, end_lr: float = 10.0,
-    updates: int = 3900, skip: int = 10,
+    df: DataFrame, beta: float = SCAN["beta"], stop_factor: float = SCAN["stop_factor"], start_lr: float = SCAN["start_lr"],
+    end_lr: float = SCAN["end_lr"], updates: int = SCAN["updates"], skip: int = SCAN["skip"],
 ) -> DataFrame:
     """(run, n, lr, smooth) of a learning-rate scan over (run, n, loss): the scan
     stops at the first smoothed loss above ``stop_factor`` times the best one before

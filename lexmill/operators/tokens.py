@@ -86,9 +86,10 @@ def idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def tfidf(
-    counts: DataFrame, weights: DataFrame, norm: str | None = "l2", key: str = "doc_id", max_features: int | None = 10_000
+    counts: DataFrame, weights: DataFrame, norm: str | None = "l2", key: str = "doc_id", max_features: int | None = None
 ) -> DataFrame:
-    """(key, term, tf, weight); terms outside the vocabulary are dropped."""
+    """(key, term, tf, weight); terms outside the vocabulary are dropped. ``max_features``
+    is the cap that ``weights`` was built with; without it nothing is broadcast by hint."""
     raw = counts.join(hinted(weights.select("term", "idf"), max_features), "term").withColumn(
         "weight", F.col("tf") * F.col("idf")
     )
@@ -99,9 +100,11 @@ def tfidf(
     return raw.select(key, "term", "tf", "weight")
 
 
-def transform_features(df: DataFrame, weights: DataFrame, norm: str | None = "l2", key: str = "doc_id", text: str = "text") -> DataFrame:
+def transform_features(
+    df: DataFrame, weights: DataFrame, norm: str | None = "l2", key: str = "doc_id", text: str = "text", max_features: int | None = None
+) -> DataFrame:
     """Weights of unseen texts under a fitted vocabulary."""
-    return tfidf(term_counts(df, key, text), weights, norm, key)
+    return tfidf(term_counts(df, key, text), weights, norm, key, max_features)
 
 
 # ---- reports --------------------------------------------------------------

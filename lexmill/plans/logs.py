@@ -43,12 +43,12 @@ def s14b(spark, d):
     )
 
 
-@query("s15_write_history", f'WITH {STEPS} SELECT (run % 10)::INTEGER AS run, step, tag, "value", event_id FROM steps')
+@query("s15_write_history", f'WITH {STEPS} SELECT run, step, tag, "value", event_id FROM steps')
 def s15(spark, d):
     path = scratch_path(spark, "history")
     steps = scalars.run_steps(events(spark, d))
-    scalars.write_history(steps.select((F.col("run") % 10).alias("run"), "step", "tag", "value", "event_id"), path)
-    return scalars.read_history(spark, path).select(F.col("run").cast("int").alias("run"), "step", "tag", "value", "event_id")
+    scalars.write_history(steps.select("run", "step", "tag", "value", "event_id"), path)
+    return scalars.read_history(spark, path).select("run", "step", "tag", "value", "event_id")
 
 
 @query(

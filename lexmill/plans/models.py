@@ -80,12 +80,12 @@ def m3b(spark, d):
 
 @query(
     "m7_softmax_argmax",
-    """WITH x AS (SELECT vec_id, embedding[1:4] AS v, list_max(embedding[1:4]) AS top FROM embeddings),
+    """WITH x AS (SELECT vec_id, embedding AS v, list_max(embedding) AS top FROM embeddings),
        e AS (SELECT vec_id, v, list_transform(v, lambda z: exp(z::DOUBLE - top::DOUBLE)) AS e FROM x)
        SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS top_prob, (list_position(v, list_max(v)) - 1)::INTEGER AS prediction FROM e""",
 )
 def m7(spark, d):
-    logits = tables.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("z"))
+    logits = tables.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
     prob = logits.select("vec_id", vx.softmax("z").alias("p"), vx.argmax("z").alias("prediction"))
     return prob.select("vec_id", F.round(F.array_max("p"), 6).alias("top_prob"), "prediction")
 
@@ -113,12 +113,12 @@ def cv_inputs(spark, d):
     docs = labelled(spark, d)
     n = docs.agg(F.count(F.lit(1))).scalar()
     counts = materialize(tokens.term_counts(docs), "counts")
-    weights = tokens.idf(tokens.build_vocab(counts, n, 2, 1.0, 10_000), n)
+    weights = tokens.idf(tokens.build_vocab(counts, n, 2, 1.0, None), n)
     return materialize(tokens.tfidf(counts, weights), "tfidf"), docs.select("doc_id", "label")
 
 
 CV = LABELLED + f""", toks AS (SELECT doc_id, unnest({WORDS}) AS term FROM labelled),
-  counts AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL)""" + vocab_sql() + f""",
+  counts AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL)""" + vocab_sql(cap=None) + f""",
   weights AS (SELECT term, ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1 AS idf FROM vocab),
   raw AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN weights USING (term)),
   tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw),

@@ -48,9 +48,29 @@ def a2(spark, d):
     return profile.dataset_card(tables.load_corpus(spark, d), tables.SPLITS)
 
 
-@query("a3_structure_card")
+def _card_sql(column: str, kind: str, value: str = "{c}", size: str = "NULL") -> str:
+    text = value.format(c=column)
+    return f"""SELECT '{column}' AS "column", '{kind}' AS type, count(*) AS n_rows, count(*) - count({column}) AS n_null,
+      CAST(min({size}) AS BIGINT) AS min_size, CAST(max({size}) AS BIGINT) AS max_size,
+      arg_min(CAST({text} AS VARCHAR), doc_id) FILTER ({column} IS NOT NULL) AS example FROM w"""
+
+
+@query(
+    "a3_structure_card",
+    "WITH w AS (SELECT doc_id, lang, n_chars, string_split(text, ' ') AS words FROM documents) "
+    + " UNION ALL ".join(
+        [_card_sql("doc_id", "bigint"), _card_sql("lang", "string"), _card_sql("n_chars", "bigint"),
+         _card_sql("words", "array<string>", "'[' || array_to_string({c}, ', ') || ']'", "len(words)")]
+    ),
+)
 def a3(spark, d):
-    return profile.structure_card(tables.table(spark, d, "embeddings"))
+    rows = tables.table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.split("text", " ", -1).alias("words"))
+    return profile.structure_card(rows, "doc_id")
+
+
+@query("a3_sample_rows", "SELECT doc_id, lang, source, n_chars, text FROM documents ORDER BY doc_id LIMIT 5")
+def a3b(spark, d):
+    return profile.sample_rows(tables.table(spark, d, "documents"), "doc_id", 5).select("doc_id", "lang", "source", "n_chars", "text")
 
 
 @query(
@@ -198,7 +218,7 @@ def a16(spark, d):
     return rounded(profile.ecdf(lengths(spark, d), "n_words", ["split"]), "cdf")
 
 
-LINE_COLS = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @query(

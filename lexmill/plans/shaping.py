@@ -246,7 +246,7 @@ def s12(spark, d):
 
 @query("s7_round_trip_orders", "SELECT count(*) AS rows_written, count(*) AS rows_read, 0::BIGINT AS only_written, 0::BIGINT AS only_read FROM orders")
 def s7(spark, d):
-    rows = tables.table(spark, d, "orders").drop("o_orderdate")
+    rows = tables.table(spark, d, "orders")
     path = scratch_path(spark, "orders")
     rows.write.parquet(path)
     return encoded.round_trip(rows, spark.read.parquet(path))

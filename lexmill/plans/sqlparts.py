@@ -36,10 +36,11 @@ TOKENS = f"""tokens AS (
 
 COUNTS = TOKENS + ", counts AS (SELECT doc_id, token AS term, count(*) AS tf FROM tokens GROUP BY 1, 2)"
 
-def vocab_sql(min_df: str = "df >= 2", max_df: str = "TRUE", cap: int = 10_000) -> str:
+def vocab_sql(min_df: str = "df >= 2", max_df: str = "TRUE", cap: int | None = 10_000) -> str:
+    limit = "" if cap is None else f"ORDER BY tf DESC, term LIMIT {cap}"
     return f""", v0 AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM counts GROUP BY 1),
   vocab AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS term_id, df, tf FROM
-    (SELECT * FROM v0 WHERE {min_df} AND {max_df} ORDER BY tf DESC, term LIMIT {cap}))"""
+    (SELECT * FROM v0 WHERE {min_df} AND {max_df} {limit}))"""
 
 
 N_DOCS = "(SELECT count(*) FROM documents)"

@@ -390,9 +390,12 @@ def t24(spark, d):
 
 
 def word_vectors(spark, d):
-    """A vector file written from the vocabulary and the embeddings, read back."""
+    """A vector file written from the embeddings, read back. A vector is named by the
+    term with its number, or by the number itself where the vocabulary has no such term."""
     emb = tables.table(spark, d, "embeddings")
-    named = vocab(spark, d).join(emb, F.col("term_id") == F.col("vec_id"))
+    terms = vocab(spark, d).select("term_id", "term")
+    named = emb.join(terms, F.col("term_id") == F.col("vec_id"), "left")
+    named = named.withColumn("term", F.coalesce("term", F.concat(F.lit("vector_"), F.col("vec_id").cast("string"))))
     line = F.concat_ws(" ", "term", F.array_join(F.col("embedding").cast("array<string>"), " "))
     path = scratch_path(spark, "vectors")
     named.select(line.alias("value")).write.text(path)
@@ -401,8 +404,8 @@ def word_vectors(spark, d):
 
 @query(
     "s13_read_word_vectors",
-    f"""WITH {VOCAB} SELECT term AS word, len(embedding)::BIGINT AS n_dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
-        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM vocab JOIN embeddings ON term_id = vec_id""",
+    f"""WITH {VOCAB} SELECT coalesce(term, 'vector_' || vec_id) AS word, len(embedding)::BIGINT AS n_dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings LEFT JOIN vocab ON term_id = vec_id""",
 )
 def s13(spark, d):
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -414,7 +417,7 @@ def s13(spark, d):
 
 @query(
     "t25_vector_coverage",
-    f"""WITH {VOCAB}, known AS (SELECT term FROM vocab JOIN embeddings ON term_id = vec_id),
+    f"""WITH {VOCAB}, known AS (SELECT coalesce(term, 'vector_' || vec_id) AS term FROM embeddings LEFT JOIN vocab ON term_id = vec_id),
         lt AS (SELECT lang, token AS word, count(*) AS n FROM tokens JOIN documents USING (doc_id) GROUP BY 1, 2),
         f AS (SELECT lang, n, CASE WHEN k.term IS NULL THEN 0 ELSE 1 END AS found FROM lt LEFT JOIN known k ON k.term = lt.word)
         SELECT lang, sum(n)::BIGINT AS n_tokens, count(*) AS n_words, round(sum(n * found) / sum(n), 6) AS token_coverage,

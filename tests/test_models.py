@@ -189,7 +189,7 @@ def test_lr_finder_with_chunks(spark):
     rng = np.random.default_rng(8)
     runs = {"hot": np.r_[rng.uniform(0.5, 1.5, 900), rng.uniform(50, 90, 300)], "flat": rng.uniform(1, 2, 130), "short": rng.uniform(1, 2, 5)}
     df = spark.createDataFrame([(r, i + 1, float(v)) for r, vs in runs.items() for i, v in enumerate(vs)], "run string, n long, loss double")
-    smooth = telemetry.smoothed_loss(df, chunk=64).toPandas().sort_values("n")
+    smooth = telemetry.smoothed_loss(df).toPandas().sort_values("n")
     for r, vs in runs.items():
         want = finder(vs, factor=1e12)
         assert np.allclose(smooth[smooth.run == r].smooth, want)
@@ -200,6 +200,45 @@ def test_lr_finder_with_chunks(spark):
     assert len(got[got.run == "hot"]) < 1150
 
 
+def test_smoothed_loss_of_quick_fades(spark):
+    values = np.random.default_rng(9).uniform(0.5, 1.5, 20_000)
+    df = spark.createDataFrame([("r", i + 1, float(v)) for i, v in enumerate(values)], "run string, n long, loss double")
+    for beta in (0.0, 0.5, 0.8, 0.9999):
+        got = telemetry.smoothed_loss(df, beta).toPandas().sort_values("n").smooth.to_numpy()
+        average, want = 0.0, []
+        for n, v in enumerate(values, 1):
+            average = beta * average + (1 - beta) * v
+            want.append(average / (1 - beta**n))
+        assert np.allclose(got, want, rtol=1e-9), beta
+
+
+def test_metric_sheet_refuses_a_third_label(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "label int, prediction int")
+    with pytest.raises(ValueError):
+        metrics.metric_sheet(df, "test")
+
+
+def test_every_gram_is_kept_and_long_words_are_split(spark):
+    from lexmill.operators import encode
+
+    vocab = spark.createDataFrame([("a",), ("##a",), ("##aaaa",)], "piece string")
+    got = encode.subword_tokens(spark.createDataFrame([("a" * 150,)], "word string"), vocab).first().pieces
+    assert "".join(got).replace("##", "") == "a" * 150
+    assert estimators.nb_chain().getStages()[1].getVocabSize() == estimators.ALL_TERMS
+
+
+def test_large_weights_are_not_broadcast(spark):
+    counts = spark.range(100).selectExpr("id as doc_id", "cast(id as string) as term", "1L as tf")
+    weights = spark.range(100).selectExpr("cast(id as string) as term", "1.0 as idf")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tokens.tfidf(counts, weights)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_epoch_timing(spark):
     t = pd.Timestamp("2024-01-01")
     marks = [("begin", 0), ("end", 5), ("end", 7), ("begin", 8), ("begin", 9), ("end", 12)]

@@ -116,3 +116,19 @@ def test_hashed_order_needs_no_statistics(spark, skewed):
     assert got.select(want.columns).exceptAll(want).count() == 0
     sizes = [r["count"] for r in range_bucket(keyed, ["h"], 6, True).groupBy("_range").count().collect()]
     assert len(sizes) == 6 and max(sizes) < 700
+
+
+def test_rows_of_a_grouped_scan_move_once(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as g", "id", "repeat('x', 100) as payload")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scanned = ordered_scan(rows, ["g"], ["id"], {"n": ("row_number",)})
+        plan = scanned._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # the rows once; then one row per group and range: partial totals, their scan, the carries
+    assert len(moves) == 4 and all("_group_key" in line for line in moves)
+    assert plan.index("Window [row_number()") < plan.index("Exchange hashpartitioning")
+    assert scanned.count() == 1000
