@@ -8,11 +8,12 @@ and class. No model is fitted in a driver loop and no rows are copied per model.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions import vectors as vx
 from lexmill.functions.joins import hinted
@@ -122,6 +123,21 @@ class TrainedText:
     model: BayesModel
     norm: str | None = "l2"
 
+    def save(self, path: str) -> None:
+        """Write the model as three Parquet tables: term weights, log likelihoods, and one
+        row with the classes, priors and settings."""
+        m, spark = self.model, self.weights.sparkSession
+        self.weights.write.parquet(f"{path}/weights")
+        m.table.write.parquet(f"{path}/likelihoods")
+        settings = {"classes": m.classes, "prior": m.prior, "n_variants": m.n_variants, "max_terms": m.max_terms, "norm": self.norm}
+        spark.createDataFrame([(json.dumps(settings),)], "settings string").write.parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "TrainedText":
+        s = json.loads(spark.read.parquet(f"{path}/settings").first().settings)
+        model = BayesModel(s["classes"], spark.read.parquet(f"{path}/likelihoods"), s["prior"], s["n_variants"], s["max_terms"])
+        return cls(spark.read.parquet(f"{path}/weights"), model, s["norm"])
+
     def features(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return tokens.transform_features(df, self.weights, self.norm, key, text, self.model.max_terms)
 

@@ -217,13 +217,13 @@ ITEMS = """items AS (SELECT conv_id * 100 + turn AS item, text FROM conversation
 
 @query(
     "s11_export_translation_batches",
-    f"WITH {ITEMS} SELECT (i // 100)::INTEGER AS batch, md5(replace(text, chr(10), '')) AS line FROM pl",
+    f"WITH {ITEMS} SELECT (i // 100)::INTEGER AS batch, (i % 100)::INTEGER AS line_no, md5(replace(text, chr(10), '')) AS line FROM pl",
 )
 def s11(spark, d):
     path = scratch_path(spark, "batches")
     translations.export_translation_batches(short_texts(spark, d), "item", "text", 100, path)
     back = translations.read_translated_lines(spark, path)
-    return back.select(F.col("batch").cast("int").alias("batch"), F.md5("value").alias("line"))
+    return back.select(F.col("batch").cast("int").alias("batch"), F.col("line_no").cast("int").alias("line_no"), F.md5("value").alias("line"))
 
 
 @query(
@@ -231,8 +231,8 @@ def s11(spark, d):
     f"WITH {ITEMS} SELECT item, lang, md5(replace(replace(text, chr(10), ''), 'e', '3') || lang) AS translation FROM pl, (SELECT unnest(['de', 'it']) AS lang)",
 )
 def s12(spark, d):
-    """The service is played by changing one letter; it answers with two blank lines after
-    every item, as (lang, batch, line_no, value)."""
+    """The service is played by changing one letter; it answers with a file per language
+    that has two blank lines after every item."""
     source = translations.number_batches(short_texts(spark, d), "item", 100)
     lang = F.explode(F.array(F.lit("de"), F.lit("it"))).alias("lang")
     sent = source.select(lang, "batch", "pos", F.replace(F.replace("text", F.lit("\n"), F.lit("")), F.lit("e"), F.lit("3")).alias("t"))
@@ -240,7 +240,13 @@ def s12(spark, d):
         "lang", "batch", (F.col("pos") * 3).alias("first"),
         F.posexplode(F.array(F.concat("t", "lang"), F.lit(""), F.lit(" "))).alias("k", "value"),
     ).select("lang", "batch", (F.col("first") + F.col("k")).alias("line_no"), "value")
-    out = translations.import_translations(source, lines, 100)
+    answers = None
+    for name in ("de", "it"):
+        path = scratch_path(spark, f"lines-{name}")
+        translations.write_lines(lines.where(F.col("lang") == name).drop("lang"), path)
+        read = translations.read_translated_lines(spark, path).withColumn("lang", F.lit(name))
+        answers = read if answers is None else answers.unionByName(read)
+    out = translations.import_translations(source, answers, 100)
     return out.select("item", "lang", F.md5("translation").alias("translation"))
 
 

@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
         named = sc.getCheckpointDir()
