@@ -26,8 +26,9 @@ TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 3_000, 5_000, 100_000
 WINDOW, LEVEL = 3, 6
 ORDINARY_SIZE, TOXIC_SIZE = 8_192, 4_096
 STEPS = (2, 4, 6)
-#: A word start counts as characteristic from this many texts and standard deviations on.
-LEAST_TEXTS, LEAST_Z, SHORTEST, LONGEST = 4, 4.0, 4, 14
+#: A word start counts as characteristic from this many texts (and this share of the toxic
+#: ones), standard deviations and times the share of ordinary texts on; its length is bounded.
+LEAST_TEXTS, LEAST_SHARE, LEAST_Z, LEAST_RATIO, SHORTEST, LONGEST = 4, 0.03, 4.0, 6.0, 4, 14
 _MARKS = b".,!?;:\"'()[]#$%&*|"
 
 
@@ -41,7 +42,7 @@ def characteristic(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> set[byt
     seen = Counter()
     for text in toxic:
         seen.update(_starts(text))
-    known = {w for w, n in seen.items() if n >= LEAST_TEXTS}
+    known = {w for w, n in seen.items() if n >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic))}
     other = Counter()
     for text in ordinary:
         other.update(_starts(text) & known)
@@ -49,7 +50,8 @@ def characteristic(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> set[byt
     for w in known:
         p = (seen[w] + other[w]) / (n1 + n0)
         spread = (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
-        if spread and (seen[w] / n1 - other[w] / n0) / spread >= LEAST_Z:
+        a, b = seen[w] / n1, other[w] / n0
+        if spread and (a - b) / spread >= LEAST_Z and a >= LEAST_RATIO * b:
             out.add(w)
     return out
 
