@@ -53,13 +53,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_repeats: int)
     ranked = ranked.withColumn("_cap", (F.col("source_size") * max_repeats).cast("double"))
     ranked = materialize(ranked.withColumn("_ratio", F.col("_cap") / F.col("_weight")), "sources")
     filled = ordered_scan(ranked, [], ["_ratio", "_sid"], {"_caps": ("sum", "_cap"), "_used": ("sum", "_weight")})
-    total = ranked.agg(F.sum("source_size").cast("double").alias("_all"), F.sum("_weight").alias("_weights"))
-    level = (F.col("_all") - (F.col("_caps") - F.col("_cap"))) / (F.col("_weights") - (F.col("_used") - F.col("_weight")))
+    total = ranked.agg(F.sum("source_size").cast("double")).scalar()
+    shares = ranked.agg(F.sum("_weight")).scalar()
+    level = (total - (F.col("_caps") - F.col("_cap"))) / (shares - (F.col("_used") - F.col("_weight")))
     # the first source, by cap per weight, that the level does not lift above its cap
-    levels = filled.crossJoin(F.broadcast(total)).withColumn("_level", level)
-    found = levels.where("_level <= _ratio").agg(F.min_by("_level", F.struct("_ratio", "_sid")).alias("_level"))
-    target = F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("_weight")), F.lit(0.0))
-    return ranked.crossJoin(F.broadcast(found)).select("_none", "_name", "_sid", "source_size", target.alias("target"))
+    lifted = filled.withColumn("_level", level).where("_level <= _ratio")
+    found = lifted.agg(F.min_by("_level", F.struct("_ratio", "_sid"))).scalar()
+    target = F.coalesce(F.least(F.col("_cap"), found * F.col("_weight")), F.lit(0.0))
+    return ranked.select("_none", "_name", "_sid", "source_size", target.alias("target"))
 
 
 def _sized(docs: DataFrame) -> DataFrame:

@@ -50,13 +50,12 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     least = [F.min(c).alias(c) for c in ("_source", "_lang", "_id")]
     groups = rows.groupBy("_text").agg(F.sum("_size").alias("_weight"), F.first("_size").alias("_size"), *least)
     nodes = materialize(groups.withColumns({"_node": F.lit(0), "_leaves": F.lit(shards), "_first": F.lit(0)}), "groups")
-    extents = [(F.max(c) - F.min(c)).cast("double").alias(f"_all{c}") for c in DIMENSIONS]
-    whole = nodes.agg(*extents)
+    whole = nodes.agg(F.struct(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in DIMENSIONS])).scalar()
     for _ in range((shards - 1).bit_length()):
         spread = [(F.max(c) - F.min(c)).cast("double").alias(f"_own{c}") for c in DIMENSIONS]
         # one row per tree node, never more than there are shards
-        stats = nodes.groupBy("_node").agg(F.sum("_weight").alias("_total"), *spread).crossJoin(F.broadcast(whole))
-        widths = [F.coalesce(F.try_divide(F.col(f"_own{c}"), F.col(f"_all{c}")), F.lit(0.0)) for c in DIMENSIONS]
+        stats = nodes.groupBy("_node").agg(F.sum("_weight").alias("_total"), *spread)
+        widths = [F.coalesce(F.try_divide(F.col(f"_own{c}"), whole.getField(c)), F.lit(0.0)) for c in DIMENSIONS]
         axis = (F.array_position(F.array(*widths), F.greatest(*widths)) - 1).cast("int")
         stats = stats.select("_node", "_total", axis.alias("_axis"))
         placed = nodes.join(F.broadcast(stats), "_node").withColumn("_v", F.get(F.array(*DIMENSIONS), F.col("_axis")))
