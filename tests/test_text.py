@@ -119,8 +119,8 @@ def test_case_collisions_and_alignment(spark):
     assert [(x.pos, x.id_a, x.id_b) for x in tokens.align_tokens(pair, "a", "b", ["k"]).orderBy("pos").collect()] == [(0, 5, 8), (1, 6, 0), (2, 7, 0)]
 
 
-def greedy(word, vocab, limit=100):
-    if len(word) > limit:
+def greedy(word, vocab, limit=None):
+    if limit is not None and len(word) > limit:
         return ["[UNK]"]
     at, out = 0, []
     while at < len(word):
@@ -140,8 +140,9 @@ def test_subwords_are_greedy(spark):
     words = ["unbeliev", "unbelievable", "unq", "a", "b", "aaaa", "a" * 100, "a" * 101, "baaab"]
     v = spark.createDataFrame([(p,) for p in vocab], "piece string")
     w = spark.createDataFrame([(x,) for x in words], "word string")
-    got = {r.word: list(r.pieces) for r in encode.subword_tokens(w, v).collect()}
-    assert got == {x: greedy(x, set(vocab)) for x in words}
+    for limit in (None, 100):  # no length limit unless one is asked for
+        got = {r.word: list(r.pieces) for r in encode.subword_tokens(w, v, limit).collect()}
+        assert got == {x: greedy(x, set(vocab), limit) for x in words}
 
 
 def test_encoded_files(spark):
