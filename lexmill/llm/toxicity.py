@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bound of the labelled sample: texts of each class, chosen by a hash of the id, none of
 #: them longer than so many bytes (scoring reads texts of any length).
-TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 3_000, 5_000, 100_000
+TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 3_000, 5_000, 20_000
 WINDOW, LEVEL = 3, 6
 ORDINARY_SIZE, TOXIC_SIZE = 8_192, 4_096
 STEPS = (2, 4, 6)
