@@ -12,7 +12,7 @@ from lexmill.llm.linededup import dedup_lines
 from lexmill.llm.mixing import mix
 from lexmill.llm.packing import pack
 from lexmill.llm.quality import judge_quality
-from lexmill.llm.simhash import simhash_groups
+from lexmill.llm.simhash import one_per_group
 from lexmill.session import scratch_path
 
 
@@ -51,11 +51,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @same_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id; a group without ids stays whole."""
-    groups = simhash_groups(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    unnamed = F.col("doc_id").isNull()
-    named = docs.where(~unnamed).join(groups, "doc_id", "left_anti").select(*docs.columns)
-    return named.unionByName(docs.where(unnamed))
+    """Of each group the row with the smallest id; where no row has one, the row whose text
+    digest is smallest."""
+    return one_per_group(docs)
 
 
 @same_columns

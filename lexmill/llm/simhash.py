@@ -18,7 +18,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexmill.llm.components import connected
 from lexmill.session import materialize
@@ -48,17 +49,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) for every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp (bigint) for every row; a null text counts as empty."""
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-            )
+            *kept, texts = batch.columns
+            found = [fingerprint(t.as_py() or b"", shingle) for t in texts]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(*keep, F.col("text").cast("binary"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("fp", LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _choose(points: np.ndarray, radius: int, seed: int) -> tuple[np.uint64, int] | None:
@@ -198,6 +200,13 @@ def near_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.groupBy("leaf").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _rooted(prints: DataFrame, low: Column, radius: int) -> DataFrame:
+    """(fp, low, root) of each distinct fingerprint, ``low`` aggregated over its rows."""
+    distinct = materialize(prints.groupBy("fp").agg(low.alias("low")), "distinct")
+    roots = connected(near_fingerprints(distinct, radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -207,10 +216,35 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
     group has none). Repeated rows stay repeated; other columns are ignored.
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
-    by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    distinct = materialize(by_print, "distinct")
-    roots = connected(near_fingerprints(distinct, radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(prints, F.min("doc_id"), radius)
     smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     groups = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Which document a row is: ids first, then a 128-bit digest of the text. None is ever null.
+_KEY = ["_unnamed", "_id", "_h1", "_h2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return docs.withColumns(
+        {"_unnamed": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)).cast("bigint"), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(7), text)}
+    )
+
+
+def one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of ``simhash_groups``.
+
+    It is a row with the smallest (doc_id, text digest), null ids last, so a row without
+    id stays only where its group has no ids. Of rows with equal id and text the one
+    whose other columns come first as JSON stays. Repeated rows are reduced before they are
+    exchanged, so a document that is repeated many times does not fill one task.
+    """
+    prints = materialize(fingerprints(_keyed(docs), shingle, tuple(_KEY)), "prints")
+    named = _rooted(prints, F.min(F.struct(*_KEY)), radius)
+    stays = named.groupBy("root").agg(F.min("low").alias("low")).select("low.*")
+    order = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    row = F.min_by(F.struct(*docs.columns), order).alias("_row")
+    # an inner join, which does not move below the aggregate as a semi-join would
+    return _keyed(docs).groupBy(*_KEY).agg(row).join(stays, _KEY).select("_row.*")

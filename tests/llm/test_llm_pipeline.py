@@ -61,6 +61,25 @@ def test_stages(spark, docs):
     check_pieces(stages["packing"](spark, four, "").collect(), [r[:2] for r in four.collect()])
 
 
+def test_near_duplicates_decide_by_row(spark):
+    words = [" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b", "c", "d", "e", "f")]
+    a, b, c, d, e, f = words
+    rows = [
+        (1, a, "x"), (1, a, "x"), (1, a, "w"),  # repeated rows of the smallest id
+        (2, a, "x"), (None, a, "x"),            # copies with another id and without one
+        (None, b, "x"), (None, b, "x"),         # a group without ids
+        (3, c, "x"), (4, c, "x"), (4, d, "x"),  # one id with two texts, one of them a copy
+        (5, e, None), (5, f, None),             # one id with two texts of their own
+        (6, None, None), (7, "", None), (2**63 - 1, " ", None),
+    ]
+    docs = spark.createDataFrame([(i, t, s, {"k": 1}) for i, t, s in rows], "doc_id bigint, text string, source string, more map<string,int>").repartition(4)
+    assert len({brute_print(w) for w in words}) == 6
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert left.columns == docs.columns
+    wanted = [(1, a, "w"), (None, b, "x"), (3, c, "x"), (4, d, "x"), (5, e, None), (5, f, None), (6, None, None)]
+    assert Counter(tuple(r)[:3] for r in left.collect()) == Counter(wanted)
+
+
 def test_stages_of_nothing(spark, docs):
     now = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
