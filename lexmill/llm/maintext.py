@@ -22,18 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of HTML: elements that have no content, that run inside a line, whose
-# content is not text, and what a starting tag closes.
+# content is not markup, that may stand in a head or a select, that end an open svg or
+# math, and what a starting tag closes. ``#inner`` stands for any element in svg or math.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr object svg math #inner".split()
+)
+GAPS = frozenset(("br", "img", "svg", "#inner"))
+SILENT = "script|style|noscript|template|iframe|textarea"
+HEAD = frozenset("base basefont bgsound head html link meta noframes title".split())
+SELECT = INLINE | {"option", "optgroup", "hr"}
+BLOCKS = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
+    " h5 h6 header hgroup hr html li main menu nav ol p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT = "script|style|noscript|template|svg|math|head|iframe|object|textarea|select"
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
+_REST = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+"""
 _TAG = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<dumb>{SILENT})\b[^>]*+>.*?(?:</(?P=dumb)\s*+>|\Z)|<[!?][^>]*+>"""
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<dumb>{SILENT})(?=[\s/>])(?:{_REST}>|[^>]*+>).*?(?:</(?P=dumb)(?=[\s/>])[^>]*+>|\Z)"""
+    # what a title holds is no markup either; one that has no end within reach is a tag
+    rf"""|<title(?=[\s/>])[^>]*+>.{{0,4000}}?</title(?=[\s/>])[^>]*+>|<[!?][^>]*+>"""
+    rf"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})>""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -57,11 +68,66 @@ class _Run:
     linked: int = 0
 
 
+def _pieces(page: str) -> Iterator[tuple[int, int, str, re.Match | None]]:
+    """(start, end, tag, match) of the tags of a page, and of its texts with an empty tag.
+
+    Scripts, styles, templates, text areas and the fallbacks of iframe and script run to
+    their end tag, or as in a browser to the page's end. A head ends where something starts
+    that cannot stand in it, a select likewise, so their end tags may be missing; both are
+    left out. Elements in svg and math are inline and an HTML block ends an open one.
+    """
+    at, quiet, title, foreign = 0, "", False, ""
+    for m in _TAG.finditer(page):
+        start, at_ = m.start(), at
+        at = m.end()
+        if start > at_ and not title:
+            if quiet == "head" and page[at_:start].strip():
+                quiet = ""
+            if not quiet:
+                yield at_, start, "", None
+        if m["name"] is None:
+            if quiet == "select" and m["dumb"] and m["dumb"].lower() == "textarea":
+                quiet = ""
+            continue
+        tag, ends = m["name"].lower(), bool(m["end"])
+        title = tag == "title" and not ends
+        if quiet == "head":
+            if tag not in ("head", "body", "html") if ends else tag in HEAD:
+                continue
+            quiet = ""
+        elif quiet == "select":
+            if tag in SELECT:
+                continue
+            quiet = ""
+            if tag == "select":
+                continue
+        if tag == "head" or tag == "select":
+            quiet = "" if ends else tag
+            if not ends and tag == "select" and foreign:
+                foreign = ""
+            continue
+        if tag == "title":
+            continue
+        if foreign:
+            if tag == foreign or tag in BLOCKS:
+                if ends or tag != foreign:
+                    foreign = ""
+            elif tag not in INLINE:
+                if ends:
+                    continue
+                tag = "#inner"
+        elif (tag == "svg" or tag == "math") and not ends and not m["rest"].endswith("/"):
+            foreign = tag
+        yield start, at, tag, m
+    if at < len(page) and not title and (not quiet or quiet == "head" and page[at:].strip()):
+        yield at, len(page), "", None
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; runs of text are nodes with tag ``#text``."""
     nodes = [Node("#root", -1)]
     open_: list[int] = [0]
-    run, links, at = _Run(), 0, 0
+    run, links = _Run(), 0
 
     def flush() -> None:
         nonlocal run
@@ -85,17 +151,15 @@ def parse(page: str) -> list[Node]:
             if tag in limit:
                 return
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m["name"] is None:
+    for start, end, tag, m in _pieces(page):
+        if m is None:
+            add(page[start:end])
             continue
-        tag, ends = m["name"].lower(), bool(m["end"])
+        ends = bool(m["end"])
         if tag in INLINE:
             if tag == "a":
                 links = 0 if ends else 1
-            elif tag == "br" or tag == "img":
+            elif tag in GAPS:
                 run.parts.append(" ")
             continue
         flush()
@@ -115,8 +179,6 @@ def parse(page: str) -> list[Node]:
                 words += (w.lower() for w in _WORDS.findall("".join(names)))
         nodes.append(Node(tag, open_[-1], tuple(dict.fromkeys(words))))
         open_.append(len(nodes) - 1)
-    if at < len(page):
-        add(page[at:])
     flush()
     for node in reversed(nodes[1:]):
         nodes[node.parent].chars += node.chars
@@ -376,20 +438,19 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[list[Node]]:
 
 def _starts(page: str) -> list[int]:
     """Where each node of ``parse`` but the root begins."""
-    out, at, begun = [], 0, None
-    for m in _TAG.finditer(page):
-        if begun is None and page[at : m.start()].strip():
-            begun = at
-        at = m.end()
-        if m["name"] is None or m["name"].lower() in INLINE:
+    out, begun = [], None
+    for start, end, tag, m in _pieces(page):
+        if m is None:
+            if begun is None and page[start:end].strip():
+                begun = start
+            continue
+        if tag in INLINE:
             continue
         if begun is not None:
             out.append(begun)
             begun = None
-        if not m["end"] and m["name"].lower() not in VOID:
-            out.append(m.start())
-    if begun is None and page[at:].strip():
-        begun = at
+        if not m["end"] and tag not in VOID:
+            out.append(start)
     return out + ([begun] if begun is not None else [])
 
 

@@ -409,6 +409,44 @@ def test_main_text(spark):
     assert found == {1: "A & B\nOne two three.\nCafé x", 2: "", 3: "", 4: "The long text of a page, with commas, and more.\nSecond part of it."}
 
 
+BODY = "<article><h1>A long title of the page</h1><p>The long text of a page, with commas, and more.</p>{}<p>Second part of it, also long enough.</p></article>"
+FIRST, SECOND = "A long title of the page\nThe long text of a page, with commas, and more.", "Second part of it, also long enough."
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body>" + BODY,
+    "<html><head><meta charset=utf-8><title>x <script> y</title><link rel=a><script>1</script>" + BODY,
+    "<html><head><title>x<body>" + BODY,
+    "<html><title>x</title>" + BODY,
+    "<html><head><title>x</title></head ><body>" + BODY,
+    *("<body>" + BODY.replace("{}", piece) for piece in (
+        '<svg viewBox="0 0 1 1"/>', "<math/>", "<svg><path d='M0'/><g><path d='M1'>", "<math><mi>", "<object data=x>", "<object data=x><param name=a></object>",
+        "<select><option>one<option>two", "<select><option>one</select>", "<SELECT><optgroup label=a><option>one</option></optgroup></SELECT>",
+        "<template-card></template-card>", "<object-view>", "<script-x></script-x>", "<svg-icon/>", "<head-line></head-line>",
+        "<script>a</script-x>b</script >", "<style>p</style/>", "<iframe title='a>b'>x</iframe>", "<noscript>x</noscript>", "<textarea>x</textarea>",
+        "<template><p>x</p></template>", "<svg><title>icon</title></svg>",
+    )),
+])
+def test_main_text_unclosed(page):
+    global _MODEL
+    _MODEL = globals().get("_MODEL") or maintext.train(maintext.labelled_pages())
+    assert _MODEL.text(page.replace("{}", "")) == f"{FIRST}\n{SECOND}"
+
+
+def test_main_text_of_inline_parts():
+    """Formulas, drawings and fallbacks are text of the block that they stand in."""
+    texts = lambda page: [n.text for n in maintext.parse(page) if n.tag == "#text"]
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, is") == ["where x = 2, is"]
+    assert texts("<p>see <object data=a>the <b>fallback</b></object> here") == ["see the fallback here"]
+    assert texts("<p>one<svg><text>two</text><text>three</text></svg>four") == ["one two three four"]
+    assert texts("<p>one<svg><text>two<p>three") == ["one two", "three"]
+    assert texts("<head>stray text<title>x</title>") == ["stray text"]
+    # as in a browser, what a script without its end tag holds is no text
+    for tag in ("script", "style", "textarea", "iframe", "noscript", "template"):
+        assert texts(f"<p>one<{tag}>two<p>three") == ["one"]
+    assert texts("<p>" + "<title>" * 3000 + "<svg>" * 3000 + "x") == ["x"]
+
+
 def test_main_text_held_out_pages():
     model = maintext.train(maintext.labelled_pages())
     wrong = total = 0
