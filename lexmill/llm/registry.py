@@ -8,7 +8,7 @@ from lexmill.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("corpus_queries", "search_queries")
+MODULES = ("corpus_queries", "search_queries", "audit_queries")
 
 
 def query(name: str, sql: str | None = None):
