@@ -30,7 +30,7 @@ HASHES = 3
 #: Training texts of a language: their number is near this bound (a share of all, by hash).
 TEXTS = 4_000
 #: An n-gram belongs to a language from this share of its training texts on (and this many).
-LEAST_SHARE, LEAST_TEXTS = 0.002, 2
+LEAST_SHARE, LEAST_TEXTS = 0.005, 2
 #: Slots per n-gram of the fullest language, and the most slots (2^24 slots of 64 languages
 #: are 128 MB); beyond, filters fill up and the correction for false positives grows.
 SPARE, MOST_SLOTS = 8, 1 << 24
@@ -71,7 +71,7 @@ def slots_of(found: np.ndarray, bits: int) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilters:
-    """Languages in code-point order, slots x mask words, and the false-positive rates."""
+    """Languages with most training texts first, slots x mask bytes, and the false-positive rates."""
 
     languages: list[str]
     masks: np.ndarray
@@ -145,7 +145,7 @@ class LanguageFilters:
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) per text. The score is the best language's part of the real hits
-        of the best two; ties go to the first language. A text without letters, n-grams or
+        of the best two. A text without letters, n-grams or
         learned languages is 'und' with score 0."""
         plain = [normalise(t) if t else b"" for t in texts]
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -203,7 +203,8 @@ def fit_languages(docs: DataFrame, texts: int = TEXTS, least_share: float = LEAS
     n-grams are counted on the executors.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # one row per language
+    found = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().collect()]  # one row per language
+    sizes = sorted(found, key=lambda x: (-x[1], x[0]))
     if not sizes:
         return LanguageFilters([], np.zeros((2, 1), np.uint8), np.zeros(0))
     number = F.create_map(*(F.lit(x) for k, (lang, _) in enumerate(sizes) for x in (lang, k)))
@@ -246,7 +247,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     Whole texts are read. A null text, or one without a letter, is 'und' with score 0, and
     so is every text when no language was learned. The prediction depends on the text alone,
-    so repeated rows agree; ties go to the first language in code-point order. Other columns
+    so repeated rows agree; ties go to the language with more training texts. Other columns
     are ignored.
     """
 
