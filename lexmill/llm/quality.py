@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lexmill.llm.columns import passing_through
+
 # Fixed values of the base rules: symbols, fewest words, most percent of repeated words, window.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_PERCENT, WINDOW = 50, 50, 3
@@ -124,6 +126,7 @@ def measure(texts: list[bytes], min_run: int) -> np.ndarray:
     return out
 
 
+@passing_through("text")
 def judge_quality(
     docs: DataFrame, min_run: int = MIN_RUN, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
 ) -> DataFrame:
@@ -132,7 +135,8 @@ def judge_quality(
 
     A null text counts as empty and fails the base rules like any text of few words. The
     decision depends on the row alone: repeated rows get equal answers, other columns pass
-    through, no row is dropped. No data is exchanged between tasks.
+    through, no row is dropped; an input column with the name of an added one gives way to
+    it. No data is exchanged between tasks.
     """
     names = docs.columns
     found = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_covered", "_longest"]

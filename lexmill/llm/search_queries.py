@@ -9,7 +9,7 @@ from lexmill.llm.maintext import main_text
 from lexmill.llm.registry import query
 from lexmill.llm.sharding import kd_shards
 from lexmill.llm.toxicity import fit_toxicity, score_toxicity
-from lexmill.llm.urlfilter import judge_urls
+from lexmill.llm.urlfilter import CANONICAL, HREF, LINK_TAG, META_TAG, REFRESH, TARGET, judge_urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,14 +71,21 @@ def _key_sql(u: str) -> str:
 
 
 _ORIGIN = f"translate(regexp_extract(url, '{_PARTS}', 1), '{_A}', '{_Z}') || '://' || host"
+
+
+def _targets(tag: str, kind: str, place: str) -> str:
+    tag, kind, place = (x.replace("'", "''") for x in (tag, kind, place))
+    tags = f"list_filter(regexp_extract_all(html, '{tag}'), lambda x: regexp_matches(x, '{kind}'))"
+    return f"list_transform({tags}, lambda x: regexp_extract(x, '{place}', 1))"
+
+
 OP4_SQL = rf"""
 WITH RECURSIVE p AS (SELECT page_id, url, html,
     translate(coalesce(regexp_extract(url, '{_PARTS}', 2), ''), '{_A}', '{_Z}') AS host,
     coalesce(regexp_extract(url, '{_PARTS}', 3), '') AS path, {_key_sql('url')} AS key FROM pages),
-named AS (SELECT *, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS c,
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS j
+named AS (SELECT *, list_concat({_targets(LINK_TAG, CANONICAL, HREF)}, {_targets(META_TAG, REFRESH, TARGET)}) AS ts
   FROM p WHERE key IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
-aims AS (SELECT url, key, host, path, replace(unnest([c, j]), '&amp;', '&') AS t FROM named),
+aims AS (SELECT url, key, host, path, replace(unnest(ts), '&amp;', '&') AS t FROM named),
 full_aims AS (SELECT key, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
     WHEN starts_with(t, '//') THEN translate(regexp_extract(url, '{_PARTS}', 1), '{_A}', '{_Z}') || ':' || t
     WHEN starts_with(t, '/') THEN {_ORIGIN} || t WHEN starts_with(t, '?') THEN {_ORIGIN} || path || t

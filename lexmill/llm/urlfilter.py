@@ -27,9 +27,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Tags that may name another url, what makes them do so, and where. ``canonical`` may be any
+#: of the rel tokens.
+LINK_TAG, META_TAG = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+CANONICAL = r"(?is)[\s\"'/]rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"
+REFRESH = r"(?is)[\s\"'/]http-equiv\s*=\s*[\"']?\s*refresh\b"
+HREF = r"(?is)[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -79,10 +82,14 @@ def resolved(target: Column, base: Column) -> Column:
 
 
 def alias_links(url: Column, html: Column) -> Column:
-    """Array of the urls that a page names as its canonical or redirect target."""
-    link = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)
-    jump = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1)
-    found = F.transform(F.array(link, jump), lambda t: url_key(resolved(F.replace(t, F.lit("&amp;"), F.lit("&")), url)))
+    """Array of the urls that a page names as canonical or redirect targets, in all its tags."""
+
+    def targets(tag: str, kind: str, place: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), 0), lambda t: t.rlike(kind))
+        return F.transform(tags, lambda t: F.regexp_extract(t, place, 1))
+
+    every = F.concat(targets(LINK_TAG, CANONICAL, HREF), targets(META_TAG, REFRESH, TARGET))
+    found = F.transform(every, lambda t: url_key(resolved(F.replace(t, F.lit("&amp;"), F.lit("&")), url)))
     named = html.rlike("(?i)canonical|refresh") & url.contains("://")  # most pages name none
     return F.when(named, F.filter(found, lambda k: k.isNotNull() & (k != url_key(url)))).otherwise(F.array().cast("array<string>"))
 

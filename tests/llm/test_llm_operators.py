@@ -358,6 +358,21 @@ def test_url_filters(spark):
     assert judge_urls(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_every_link_of_a_page_counts(spark):
+    bad = "http://shop.net/fr/a"
+    heads = [
+        f'<link rel="canonical" href="https://ok.org/1"><link rel="canonical" href="{bad}">',
+        f'<link rel="alternate canonical" href="{bad}">',
+        f"<LINK href={bad} rel=canonical>",
+        f"<meta http-equiv='refresh' content='0; url=/x'><meta http-equiv='refresh' content='1; url={bad}'>",
+        f'<link rel="canonical-not" href="{bad}">',
+        f'<link data-rel="canonical" href="{bad}">',
+    ]
+    rows = [(k, f"https://site{k}.org/", h) for k, h in enumerate(heads)]
+    found = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [found[k] for k in range(6)] == ["block"] * 4 + ["allow"] * 2
+
+
 # ---- embeddings
 
 
