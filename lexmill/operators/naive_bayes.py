@@ -23,10 +23,15 @@ from lexmill.session import materialize
 
 @dataclass(frozen=True)
 class Variant:
-    """One model: which documents train it, and its smoothing."""
+    """One model: which documents train it, its smoothing, and the place of its features
+    when every row has an array of weights."""
 
     member: Column
     alpha: float = 1.0
+    features: int | None = None
+
+    def weight(self) -> Column:
+        return F.col("weight") if self.features is None else F.get("weight", F.lit(self.features))
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,7 @@ class BayesModel:
     prior: list[float]
     n_variants: int = 1
     max_terms: int | None = None
+    variants: tuple[Variant, ...] = ()
 
     def at(self, values: str, variant: int) -> Column:
         """The slice of one variant from an array with one entry per class."""
@@ -62,14 +68,17 @@ def nb_fit_many(
     rows = weights.select(key, "term", "weight").join(docs, key)
     sums = rows.groupBy("term").agg(
         *[
-            F.coalesce(F.sum(F.when(v.member & (F.col(label) == c), F.col("weight"))), F.lit(0.0)).alias(f"s{j}")
+            F.coalesce(F.sum(F.when(v.member & (F.col(label) == c), v.weight())), F.lit(0.0)).alias(f"s{j}")
             for j, (v, c) in enumerate(cells)
-        ]
+        ],
+        *[F.max(v.weight()).isNotNull().alias(f"k{i}") for i, v in enumerate(variants)],
     )
     sums = materialize(sums, "class_sums")  # read for the totals and for the rows
     # A few numbers per class and variant: the fitted parameters of the model.
-    size, *totals = sums.agg(F.count(F.lit(1)), *[F.sum(f"s{j}") for j in range(len(cells))]).first()
-    ll = [F.log((F.col(f"s{j}") + v.alpha) / F.lit(totals[j] + size * v.alpha)) for j, (v, _) in enumerate(cells)]
+    found = sums.agg(*[F.count_if(f"k{i}") for i in range(len(variants))], *[F.sum(f"s{j}") for j in range(len(cells))]).first()
+    sizes, totals = found[: len(variants)], found[len(variants):]
+    whole = [(totals[j] or 0.0) + sizes[j // max(1, len(classes))] * v.alpha for j, (v, _) in enumerate(cells)]
+    ll = [F.log((F.col(f"s{j}") + v.alpha) / F.lit(whole[j])) for j, (v, _) in enumerate(cells)]
     table = sums.select("term", F.array(*ll).alias("ll"))
 
     known = F.col(label).isNotNull()
@@ -78,7 +87,7 @@ def nb_fit_many(
     ).first()
     pairs = zip(counted[: len(cells)], counted[len(cells):])
     prior = [math.log(n / whole) if n else -math.inf for n, whole in pairs]
-    return BayesModel(classes, table, prior, len(variants), max_terms)
+    return BayesModel(classes, table, prior, len(variants), max_terms, tuple(variants))
 
 
 def nb_fit(weights: DataFrame, docs: DataFrame, alpha: float = 1.0, key: str = "doc_id", label: str = "label", max_terms: int | None = None) -> BayesModel:
@@ -90,7 +99,9 @@ def nb_scores(weights: DataFrame, docs: DataFrame, model: BayesModel, key: str =
     without a known term have the prior."""
     n = model.n_variants * len(model.classes)
     joined = weights.select(key, "term", "weight").join(hinted(model.table, model.max_terms), "term")
-    sums = joined.groupBy(key).agg(*[F.sum(F.col("weight") * F.get("ll", F.lit(j))).alias(f"j{j}") for j in range(n)])
+    weight = [v.weight() for v in model.variants] or [F.col("weight")] * model.n_variants
+    k = max(1, len(model.classes))
+    sums = joined.groupBy(key).agg(*[F.sum(weight[j // k] * F.get("ll", F.lit(j))).alias(f"j{j}") for j in range(n)])
     joint = F.array(*[F.lit(model.prior[j]) + F.coalesce(F.col(f"j{j}"), F.lit(0.0)) for j in range(n)])
     return docs.join(sums, key, "left").select(*docs.columns, joint.alias("joint"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions.hashing import shuffle_key
 from lexmill.functions.ordered import ordered_scan
+from lexmill.operators.feature_sets import FeatureSet, feature_weights
 from lexmill.operators.naive_bayes import BayesModel, Variant, class_of, nb_fit_many, nb_scores
 from lexmill.session import materialize
 
@@ -35,18 +36,44 @@ def _accuracy(scored: DataFrame, model: BayesModel, masks: Sequence[dict[str, Co
 
 
 def grid_search_nb(
-    weights: DataFrame, docs: DataFrame, alphas: Sequence[float], folds: int = 3, key: str = "doc_id", label: str = "label"
+    counts: DataFrame, docs: DataFrame, alphas: Sequence[float], folds: int = 3, key: str = "doc_id", label: str = "label", **limits
 ) -> DataFrame:
-    """(trial, alpha, fold, part, n_rows, score) for every smoothing value and fold."""
+    """(trial, alpha, fold, part, n_rows, score) for every smoothing value and fold.
+
+    ``counts``: (key, term, tf). Vocabulary and IDF are fitted inside each training set;
+    ``limits`` are those of a ``FeatureSet``.
+    """
     dealt = materialize(with_fold(docs.select(key, label), key, label, folds), "folds")
+    members = [F.col("fold") != f for f in range(folds)]
+    weights = materialize(feature_weights(counts, dealt, members, [FeatureSet(f, **limits) for f in range(folds)], key), "weights")
     trials = [(t, a, f) for t, a in enumerate(alphas) for f in range(folds)]
-    model = nb_fit_many(weights, dealt, [Variant(F.col("fold") != f, a) for _, a, f in trials], key, label)
-    masks = [{"train": F.col("fold") != f, "test": F.col("fold") == f} for _, _, f in trials]
+    model = nb_fit_many(weights, dealt, [Variant(members[f], a, f) for _, a, f in trials], key, label)
+    masks = [{"train": members[f], "test": F.col("fold") == f} for _, _, f in trials]
     scores = _accuracy(nb_scores(weights, dealt, model, key), model, masks, label)
     names = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(float(a)).alias("alpha"), F.lit(f).alias("fold")) for t, a, f in trials])
     return scores.withColumn("_v", F.get(names, F.col("variant"))).select("_v.*", "part", "n_rows", "score")
 
 
+def search_objective(counts: DataFrame, docs: DataFrame, settings: Sequence[dict], folds: int = 3, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """(trial, test_score, std, train_score) for every proposed setting, all in one pass.
+
+    A setting names ``alpha`` and any limits of a ``FeatureSet``; what it leaves out has the
+    default. The score is the mean test accuracy over the folds, each with a vocabulary and
+    IDF of its own training set.
+    """
+    dealt = materialize(with_fold(docs.select(key, label), key, label, folds), "folds")
+    members = [F.col("fold") != f for f in range(folds)]
+    cells = [(t, f) for t in range(len(settings)) for f in range(folds)]
+    sets = [FeatureSet(f, **{k: v for k, v in settings[t].items() if k != "alpha"}) for t, f in cells]
+    weights = materialize(feature_weights(counts, dealt, members, sets, key), "weights")
+    variants = [Variant(members[f], settings[t].get("alpha", 1.0), i) for i, (t, f) in enumerate(cells)]
+    model = nb_fit_many(weights, dealt, variants, key, label)
+    masks = [{"train": members[f], "test": F.col("fold") == f} for _, f in cells]
+    scores = _accuracy(nb_scores(weights, dealt, model, key), model, masks, label)
+    scores = scores.withColumn("trial", F.floor(F.col("variant") / folds).cast("int"))
+    return cv_summary(scores, [], folds).drop("cv_folds")
+
+
 def cv_summary(results: DataFrame, params: Sequence[str], folds: int, steps: dict[str, str] | None = None, date: str | None = None) -> DataFrame:
     """One row per trial: mean and population deviation of the test scores, mean
     train score, folds, parameters, and optionally a date and the named steps."""
@@ -64,8 +91,13 @@ def cv_summary(results: DataFrame, params: Sequence[str], folds: int, steps: dic
 
 
 def append_summary(summary: DataFrame, path: str) -> None:
-    """Add the rows to a folder of ';' CSV files with a header."""
-    summary.coalesce(1).write.mode("append").option("sep", ";").option("header", True).csv(path)
+    """Add the rows to a folder of ';' CSV files, each with a header."""
+    summary.write.mode("append").option("sep", ";").option("header", True).csv(path)
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that were ever appended to the folder."""
+    return spark.read.option("sep", ";").option("header", True).option("inferSchema", True).csv(path)
 
 
 def best_params(summary: DataFrame, params: Sequence[str]) -> DataFrame:
@@ -113,13 +145,14 @@ def best_trial(df: DataFrame, ranges: dict[str, tuple[float, float]], metric: st
 
 
 def learning_curve(
-    weights: DataFrame, docs: DataFrame, sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5,
-    alpha: float = 1.0, key: str = "doc_id", label: str = "label", seed: str = "curve",
+    counts: DataFrame, docs: DataFrame, sizes: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5,
+    alpha: float = 1.0, key: str = "doc_id", label: str = "label", seed: str = "curve", **limits,
 ) -> DataFrame:
     """(size, n_train, train_mean, train_std, test_mean, test_std).
 
     The training rows of a fold are ranked in shuffled order; a size takes the
-    first share of them, so smaller sizes are prefixes of larger ones.
+    first share of them, so smaller sizes are prefixes of larger ones. Vocabulary and
+    IDF come from the rows of that size alone; ``limits`` are those of a ``FeatureSet``.
     """
     dealt = with_fold(docs.select(key, label), key, label, folds)
     # one copy per fold that the row trains
@@ -145,7 +178,9 @@ def learning_curve(
     def member(f: int, i: int) -> Column:
         return F.coalesce(F.try_element_at("tiers", F.lit(f)) <= i, F.lit(False))
 
-    model = nb_fit_many(weights, ready, [Variant(member(f, i), alpha) for f, i in cells], key, label)
+    members = [member(f, i) for f, i in cells]
+    weights = materialize(feature_weights(counts, ready, members, [FeatureSet(v, **limits) for v in range(len(cells))], key), "weights")
+    model = nb_fit_many(weights, ready, [Variant(m, alpha, v) for v, m in enumerate(members)], key, label)
     masks = [{"train": member(f, i), "test": F.col("fold") == f} for f, i in cells]
     scores = _accuracy(nb_scores(weights, ready, model, key), model, masks, label)
     at = (F.col("variant") % len(sizes)).cast("int")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import vectors as vx
 from lexmill.operators import naive_bayes, tokens, tuning
+from lexmill.operators.search import Choice, Real, Search, Whole
 from lexmill.plans.registry import query
 from lexmill.plans.sqlparts import LABELLED, WORDS, extremes_sql, md5_key, vocab_sql
+from lexmill.session import materialize, scratch_path
 from lexmill.sources import tables
 
 
@@ -107,45 +109,100 @@ ALPHAS = (0.1, 0.5, 1.0)
 
 
 def cv_inputs(spark, d):
-    """Weights of all labelled documents under one vocabulary, and the documents."""
-    from lexmill.session import materialize
-
+    """Counts of all labelled documents, and the documents."""
     docs = labelled(spark, d)
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    counts = materialize(tokens.term_counts(docs), "counts")
-    weights = tokens.idf(tokens.build_vocab(counts, n, 2, 1.0, None), n)
-    return materialize(tokens.tfidf(counts, weights), "tfidf"), docs.select("doc_id", "label")
+    return materialize(tokens.term_counts(docs), "counts"), docs.select("doc_id", "label")
+
 
+def folds_sql(n: int) -> str:
+    return f"""(SELECT doc_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {md5_key('doc_id', 'fold')}, doc_id) - 1) % {n})::INTEGER AS fold FROM labelled)"""
 
-CV = LABELLED + f""", toks AS (SELECT doc_id, unnest({WORDS}) AS term FROM labelled),
-  counts AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL)""" + vocab_sql(cap=None) + f""",
-  weights AS (SELECT term, ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1 AS idf FROM vocab),
-  raw AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN weights USING (term)),
-  tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw),
-  folds3 AS (SELECT doc_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {md5_key('doc_id', 'fold')}, doc_id) - 1) % 3)::INTEGER AS fold FROM labelled),
-  vs AS (SELECT a.trial, a.alpha, f.f FROM (SELECT unnest(range(3))::INTEGER AS trial, unnest([0.1::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS alpha) a, (SELECT unnest(range(3))::INTEGER AS f) f)"""
 
-NB_CV = """, mem AS ({members}),
+def cv_sql(members: str, sets: str = "SELECT DISTINCT v, 2 AS low, 1e18 AS high, NULL::BIGINT AS cap, 'l2' AS norm, 1.0::DOUBLE AS alpha FROM mem") -> str:
+    """Predictions ``pred`` (v, doc_id, label, prediction) of models that see nothing but the
+    rows ``mem`` (v, doc_id, label) of their training set; limits and smoothing in ``sets``."""
+    return LABELLED + f""", counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM labelled) GROUP BY ALL),
+  mem AS ({members}), sets AS ({sets}),
+  vn AS (SELECT v, count(*) AS n FROM mem GROUP BY v),
+  vdf AS (SELECT v, term, count(*) AS df, sum(tf) AS total FROM mem JOIN counts USING (doc_id) GROUP BY v, term),
+  vfit AS (SELECT v, term, df, n, row_number() OVER (PARTITION BY v ORDER BY total DESC, term) AS r, cap FROM vdf JOIN vn USING (v) JOIN sets USING (v) WHERE df >= low AND df <= high),
+  vidf AS (SELECT v, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM vfit WHERE cap IS NULL OR r <= cap),
+  raw AS (SELECT v, doc_id, term, tf * idf AS w FROM counts JOIN vidf USING (term)),
+  tfidf AS (SELECT v, doc_id, term, w / CASE norm WHEN 'l2' THEN sqrt(sum(w * w) OVER (PARTITION BY v, doc_id)) WHEN 'l1' THEN sum(w) OVER (PARTITION BY v, doc_id) ELSE 1 END AS weight
+    FROM raw JOIN sets USING (v)),
   prior AS (SELECT v, label, ln(count(*) / sum(count(*)) OVER (PARTITION BY v)) AS lp FROM mem GROUP BY 1, 2),
-  sums AS (SELECT v, label, term, sum(weight) AS s FROM mem JOIN tfidf USING (doc_id) GROUP BY ALL),
-  grid AS (SELECT p.v, p.label, t.term, coalesce(s, 0) AS s FROM prior p CROSS JOIN vocab t LEFT JOIN sums ON sums.v = p.v AND sums.label = p.label AND sums.term = t.term),
-  tot AS (SELECT v, label, term, s, sum(s) OVER (PARTITION BY v, label) AS total, (SELECT count(*) FROM vocab) AS size FROM grid)"""
+  sums AS (SELECT v, label, term, sum(weight) AS s FROM mem JOIN tfidf USING (v, doc_id) GROUP BY ALL),
+  grid AS (SELECT p.v, p.label, t.term, coalesce(s, 0) AS s FROM prior p JOIN vidf t ON t.v = p.v LEFT JOIN sums ON sums.v = p.v AND sums.label = p.label AND sums.term = t.term),
+  ll AS (SELECT v, label, term, ln((s + alpha) / (sum(s) OVER (PARTITION BY v, label) + count(*) OVER (PARTITION BY v, label) * alpha)) AS ll FROM grid JOIN sets USING (v)),
+  hit AS (SELECT v, doc_id, ll.label AS class, sum(weight * ll) AS s FROM tfidf JOIN ll USING (v, term) GROUP BY ALL),
+  joint AS (SELECT p.v, d.doc_id, d.label, p.label AS class, lp + coalesce(h.s, 0) AS j FROM labelled d CROSS JOIN prior p
+    LEFT JOIN hit h ON h.v = p.v AND h.doc_id = d.doc_id AND h.class = p.label),
+  pred AS (SELECT v, doc_id, label, first(class ORDER BY j DESC, class) AS prediction FROM joint GROUP BY ALL)"""
+
+
+def fold_members(n: int, per_fold: int = 1) -> str:
+    """Training rows of ``n`` folds, repeated for ``per_fold`` settings: v = setting * n + fold."""
+    return f"SELECT t * {n} + f AS v, doc_id, label FROM {folds_sql(n)}, (SELECT unnest(range({n}))::INTEGER AS f), (SELECT unnest(range({per_fold}))::INTEGER AS t) WHERE fold <> f"
+
+
+def fold_sets(settings: list[dict], n: int) -> str:
+    """The feature sets of every setting and fold; shares of the training documents as counts."""
+    rows = []
+    for t, s in enumerate(settings):
+        low, high = s.get("min_df", 1), s.get("max_df", 1.0)
+        low = str(low) if isinstance(low, int) else ("1" if low == 1.0 else f"{low!r}::DOUBLE * n")
+        high = str(high) if isinstance(high, int) else f"{high!r}::DOUBLE * n"
+        cap, norm = s.get("max_features"), s.get("norm", "l2")
+        rows.append(
+            f"SELECT v, {low} AS low, {high} AS high, {'NULL' if cap is None else cap}::BIGINT AS cap, '{norm}' AS norm, {s.get('alpha', 1.0)!r}::DOUBLE AS alpha FROM vn0 WHERE v // {n} = {t}"
+        )
+    return f"WITH vn0 AS (SELECT v, count(*) AS n FROM mem GROUP BY v) " + " UNION ALL ".join(rows)
+
+
+GRID = [{"min_df": 2, "alpha": a} for a in ALPHAS]
 
 
 @query(
     "m10_grid_search_nb",
-    f"WITH {CV}" + NB_CV.format(members="SELECT f AS v, doc_id, label FROM folds3, (SELECT unnest(range(3))::INTEGER AS f) WHERE fold <> f")
-    + """, ll AS (SELECT vs.trial, vs.alpha, vs.f, label, term, ln((s + alpha) / (total + size * alpha)) AS ll FROM tot JOIN vs ON tot.v = vs.f),
-      hit AS (SELECT trial, alpha, f, doc_id, ll.label AS class, sum(weight * ll) AS s FROM tfidf JOIN ll USING (term) GROUP BY ALL),
-      joint AS (SELECT x.trial, x.alpha, x.f, d.doc_id, d.label, d.fold, p.label AS class, lp + coalesce(h.s, 0) AS j FROM folds3 d CROSS JOIN vs x JOIN prior p ON p.v = x.f
-        LEFT JOIN hit h ON h.trial = x.trial AND h.f = x.f AND h.doc_id = d.doc_id AND h.class = p.label),
-      pred AS (SELECT trial, alpha, f, doc_id, label, fold, first(class ORDER BY j DESC, class) AS prediction FROM joint GROUP BY ALL)
-      SELECT trial, alpha, f AS fold, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS part, count(*) AS n_rows,
-        round(avg(CASE WHEN label = prediction THEN 1 ELSE 0 END), 6) AS score FROM pred GROUP BY ALL""",
+    f"WITH {cv_sql(fold_members(3, len(GRID)), fold_sets(GRID, 3))}"
+    + f""" SELECT (v // 3)::INTEGER AS trial, {list(ALPHAS)}[v // 3 + 1]::DOUBLE AS alpha, (v % 3)::INTEGER AS fold, CASE WHEN fold = v % 3 THEN 'test' ELSE 'train' END AS part,
+        count(*) AS n_rows, round(avg(CASE WHEN pred.label = prediction THEN 1 ELSE 0 END), 6) AS score FROM pred JOIN {folds_sql(3)} USING (doc_id) GROUP BY ALL""",
 )
 def m10(spark, d):
-    weights, docs = cv_inputs(spark, d)
-    return tuning.grid_search_nb(weights, docs, ALPHAS, 3).withColumn("score", F.round("score", 6))
+    counts, docs = cv_inputs(spark, d)
+    return tuning.grid_search_nb(counts, docs, ALPHAS, 3, min_df=2).withColumn("score", F.round("score", 6))
+
+
+# What a search may propose; whole numbers are rounded.
+SPACE = {"min_df": Whole(1, 6), "max_df": Real(0.5, 1.0), "max_features": Whole(200, 5_000), "norm": Choice(None, "l1", "l2"), "alpha": Real(0.05, 2.0)}
+FIRST = Search(SPACE, seed=1).ask(4)
+
+
+@query(
+    "m10_search_objective",
+    f"WITH {cv_sql(fold_members(3, len(FIRST)), fold_sets(FIRST, 3))}"
+    + f""", sc AS (SELECT v, avg(CASE WHEN pred.label = prediction THEN 1.0 ELSE 0.0 END) FILTER (fold = v % 3) AS te,
+        avg(CASE WHEN pred.label = prediction THEN 1.0 ELSE 0.0 END) FILTER (fold <> v % 3) AS tr FROM pred JOIN {folds_sql(3)} USING (doc_id) GROUP BY v)
+      SELECT (v // 3)::INTEGER AS trial, round(avg(te), 6) AS test_score, round(stddev_pop(te), 6) AS std, round(avg(tr), 6) AS train_score FROM sc GROUP BY 1""",
+)
+def m10_objective(spark, d):
+    """The first settings that a search proposes, judged in one pass."""
+    counts, docs = cv_inputs(spark, d)
+    out = tuning.search_objective(counts, docs, FIRST)
+    return out.select("trial", *(F.round(c, 6).alias(c) for c in ("test_score", "std", "train_score")))
+
+
+@query("m10_search")
+def m10_search(spark, d):
+    """Two rounds of proposals; the second starts from the scores of the first."""
+    counts, docs = cv_inputs(spark, d)
+    search = Search(SPACE, seed=1)
+    for _ in range(2):
+        settings = search.ask(3)
+        found = {r.trial: r.test_score for r in tuning.search_objective(counts, docs, settings).collect()}  # one row per setting
+        search.tell(settings, [found[t] for t in range(len(settings))])
+    rows = [(i, *(s[k] for k in SPACE), v) for i, (s, v) in enumerate(search.told)]
+    return spark.createDataFrame(rows, "trial int, min_df int, max_df double, max_features int, norm string, alpha double, test_score double")
 
 
 # A trial log read off the events: each user is a study, each event a trial.
@@ -183,6 +240,21 @@ def m11(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("test_score", "std", "train_score")})
 
 
+@query(
+    "m11_results_file",
+    f"""WITH {TRIALS}, one AS (SELECT study AS trial, round(avg(accuracy) FILTER (trial % 2 = 0), 6) AS test_score,
+        round(stddev_pop(accuracy) FILTER (trial % 2 = 0), 6) AS std, round(avg(accuracy) FILTER (trial % 2 = 1), 6) AS train_score FROM trials GROUP BY 1)
+        SELECT one.*, run, 3.0::DOUBLE AS cv_folds, 'multinomial' AS nb FROM one, (VALUES ('first'), ('second')) AS t(run)""",
+)
+def m11_file(spark, d):
+    """Summaries of two runs, appended to one results folder and read back."""
+    path = scratch_path(spark, "results")
+    for run in ("first", "second"):
+        out = tuning.cv_summary(cv_results(spark, d), [], 3, {"nb": "multinomial"}, run)
+        tuning.append_summary(out.withColumns({c: F.round(c, 6) for c in ("test_score", "std", "train_score")}), path)
+    return tuning.read_summaries(spark, path).withColumnRenamed("date", "run").withColumn("trial", F.col("trial").cast("long"))
+
+
 @query(
     "m12_cv_history_filter",
     f"""WITH {TRIALS} SELECT round(learning_rate, 2) AS learning_rate, epsilon, max(accuracy) AS target FROM trials
@@ -208,24 +280,20 @@ def m13(spark, d):
 
 @query(
     "m14_learning_curve",
-    f"WITH {CV}, " + f"""folds5 AS (SELECT doc_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {md5_key('doc_id', 'fold')}, doc_id) - 1) % 5)::INTEGER AS fold FROM labelled),
+    "WITH " + cv_sql(
+        "SELECT f * 5 + i AS v, doc_id, label FROM cp, sz WHERE r <= floor(n * size)"
+    ).replace(", counts AS", f""", folds5 AS {folds_sql(5)},
       cp AS (SELECT doc_id, label, f, row_number() OVER (PARTITION BY f ORDER BY md5('curve:' || f || '-' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY f) AS n
         FROM folds5, (SELECT unnest(range(5))::INTEGER AS f) WHERE fold <> f),
-      sz AS (SELECT unnest(range(5))::INTEGER AS i, unnest([0.1::DOUBLE, 0.325::DOUBLE, 0.55::DOUBLE, 0.775::DOUBLE, 1.0::DOUBLE]) AS size)"""
-    + NB_CV.format(members="SELECT f * 5 + i AS v, doc_id, label FROM cp, sz WHERE r <= floor(n * size)")
-    + """, ll AS (SELECT v, label, term, ln((s + 1.0::DOUBLE) / (total + size)) AS ll FROM tot),
-      hit AS (SELECT v, doc_id, ll.label AS class, sum(weight * ll) AS s FROM tfidf JOIN ll USING (term) GROUP BY ALL),
-      joint AS (SELECT p.v, d.doc_id, d.label, d.fold, p.label AS class, lp + coalesce(h.s, 0) AS j FROM folds5 d CROSS JOIN prior p
-        LEFT JOIN hit h ON h.v = p.v AND h.doc_id = d.doc_id AND h.class = p.label),
-      pred AS (SELECT v, doc_id, label, fold, first(class ORDER BY j DESC, class) AS prediction FROM joint GROUP BY ALL),
-      sc AS (SELECT pred.v, count(*) FILTER (mem.doc_id IS NOT NULL) AS n_train,
+      sz AS (SELECT unnest(range(5))::INTEGER AS i, unnest([0.1::DOUBLE, 0.325::DOUBLE, 0.55::DOUBLE, 0.775::DOUBLE, 1.0::DOUBLE]) AS size), counts AS""")
+    + """, sc AS (SELECT pred.v, count(*) FILTER (mem.doc_id IS NOT NULL) AS n_train,
           avg(CASE WHEN pred.label = prediction THEN 1.0 ELSE 0.0 END) FILTER (mem.doc_id IS NOT NULL) AS tr,
           avg(CASE WHEN pred.label = prediction THEN 1.0 ELSE 0.0 END) FILTER (fold = pred.v // 5) AS te
-        FROM pred LEFT JOIN mem ON mem.v = pred.v AND mem.doc_id = pred.doc_id GROUP BY 1)
+        FROM pred JOIN folds5 USING (doc_id) LEFT JOIN mem ON mem.v = pred.v AND mem.doc_id = pred.doc_id GROUP BY 1)
       SELECT size, round(avg(n_train), 6) AS n_train, round(avg(tr), 6) AS train_mean, round(stddev_pop(tr), 6) AS train_std,
         round(avg(te), 6) AS test_mean, round(stddev_pop(te), 6) AS test_std FROM sc JOIN sz ON v % 5 = i GROUP BY 1""",
 )
 def m14(spark, d):
-    weights, docs = cv_inputs(spark, d)
-    out = tuning.learning_curve(weights, docs)
+    counts, docs = cv_inputs(spark, d)
+    out = tuning.learning_curve(counts, docs, min_df=2)
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "size"})

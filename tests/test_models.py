@@ -5,11 +5,14 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lexmill.operators import embeddings, estimators, metrics, naive_bayes, roc, telemetry, tokens, tuning
+from lexmill.operators import embeddings, estimators, logistic, metrics, naive_bayes, roc, search, telemetry, tokens, tuning
+from lexmill.operators.feature_sets import FeatureSet, feature_weights
 from lexmill.session import scratch_path
 from lexmill.streaming import jobs
 
@@ -59,17 +62,95 @@ def test_prediction_edge_cases(spark, corpus):
     assert even.first().prediction == "a"
 
 
-def test_grid_search_equals_separate_fits(corpus, weighted):
+def test_grid_search_equals_separate_fits(corpus):
+    """Each fold's model equals one trained on that fold's rows alone."""
     docs = corpus.select("doc_id", "label")
-    got = {(r.trial, r.fold, r.part): (r.n_rows, r.score) for r in tuning.grid_search_nb(weighted, docs, [0.2, 2.0], 3).collect()}
-    folds = tuning.with_fold(docs, "doc_id", "label", 3).cache()
+    counts = tokens.term_counts(corpus).cache()
+    got = {(r.trial, r.fold, r.part): (r.n_rows, r.score) for r in tuning.grid_search_nb(counts, docs, [0.2, 2.0], 3, min_df=2).collect()}
+    folds = tuning.with_fold(corpus, "doc_id", "label", 3).cache()
     assert {r["count"] for r in folds.groupBy("fold", "label").count().collect()} <= {13, 14, 26, 27}
-    train = folds.where("fold <> 1")
-    full = naive_bayes.nb_fit_many(weighted, folds, [naive_bayes.Variant(F.col("fold") != 1, 2.0)])
-    scored = naive_bayes.nb_predict(weighted, folds, full)
-    test = metrics.accuracy(scored.where("fold = 1")).first()[0]
+    own = naive_bayes.train(folds.where("fold <> 1"), min_df=2, alpha=2.0, max_features=None).predict(folds, keep=["label", "fold"])
+    test = metrics.accuracy(own.where("fold = 1")).first()[0]
     assert got[(1, 1, "test")] == (folds.where("fold = 1").count(), pytest.approx(test))
-    assert got[(1, 1, "train")][0] == train.count()
+    assert got[(1, 1, "train")][0] == folds.where("fold <> 1").count()
+
+
+@pytest.mark.parametrize("limits", [{}, {"min_df": 3, "max_df": 0.4}, {"max_features": 4, "norm": "l1"}, {"max_features": 5, "norm": None}, {"max_features": 100}])
+def test_feature_weights_equal_single_sets(spark, limits):
+    """Every set's weights equal those fitted on its rows alone, ties at the cap included."""
+    rng = np.random.default_rng(2)
+    words = list("abcdefghij")
+    rows = [(i, " ".join(w * 2 for w in rng.choice(words, size=rng.integers(0, 9))), i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fold int").cache()
+    counts = tokens.term_counts(df).cache()
+    members = [F.col("fold") != 0, F.col("fold") == 2]
+    found = feature_weights(counts, df.select("doc_id", "fold"), members, [FeatureSet(1, **limits), FeatureSet(0, **limits)])
+    got = found.collect()
+    own = {k: v for k, v in limits.items() if k != "norm"}
+    for place, member in ((0, members[1]), (1, members[0])):
+        part = df.where(member)
+        n = part.agg(F.count("*")).scalar()
+        vocab = tokens.build_vocab(tokens.term_counts(part), n, **({"max_features": None} | own))
+        wanted = {(r.doc_id, r.term): r.weight for r in tokens.tfidf(counts, tokens.idf(vocab, n), limits.get("norm", "l2")).collect()}
+        have = {(r.doc_id, r.term): r.weight[place] for r in got if r.weight[place] is not None}
+        assert have.keys() == wanted.keys() and all(have[k] == pytest.approx(wanted[k]) for k in have)
+
+
+def test_search_objective_and_proposals(corpus):
+    docs, counts = corpus.select("doc_id", "label"), tokens.term_counts(corpus).cache()
+    settings = [{"alpha": 0.2, "min_df": 2}, {"alpha": 2.0, "max_features": 3, "norm": "l1"}]
+    got = {r.trial: r.test_score for r in tuning.search_objective(counts, docs, settings, 3).collect()}
+    alone = tuning.grid_search_nb(counts, docs, [0.2], 3, min_df=2).where("part = 'test'").agg(F.avg("score")).first()[0]
+    assert got[0] == pytest.approx(alone) and len(got) == 2
+    space = {"x": search.Real(0.0, 1.0), "n": search.Whole(1, 9), "norm": search.Choice(None, "l1", "l2")}
+
+    def run():
+        s = search.Search(space, seed=4)
+        for _ in range(10):
+            asked = s.ask(3)
+            assert all(isinstance(a["n"], int) and 1 <= a["n"] <= 9 and 0 <= a["x"] <= 1 for a in asked)
+            s.tell(asked, [-((a["x"] - 0.3) ** 2) - 0.01 * abs(a["n"] - 5) - (a["norm"] == "l1") for a in asked])
+        return s
+
+    one, two = run(), run()
+    assert one.told == two.told  # reruns agree
+    assert len({tuple(a.items()) for a, _ in one.told}) == len(one.told)
+    best = max(one.told, key=lambda t: t[1])
+    assert best[1] > -0.03 and best[1] > max(v for _, v in one.told[:3])
+    mean, spread = one.expected([a for a, _ in one.told], one.told)
+    assert np.allclose(mean, [v for _, v in one.told], atol=0.1) and (spread < 0.1).all()
+
+
+def test_logistic_equals_mllib(spark, corpus):
+    counts = tokens.ngram_counts(corpus, 1, 2).cache()
+    n = corpus.count()
+    fit = logistic.fit_logistic(counts, corpus.select("doc_id", "label"), tolerance=1e-9, max_rounds=150)
+    ids = {t: i for i, t in enumerate(sorted({r.term for r in counts.select("term").distinct().collect()}))}
+    pdf = counts.toPandas()
+    labels = {r.doc_id: r.label for r in corpus.collect()}
+    rows = [(float(labels[k]), Vectors.sparse(len(ids), sorted((ids[t], float(v)) for t, v in zip(g.term, g.tf)))) for k, g in pdf.groupby("doc_id")]
+    ml = LogisticRegression(regParam=1 / n, standardization=False, tol=1e-14, maxIter=1000).fit(spark.createDataFrame(rows, ["label", "features"]))
+    have = {r.term: r.coef for r in fit.coefficients.collect()}
+    assert have.keys() == ids.keys() and fit.gradient <= 1e-9
+    assert np.allclose([have[t] for t in ids], [ml.coefficients[i] for i in ids.values()], atol=1e-6)
+    assert fit.intercept == pytest.approx(ml.intercept, abs=1e-6)
+    slope = logistic.gradient_at(fit, counts, corpus.select("doc_id", "label"))
+    assert slope.count() == len(ids) + 1 and slope.agg(F.max(F.abs("gradient"))).first()[0] <= 2e-9
+    odd = spark.createDataFrame([(900, "nothing known"), (901, "")], "doc_id long, text string")
+    prior = {r.prob for r in fit.predict(tokens.ngram_counts(odd, 1, 2), odd.select("doc_id")).collect()}
+    assert prior == {pytest.approx(1 / (1 + math.exp(-fit.intercept)))}
+    # documents without a label are left out, those without terms count
+    more = corpus.select("doc_id", "label").unionByName(spark.createDataFrame([(500, None), (501, 1)], "doc_id long, label int"))
+    wider = logistic.fit_logistic(counts, more, tolerance=1e-4)
+    assert wider.coefficients.count() == len(ids)
+
+
+def test_equal_columns_share_a_coefficient(spark):
+    rows = [(1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 1), (2, "c", 1), (3, "d", 1), (2, "e", 1)]
+    terms, columns = logistic.equal_columns(spark.createDataFrame(rows, "doc_id long, term string, tf long"))
+    found = {r.term: r.col for r in terms.collect()}
+    assert found["a"] == found["b"] and found["c"] == found["e"] and len(set(found.values())) == 3
+    assert sorted((r.term, r.twins) for r in columns.collect()) == [("a", 2), ("c", 2), ("d", 1)]
 
 
 def test_cv_tables(spark):
@@ -81,7 +162,7 @@ def test_cv_tables(spark):
     path = scratch_path(spark, "cv")
     tuning.append_summary(s, path)
     tuning.append_summary(s, path)
-    back = spark.read.option("sep", ";").option("header", True).option("inferSchema", True).csv(path)
+    back = tuning.read_summaries(spark, path)
     assert back.count() == 4
     kept = tuning.cv_history_filter(back, {"alpha": (0.1, 0.7)}, 2).collect()
     assert [(r.alpha, r.target) for r in kept] == [(0.5, pytest.approx(0.7))]
@@ -89,8 +170,9 @@ def test_cv_tables(spark):
     assert [r.a for r in tuning.round_params(near, {"a": True, "b": False}).collect()] == [2, 4]
 
 
-def test_learning_curve_uses_all_rows_at_the_end(corpus, weighted):
-    got = {r["size"]: r for r in tuning.learning_curve(weighted, corpus.select("doc_id", "label"), (0.1, 0.5, 1.0), 4).collect()}
+def test_learning_curve_uses_all_rows_at_the_end(corpus):
+    counts = tokens.term_counts(corpus)
+    got = {r["size"]: r for r in tuning.learning_curve(counts, corpus.select("doc_id", "label"), (0.1, 0.5, 1.0), 4).collect()}
     assert got[1.0].n_train == 90 and got[0.1].n_train == 9
     assert got[1.0].test_mean > 0.6
 
@@ -224,7 +306,6 @@ def test_every_gram_is_kept_and_long_words_are_split(spark):
     vocab = spark.createDataFrame([("a",), ("##a",), ("##aaaa",)], "piece string")
     got = encode.subword_tokens(spark.createDataFrame([("a" * 150,)], "word string"), vocab).first().pieces
     assert "".join(got).replace("##", "") == "a" * 150
-    assert estimators.nb_chain().getStages()[1].getVocabSize() == estimators.ALL_TERMS
 
 
 def test_large_weights_are_not_broadcast(spark):
@@ -294,7 +375,9 @@ def test_anchor_projection(spark):
 # ---- pipelines and streams ------------------------------------------------
 
 def test_smooth_idf_stage_equals_long_table(spark, corpus, weighted):
-    chain = estimators.nb_chain().fit(corpus)
+    counted = CountVectorizer(inputCol="words", outputCol="counts")
+    stages = [estimators.word_tokenizer(), counted, estimators.SmoothIdf(inputCol="counts", outputCol="w"), Normalizer(p=2.0, inputCol="w", outputCol="normed")]
+    chain = Pipeline(stages=stages).fit(corpus)
     vocab = chain.stages[1].vocabulary
     rows = chain.transform(corpus).select("doc_id", "normed").collect()
     want = {(r.doc_id, r.term): r.weight for r in weighted.collect()}
@@ -303,6 +386,12 @@ def test_smooth_idf_stage_equals_long_table(spark, corpus, weighted):
             assert want[(r.doc_id, vocab[i])] == pytest.approx(float(w))
 
 
+def test_chain_keeps_every_term(corpus):
+    model = estimators.nb_chain().fit(corpus)
+    assert model.stages[0].trained.model.max_terms is None
+    assert model.transform(corpus).where("prediction = label").count() > 80
+
+
 def test_stream_goes_on_after_a_restart(spark, corpus):
     trained = naive_bayes.train(corpus)
     source, sink, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
