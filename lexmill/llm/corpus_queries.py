@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm.linededup import dedup_lines
-from lexmill.llm.mixing import mix_plan
+from lexmill.llm.mixing import SCHEDULES, mix_plan
 from lexmill.llm.packing import pack
 from lexmill.llm.quality import judge_quality
 from lexmill.llm.registry import query
@@ -21,7 +23,9 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_packing")
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    # a row's place in its file tells repeated rows apart
+    docs = documents(spark, folder).select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), apart=["file_name", "row_index"])
 
 
 def repeated_sql(words: int) -> str:
@@ -93,9 +97,19 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), "text")
 
 
+def _time_sql(share: str, knots: Sequence[float]) -> str:
+    """Time at which the integral of a schedule of two knots has reached a share of its whole."""
+    a, b = knots
+    whole = (a + b) / 2
+    return f"least(2 * ({share}) * {whole} / nullif({a} + sqrt(greatest({a * a} + 2 * ({b - a}) * ({share}) * {whole}, 0)), 0), 1.0)"
+
+
+_PLACE = "least((r * source_size + placed + size / 2) / target, 1.0)"
+_TIMES = " ".join(f"WHEN {k} THEN {_time_sql(_PLACE, knots)}" for k, knots in enumerate(SCHEDULES))
 OP8_SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS u FROM documents),
+WITH t AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+  coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS key FROM documents),
+d AS (SELECT *, md5('mix:' || key || ':' || (row_number() OVER (PARTITION BY source, key) - 1)) AS u FROM t),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 r AS (SELECT *, [5.0, 2.0, 1.0][(k % 3 + 1)::INT]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM s),
 f AS (SELECT *, cap / weight AS ratio, sum(cap) OVER o AS caps, sum(weight) OVER o AS used,
@@ -103,17 +117,19 @@ f AS (SELECT *, cap / weight AS ratio, sum(cap) OVER o AS caps, sum(weight) OVER
 v AS (SELECT *, (total - (caps - cap)) / (weights - (used - weight)) AS level FROM f),
 m AS (SELECT arg_min(level, (ratio, k)) AS level FROM v WHERE level <= ratio),
 g AS (SELECT source, k, source_size, coalesce(least(cap, m.level * weight), 0.0) AS target FROM r, m),
-u AS (SELECT k, u, size, source_size, target, count(*) * size AS words FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY k, u, size, source_size, target),
-c AS (SELECT *, sum(words) OVER (PARTITION BY k ORDER BY u, size) - words AS placed, floor(target / nullif(source_size, 0)) AS q FROM u),
-n AS (SELECT *, CASE WHEN target > 0 THEN least(q + CASE WHEN placed + words / 2 < target - q * source_size THEN 1 ELSE 0 END, 3) ELSE 0 END AS copies FROM c)
-SELECT d.doc_id, d.size, n.source_size, n.target, (d.size * n.copies)::BIGINT AS taken
-FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN n ON n.k = g.k AND n.u = d.u AND n.size = d.size"""
+c AS (SELECT d.doc_id, d.size, g.*, sum(size) OVER (PARTITION BY k ORDER BY u) - size AS placed, floor(target / nullif(source_size, 0)) AS q
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT *, (CASE WHEN target > 0 THEN least(q + CASE WHEN placed + size / 2 < target - q * source_size THEN 1 ELSE 0 END, 3) ELSE 0 END)::INT AS copies FROM c)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+  list_transform(range(copies), lambda r: round((CASE k % 3 {_TIMES} END)::DOUBLE, 9)) AS positions
+FROM n"""
 
 
 @query("op8_mixing", OP8_SQL)
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    plan = mix_plan(documents(spark, folder))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"))
+    plan = mix_plan(documents(spark, folder).select("doc_id", "source", "text"))
+    taken = (F.col("size") * F.size("positions")).alias("taken")
+    return plan.select("doc_id", "size", "source_size", "target", taken, F.transform("positions", lambda x: F.round(x, 9)).alias("positions"))
 
 
 @query("op9_simhash")

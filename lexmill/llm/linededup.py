@@ -15,17 +15,21 @@ from each start and backward from each end (a line near the end of the run, too
 start a window of its own, lies in the backward window that ends at it). A window of d
 lines at s is the interval of depth d around suffix s, named by the ranks at depth
 h = 2^floor(log2 d) of s and of s + d - h. Of every interval the first place stays and
-the lines of all later ones go.
+the lines of all later ones go; per document they are united to runs (first, last).
+
+A line or passage that is very common is a class of many rows. Such classes, of which there
+can be only a few, travel to the rows; all others meet them in a join.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexmill.functions.ordered import ordered_scan
+from lexmill.llm.columns import passing_through
 from lexmill.session import materialize
 
 _KEY = ["_k1", "_k2", "_k3"]
@@ -59,12 +63,29 @@ def _sequence(docs: DataFrame) -> DataFrame:
     return materialize(placed.select(*_KEY, (F.col("_upto") - F.col("_n")).alias("_at"), F.col("_upto").alias("_end"), "lines"), "lines")
 
 
+def _spread_join(rows: DataFrame, classes: DataFrame, keys: list[str], at: str = "at", share: int = 4) -> DataFrame:
+    """Inner join of ``rows`` with ``classes`` (keys, n, one more column), whose ``n`` is the
+    number of their rows. A class with more than a ``share`` * shards-th of all rows in classes
+    is broadcast, so at most ``share`` * shards rows are; its rows are dealt by their place
+    and not by the key."""
+    shards = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (value,) = [c for c in classes.columns if c not in (*keys, "n")]
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+    large = classes.where(F.col("n") * share * shards > total.scalar()).select(*keys, F.col(value).alias("_hot"))
+    met = rows.join(F.broadcast(large), keys, "left")
+    dealt = met.withColumns({f"_d{i}": F.when(F.col("_hot").isNotNull(), F.xxhash64(F.lit(i), at)).otherwise(F.col(k).cast("bigint")) for i, k in enumerate(keys)})
+    small = classes.select(*(F.col(k).cast("bigint").alias(f"_d{i}") for i, k in enumerate(keys)), F.col(value).alias("_cold"))
+    out = dealt.join(small, [f"_d{i}" for i in range(len(keys))], "left")
+    return out.select(*rows.columns, F.coalesce("_hot", "_cold").alias(value)).where(F.col(value).isNotNull())
+
+
 def _ranked(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rows whose pair (a, b) occurs more than once, with ``rank``: the number of such
     rows that sort before the pair."""
     classes = materialize(rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     order = ordered_scan(classes, [], [a, b], {"upto": ("sum", "n")})
-    return rows.join(order.select(a, b, (F.col("upto") - F.col("n")).alias("rank")), [a, b]).drop(a, b)
+    order = order.select(a, b, "n", (F.col("upto") - F.col("n")).alias("rank"))
+    return _spread_join(rows, order, [a, b]).drop(a, b)
 
 
 def _windows(min_words: int):
@@ -126,8 +147,8 @@ def repeated_windows(seq: DataFrame, min_words: int) -> DataFrame:
         tail = level.select(F.col("at").alias("_t"), F.col("rank").alias("r2"))
         named = mine.join(head, "at").withColumn("_t", F.col("at") + F.col("d") - h).join(tail, "_t").drop("_t")
         named = materialize(named, "named")
-        first = named.groupBy("d", "r1", "r2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        later = named.join(first, ["d", "r1", "r2"]).where("at > first").select("at", "d", "end")
+        first = named.groupBy("d", "r1", "r2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        later = _spread_join(named, materialize(first, "first"), ["d", "r1", "r2"]).where("at > first").select("at", "d", "end")
         found = later if found is None else found.unionByName(later)
         h *= 2
         if h > longest:
@@ -138,6 +159,16 @@ def repeated_windows(seq: DataFrame, min_words: int) -> DataFrame:
     return windows.limit(0) if found is None else found
 
 
+def _united(windows: DataFrame) -> DataFrame:
+    """(end, first, stop): the union of each document's windows as runs of lines."""
+    lines = Window.partitionBy("end").orderBy("at", "d")  # the windows of one document
+    reached = F.max(F.col("at") + F.col("d")).over(lines.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = windows.select("end", "at", "d", (reached.isNull() | (F.col("at") > reached)).cast("int").alias("fresh"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(lines))
+    return runs.groupBy("end", "run").agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("d")).alias("stop")).drop("run")
+
+
+@passing_through("doc_id", "text")
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with text freed of repeated line runs, and _n_lines, _n_deleted (bigint).
 
@@ -146,14 +177,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     text). Lines are the pieces between ``\\n``; words are what white space separates.
     Kept lines keep their order. A null text stays null with 0 lines; an empty text has
     one empty line. Documents with null ids come last. Rows with equal id and text are
-    one document: they get the same result. Other columns pass through.
+    one document: they get the same result. Other columns pass through; one with the name
+    of an added column gives way to it.
     """
     seq = _sequence(docs)
     windows = repeated_windows(seq, min_words)
-    lines = windows.select("end", F.explode(F.sequence("at", F.col("at") + F.col("d") - 1)).alias("p")).distinct()
-    gone = lines.groupBy("end").agg(F.collect_list("p").alias("p"))
-    places = seq.select(*_KEY, "_at", "_end").join(gone, F.col("_end") == F.col("end"))
-    marks = materialize(places.select(*_KEY, F.transform("p", lambda p: (p - F.col("_at")).cast("int")).alias("_gone")), "gone")
+    runs = _united(windows).groupBy("end").agg(F.collect_list(F.struct("first", "stop")).alias("runs"))
+    places = seq.select(*_KEY, "_at", "_end").join(runs, F.col("_end") == F.col("end"))
+    inside = F.transform("runs", lambda r: F.struct((r["first"] - F.col("_at")).cast("int").alias("first"), (r["stop"] - F.col("_at")).cast("int").alias("stop")))
+    marks = materialize(places.select(*_KEY, F.array_sort(inside).alias("_gone")), "gone")
     # one strategy at every size: the marks grow with the documents
     joined = _keyed(docs).join(marks.hint("merge"), _KEY, "left").drop(*_KEY)
     names = docs.columns
@@ -166,11 +198,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 text, drop = t.as_py(), g.as_py()
                 count = 0 if text is None else text.count("\n") + 1
                 if drop:
-                    dropped = set(drop)
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in dropped)
+                    lines, left, at = text.split("\n"), [], 0
+                    for run in drop:
+                        left += lines[at : run["first"]]
+                        at = run["stop"]
+                    text = "\n".join(left + lines[at:])
                 out.append(text)
                 n.append(count)
-                m.append(len(drop) if drop else 0)
+                m.append(sum(run["stop"] - run["first"] for run in drop) if drop else 0)
             cols = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[*names, "_n_lines", "_n_deleted"])
 

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from lexmill.llm.columns import passing_through
 from lexmill.llm.components import connected
 from lexmill.session import materialize
 
@@ -233,6 +234,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+@passing_through("doc_id", "text")
 def one_per_group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row of ``docs`` for each group of ``simhash_groups``.
 

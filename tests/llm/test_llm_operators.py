@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexmill.llm import maintext, packing, quality, simhash, toxicity
@@ -119,6 +120,49 @@ def test_piece_ids_equal_the_tokenizer():
         assert own == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_take_their_own_way():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encoder(BPE).known and not packing.encoder(path).known
+    plain = Tokenizer.from_file(path)
+    for text in ("Hello  World, it's 12 o'clock\n", "", "Ünïcode Ω"):
+        assert np.frombuffer(packing.encoder(path).encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_copies_keep_apart(spark):
+    r = random.Random(6)
+    lengths = [r.randint(200, 900) for _ in range(60)]
+    names = [k // 3 for k in range(180)]
+    sequences = packing.pack_lengths([lengths[n] for n in names], 2048, names)
+    for pieces in sequences[:-12]:  # the last few hold what is left
+        docs = {d for d, _, _ in pieces}
+        assert len({names[d] for d in docs}) == len(docs)
+    text = sentences(r, 300, 300)
+    rows = [(1, text, k) for k in range(400)] + [(k, sentences(r, 20, 90), k) for k in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, place int")
+    found = pack(docs, BPE, group_bytes=20_000, apart=["place"]).collect()
+    check_pieces(found, rows)
+    assert max(Counter(p.sequence_id >> 32 for p in found if p.doc_id == 1).values()) < 60
+
+
+def test_packing_keeps_the_curriculum(spark):
+    """Sources fade in and out over the sequences as their schedules say."""
+    r = random.Random(7)
+    rows = [(k, sentences(r, 40, 80), "abc"[k % 3]) for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mix(docs, weights=(1.0, 1.0, 1.0)).cache()
+    found = pack(mixed, BPE, group_bytes=8_000, order=["_position"]).collect()
+    check_pieces(found, [(x.doc_id, x.text) for x in mixed.collect()])
+    ids = sorted({p.sequence_id for p in found})
+    tenth = {s: 10 * i // len(ids) for i, s in enumerate(ids)}
+    tokens = Counter()
+    for p in found:
+        tokens["abc"[p.doc_id % 3], tenth[p.sequence_id]] += p.length
+    for k in range(10):
+        whole = sum(tokens[s, k] for s in "abc")
+        for s, (a, b) in zip("abc", ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))):
+            assert abs(tokens[s, k] / whole - (a + (b - a) * (k + 0.5) / 10) / 3) < 0.05
+
+
 # ---- sharding
 
 
@@ -215,6 +259,25 @@ def test_dedup_lines_by_brute_force(spark, rows, least):
     assert got == right
 
 
+def test_dedup_lines_with_many_blank_lines(spark):
+    """Long windows of lines without words are united, not unfolded."""
+    text = "\n" * 20_000 + " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + "\nown")], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    assert [found[k]._n_deleted for k in (1, 2, 3)] == [0, 20_001, 20_001]
+    assert found[1].text == text and found[2].text == "" and found[3].text == "own"
+
+
+def test_spread_join_of_large_classes(spark):
+    from lexmill.llm.linededup import _spread_join
+
+    rows = [(k, 0 if k % 2 else k % 40, 1) for k in range(2_000)]
+    frame = spark.createDataFrame(rows, "at bigint, a bigint, b int")
+    classes = spark.createDataFrame([(a, 1, n, 10 * a) for a, n in Counter(r[1] for r in rows).items() if a != 38], "a bigint, b int, n bigint, v bigint")
+    found = sorted((r.at, r.a, r.b, r.v) for r in _spread_join(frame, classes, ["a", "b"]).collect())
+    assert found == [(k, a, b, 10 * a) for k, a, b in rows if a != 38]
+
+
 def test_dedup_lines_of_nothing(empty, spark):
     assert dedup_lines(empty).count() == 0
     alone = spark.createDataFrame([(1, "a b\nc")], "doc_id bigint, text string")
@@ -250,6 +313,39 @@ def test_mix_edges(docs, rows, empty):
     assert sorted(map(str, plan)) == sorted(map(str, mix_plan(docs.repartition(2)).collect()))
 
 
+def test_mix_places_rows_not_units(spark):
+    """Rows without id and of one size, with other columns or equal ones, meet the target."""
+    rows = [(None, f"a b c d{k}", "s", k % 2) for k in range(50)] + [(7, "same four words here", "s", 0)] * 40
+    rows += [(k, "w " * 4, "t", 0) for k in range(400)] + [(k, "w " * 4, "u", 0) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _position int").repartition(3)
+    plan = mix_plan(docs).collect()
+    assert len(plan) == len(rows)
+    for source in "stu":
+        mine = [r for r in plan if r._name == source]
+        assert abs(sum(r["size"] * r.copies for r in mine) - mine[0].target) <= 4
+    taken = mix(docs)
+    assert taken.columns == ["doc_id", "text", "source", "_position"]
+    wanted = sum(r.copies for r in plan)
+    assert taken.count() == wanted
+    ours = Counter((r.doc_id, r.text) for r in taken.collect())
+    assert set(ours) <= {r[:2] for r in rows} and ours[7, "same four words here"] == sum(r.copies for r in plan if r.doc_id == 7)
+
+
+# ---- clashing columns
+
+
+def test_clashing_columns_pass_through(spark, docs):
+    added = {judge_quality: {"_kept", "_n_words"}, dedup_lines: {"_n_lines"}, mix: {"_position"}, simhash.one_per_group: set()}
+    for fn, gives_way in added.items():
+        names = ["_bytes", "_gone", "_k1", "_end", "_unnamed", "_id", "_h1", "_u", "_name", "_none", "_size", "_row", "other3", *sorted(gives_way)]
+        wide = docs.select("doc_id", "text", "source", *(F.lit(f"mine {n}").alias(n) for n in names))
+        out = fn(wide)
+        assert len(set(out.columns)) == len(out.columns)
+        first = out.first()
+        for n in names:
+            assert (first[n] == f"mine {n}") == (n not in gives_way)
+
+
 # ---- SimHash
 
 
