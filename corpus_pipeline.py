@@ -6,8 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexmill.llm.columns import neutral_names
 from lexmill.llm.linededup import dedup_lines
 from lexmill.llm.mixing import mix
 from lexmill.llm.packing import pack
@@ -26,7 +28,7 @@ def same_columns(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        neutral = [c if c in USED else f"other{i}" for i, c in enumerate(docs.columns)]
+        neutral = neutral_names(docs.columns, USED)
         return stage(spark, docs.toDF(*neutral), sf_dir).select(*neutral).toDF(*docs.columns)
 
     return run_stage
@@ -58,13 +60,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @same_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in training order."""
+    """Every document as often as the mix takes it, range-sorted by training position: the
+    order in which the rows are written is the curriculum."""
     return mix(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents in sequences of 2048 tokens. The order of the written rows is kept
+    in ranges: sequence ids ascend with it. Rows that were not read from files have no order."""
+    bpe = public_tokenizers.path("word_bpe_49k.json")
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+        placed = docs.select(
+            "doc_id", "text", F.when(part != "", part).cast("long").alias("part"),
+            F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"),
+        )
+    except AnalysisException:  # no file metadata
+        return pack(docs, bpe)
+    return pack(placed, bpe, order=["part", "file", "row"])
 
 
 STAGES = [
