@@ -328,7 +328,7 @@ def test_mix_places_rows_not_units(spark):
     wanted = sum(r.copies for r in plan)
     assert taken.count() == wanted
     ours = Counter((r.doc_id, r.text) for r in taken.collect())
-    assert set(ours) <= {r[:2] for r in rows} and ours[7, "same four words here"] == sum(r.copies for r in plan if r.doc_id == 7)
+    assert set(ours) <= {r[:2] for r in rows} and ours[7, "same four words here"] == sum(r.copies for r in plan if (r._name, r.doc_id) == ("s", 7))
 
 
 # ---- clashing columns
