@@ -1,13 +1,16 @@
 """Profiles of corpora: counts, shares, quantiles, histograms.
 
-Quantiles and cumulative shares are exact. Values are counted first, so repeated
-values cost one row, and the running totals come from ``ordered_scan``.
+Quantiles, cumulative shares and top values are exact. A quantile is selected by narrowing;
+for cumulative shares values are counted first and summed by ``ordered_scan``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexmill.functions.joins import null_safe_join
@@ -107,55 +110,89 @@ def counted_values(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
     return materialize(counts, "counts")
 
 
-def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
-    """Exact quantiles by linear interpolation: one array ``quantiles`` per group."""
-    counts = counted_values(df, col, by) if counts is None else counts
+#: Accuracy of the sketch that brackets a rank, and the group size up to which the whole
+#: range is the bracket. They decide how many rows the second pass counts, never the result.
+ACCURACY, SMALL = 10_000, 100_000
+
+
+def _narrow(df: DataFrame, col: str, by: Sequence[str], stored: bool) -> DataFrame:
+    """(by..., value) without nulls; written when it is costly to compute twice."""
+    rows_of = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("value"))
+    return rows_of if stored else materialize(rows_of, "values")
+
+
+def _selected(values: DataFrame, sketch: DataFrame, qs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by..., quantiles) from values and a ``sketch`` row per group (total, low, high, near):
+    ``near`` holds two values around every quantile, whose ranks are at most 3 / ACCURACY of
+    the group away. Only rows between the two are counted by value; those below are a number."""
     by = list(by)
-    placed = ordered_scan(counts, by, ["value"], {"upto": ("sum", "n")})
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    ranked = null_safe_join(placed, totals, by) if by else placed.withColumn("total", totals.scalar())
-    value = F.col("value").cast("double")
+    ends = [F.struct(F.get("near", F.lit(2 * i)).alias("lo"), F.get("near", F.lit(2 * i + 1)).alias("hi")) for i in range(len(qs))]
+    whole = F.array(F.struct(F.col("low").alias("lo"), F.col("high").alias("hi")))
+    brackets = F.when(F.col("total") <= SMALL, whole).otherwise(F.array(*ends))
+    sketch = materialize(sketch.withColumn("brackets", brackets).select(*by, "total", "brackets"), "brackets")
+    if by:
+        met = null_safe_join(values, sketch.select(*by, "brackets"), by)
+    else:
+        met = values.withColumn("brackets", sketch.select("brackets").scalar())
+    none = F.lit(None).cast("double")
+    places = F.transform(
+        "brackets",
+        lambda b, j: F.when(F.col("value") < b["lo"], F.struct(j.alias("j"), none.alias("v")))
+        .when(F.col("value") <= b["hi"], F.struct(j.alias("j"), F.col("value").alias("v"))),
+    )
+    counts = met.select(*by, F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).groupBy(*by, "p.j", "p.v").agg(rows().alias("n"))
+    # the rows below a bracket come first, as their value is null
+    placed = ordered_scan(materialize(counts, "counts"), [*by, "j"], ["v"], {"upto": ("sum", "n")})
+    ranked = null_safe_join(placed, sketch.select(*by, "total"), by) if by else placed.withColumn("total", sketch.select("total").scalar())
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), value))
+    def at(i: int, rank: Column) -> Column:
+        mine = F.col("j") == F.when(F.col("total") <= SMALL, 0).otherwise(i)
+        return F.max(F.when(mine & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
 
     aggs = []
     for i, q in enumerate(qs):
         pos = F.lit(float(q)) * (F.col("total") - 1)
-        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        low, high = at(i, F.floor(pos)), at(i, F.ceil(pos))
         aggs.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(f"q{i}"))
     return ranked.groupBy(*by).agg(*aggs).select(*by, F.array(*[f"q{i}" for i in range(len(qs))]).alias("quantiles"))
 
 
+def _sketch(qs: Sequence[float]) -> list[Column]:
+    near = [p for q in qs for p in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
+    return [
+        rows().alias("total"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.percentile_approx("value", F.array(*map(F.lit, near)), ACCURACY).alias("near"),
+    ]
+
+
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), stored: bool = False) -> DataFrame:
+    """Exact quantiles by linear interpolation: one array ``quantiles`` per group.
+
+    Selection by narrowing: a mergeable sketch of every group names two values around each
+    wanted rank, and one more pass counts what lies between them. Neither all distinct values
+    nor a sort of them is needed. ``stored``: ``df`` is a table that is cheap to scan twice.
+    """
+    values = _narrow(df, col, by, stored)
+    return _selected(values, values.groupBy(*by).agg(*_sketch(qs)), qs, by)
+
+
 def quantile(df: DataFrame, col: str, q: float) -> DataFrame:
     return quantiles(df, col, [q]).select(F.get("quantiles", F.lit(0)).alias("quantile"))
 
 
-def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles and max, from counted values."""
-    by = list(by)
-    counts = counted_values(df, col, by)
-    n, v = F.col("n"), F.col("value").cast("double")
-    total, mean = F.sum("n"), F.sum(v * n) / F.sum("n")
-    basic = counts.groupBy(*by).agg(
-        total.alias("count"), mean.alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    # second pass around the mean: sums of squares alone would cancel
-    centred = (
-        null_safe_join(counts, basic.select(*by, "mean"), by) if by else counts.withColumn("mean", basic.select("mean").scalar())
-    )
-    spread = centred.groupBy(*by).agg(
-        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("std")
-    )
-    quarts = quantiles(df, col, [0.25, 0.5, 0.75], by, counts)
+def describe_numeric(df: DataFrame, col: str, by: Sequence[str] = (), stored: bool = False) -> DataFrame:
+    """count, mean, sample deviation, min, quartiles and max; one pass for the moments and
+    the sketch, one for the quartiles."""
+    by, qs = list(by), [0.25, 0.5, 0.75]
+    values = _narrow(df, col, by, stored)
+    basic = values.groupBy(*by).agg(*_sketch(qs), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    basic = materialize(basic, "moments")
+    quarts = _selected(values, basic, qs, by)
     q = F.col("quantiles")
-    if by:
-        joined = null_safe_join(null_safe_join(basic, spread, by), quarts, by)
-    else:
-        joined = basic.withColumn("std", spread.scalar()).withColumn("quantiles", quarts.scalar())
+    joined = null_safe_join(basic, quarts, by) if by else basic.withColumn("quantiles", quarts.scalar())
     return joined.select(
-        *by, "count", "mean", "std", "min",
-        F.get(q, F.lit(0)).alias("q25"), F.get(q, F.lit(1)).alias("q50"), F.get(q, F.lit(2)).alias("q75"), "max",
+        *by, F.col("total").alias("count"), "mean", "std", F.col("low").alias("min"),
+        F.get(q, F.lit(0)).alias("q25"), F.get(q, F.lit(1)).alias("q50"), F.get(q, F.lit(2)).alias("q75"), F.col("high").alias("max"),
     )
 
 
@@ -277,7 +314,7 @@ def feature_stats_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> D
     ]
     one = wide.agg(*structs)
     basic = one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
-    medians = quantiles(wide.unpivot([], cols, "column", "value"), "value", [0.5], ["column"])
+    medians = quantiles(wide.unpivot([], cols, "column", "value"), "value", [0.5], ["column"], stored=True)
     return basic.join(medians, "column", "left").select(
         *basic.columns, F.get("quantiles", F.lit(0)).alias("median")
     )
@@ -301,6 +338,55 @@ def feature_stats_string(df: DataFrame, cols: Sequence[str] | None = None) -> Da
     )
 
 
+def _heavy_hitters(values: DataFrame, cols: Sequence[str], capacity: int) -> DataFrame:
+    """(column, value, n, lost): per task and column the values of a Misra-Gries summary. A
+    value's count is between ``n`` and ``n`` plus the tasks' ``lost``, which comes with a null value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lost = [Counter() for _ in cols], [0] * len(cols)
+        for batch in batches:
+            for i in range(len(cols)):
+                found = pc.value_counts(batch.column(i).drop_null())
+                held[i].update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())))
+                if len(held[i]) > 2 * capacity:
+                    cut = sorted(held[i].values(), reverse=True)[capacity]
+                    held[i] = Counter({v: n - cut for v, n in held[i].items() if n > cut})
+                    lost[i] += cut
+        out = [(c, v, n, 0) for i, c in enumerate(cols) for v, n in held[i].items()] + [(c, None, 0, lost[i]) for i, c in enumerate(cols)]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["column", "value", "n", "lost"])
+
+    return values.mapInArrow(run, "column string, value string, n long, lost long")
+
+
+def top_values(df: DataFrame, k: int = 10, cols: Sequence[str] | None = None, capacity: int = 1_024) -> DataFrame:
+    """(column, rank, value, n): the ``k`` most frequent values of every text column, ties by
+    value, nulls left out. Exact.
+
+    Summaries of bounded size name the candidates, which are counted in a second pass. What
+    is no candidate occurs at most as often as the summaries have lost; a column whose k-th
+    count is not above that (its values are too many and too even) is grouped in full.
+    """
+    cols = list(cols or string_columns(df))
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    found = materialize(_heavy_hitters(texts, cols, capacity), "hitters")
+    lost = {r["column"]: r["lost"] for r in found.groupBy("column").agg(F.sum("lost").alias("lost")).collect()}  # one row per column
+    sums = found.where("value is not null").groupBy("column", "value").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    ranked = lambda counts: counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    least = {r["column"]: r["n"] for r in ranked(sums).groupBy("column").agg(F.min("n").alias("n")).collect()}
+    bound = F.create_map(*(F.lit(x) for c in cols for x in (c, max(0, least.get(c, 0) - lost.get(c, 0)))))
+    candidates = sums.where(F.col("n") >= F.element_at(bound, F.col("column"))).select("column", "value")
+    long = texts.unpivot([], cols, "column", "value").where("value is not null")
+    counted = materialize(ranked(long.join(candidates, ["column", "value"]).groupBy("column", "value").agg(rows().alias("n"))), "counted")
+    smallest = {r["column"]: (r["n"], r["m"]) for r in counted.groupBy("column").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("m")).collect()}
+    open_ = [c for c in cols if lost.get(c) and (c not in smallest or smallest[c][1] < k or smallest[c][0] <= lost[c])]
+    if open_:
+        whole = texts.select(*open_).unpivot([], open_, "column", "value").where("value is not null").groupBy("column", "value").agg(rows().alias("n"))
+        counted = counted.where(~F.col("column").isin(open_)).unionByName(ranked(whole))
+    return counted.select("column", "rank", "value", "n")
+
+
 def feature_histograms(df: DataFrame, bins: int = 10, cols: Sequence[str] | None = None) -> DataFrame:
     """Equal-width histogram of every numeric column on its own range."""
     cols = list(cols or numeric_columns(df))

@@ -99,25 +99,25 @@ def roc_micro(df: DataFrame, classes: Sequence, prob: str = "prob", label: str =
 
 def roc_macro(df: DataFrame, classes: Sequence, prob: str = "prob", label: str = "label") -> DataFrame:
     """(fpr, tpr): the mean of the class curves on the union of their rates. Between
-    two points a curve is linear; at a rate with several points its highest counts."""
-    points = roc_per_class(df, classes, prob, label)
-    knots = materialize(
-        points.groupBy("class", "fpr").agg(F.max("tpr").alias("high"), F.min("tpr").alias("low")), "knots"
-    )
-    names = F.array(*[F.lit(c) for c in classes])
-    grid = knots.select("fpr").distinct().withColumn("class", F.explode(names))
-    placed = grid.join(knots, ["class", "fpr"], "left").withColumns(
-        {
-            "from_point": F.when(F.col("high").isNotNull(), F.struct(F.col("fpr").alias("x"), F.col("high").alias("y"))),
-            "to_point": F.when(F.col("low").isNotNull(), F.struct(F.col("fpr").alias("x"), F.col("low").alias("y"))),
-        }
-    )
+    two points a curve is linear; at a rate with several points its highest counts. One
+    sweep over the knots of all curves; no curve is evaluated at the rates of another."""
+    points = roc_per_class(df, classes, prob, label).where("fpr IS NOT NULL")
+    knots = points.groupBy("class", "fpr").agg(F.max("tpr").alias("high"), F.min("tpr").alias("low"))
     around = ordered_scan(
-        materialize(placed, "grid"), ["class"], ["fpr"], {"a": ("last", "from_point"), "b": ("next", "to_point")}
+        materialize(knots, "knots"), ["class"], ["fpr"],
+        {"x0": ("lag", "fpr"), "y0": ("lag", "high"), "x1": ("lead", "fpr"), "y1": ("lead", "low")},
     )
-    slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
-    value = F.when(F.col("high").isNotNull(), F.col("high")).otherwise(slope * (F.col("fpr") - F.col("a.x")) + F.col("a.y"))
-    return around.select("class", "fpr", value.alias("tpr")).groupBy("fpr").agg((F.sum("tpr") / len(classes)).alias("tpr"))
+    # Every class changes the sum of the curves at its own knots only: by a jump there, and
+    # by another slope from there on. A class without positives has no rates and adds nothing.
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    before = zero((F.col("low") - F.col("y0")) / (F.col("fpr") - F.col("x0")))
+    after = zero((F.col("y1") - F.col("high")) / (F.col("x1") - F.col("fpr")))
+    jump = zero(F.col("high")) - F.when(F.col("x0").isNull(), F.lit(0.0)).otherwise(zero(F.col("low")))
+    events = around.groupBy("fpr").agg(F.sum(after - before).alias("turn"), F.sum(jump).alias("jump"), F.count("high").alias("known"))
+    slopes = ordered_scan(materialize(events, "events"), [], ["fpr"], {"slope": ("sum", "turn"), "x0": ("lag", "fpr")})
+    rise = F.coalesce((F.col("slope") - F.col("turn")) * (F.col("fpr") - F.col("x0")), F.lit(0.0)) + F.col("jump")
+    summed = ordered_scan(materialize(slopes.select("fpr", rise.alias("rise"), "known"), "rises"), [], ["fpr"], {"total": ("sum", "rise"), "seen": ("sum", "known")})
+    return summed.select("fpr", F.when(F.col("seen") > 0, F.col("total") / len(classes)).alias("tpr"))
 
 
 def curve_area(points: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import vectors as vx
-from lexmill.operators import naive_bayes, tokens, tuning
+from lexmill.operators import many_classes, naive_bayes, shape, tokens, tuning
 from lexmill.operators.search import Choice, Real, Search, Whole
 from lexmill.plans.registry import query
-from lexmill.plans.sqlparts import LABELLED, WORDS, extremes_sql, md5_key, vocab_sql
+from lexmill.plans.sqlparts import CORPUS, LABELLED, WORDS, extremes_sql, md5_bucket, md5_key, vocab_sql
 from lexmill.session import materialize, scratch_path
 from lexmill.sources import tables
 
@@ -80,6 +80,26 @@ def m3b(spark, d):
     return scored.groupBy("lang").agg(F.count("*").alias("n_rows"), F.round(F.avg(right), 6).alias("accuracy"))
 
 
+MANY = NB.replace("labelled", "named").replace(LABELLED.replace("labelled", "named"), f"""{CORPUS},
+  named AS (SELECT doc_id, text, lang || '-' || doc_id % 60 AS label, CASE WHEN {md5_bucket('doc_id')} < 20 THEN 'test' ELSE 'train' END AS split FROM documents)""").replace(
+    vocab_sql(), vocab_sql(cap=None)
+).replace("ORDER BY j DESC, class", "ORDER BY round(j, 6) DESC, class")
+
+
+@query("m2_many_classes", f"WITH {MANY} SELECT doc_id, label, prediction FROM pred WHERE split = 'test'")
+def m2_many(spark, d):
+    """Hundreds of classes: languages by numbers. Model and classes stay tables."""
+    docs = tables.load_corpus(spark, d).select("doc_id", "text", F.concat_ws("-", "lang", (F.col("doc_id") % 60).cast("string")).alias("label"))
+    docs = shape.hash_split(docs, "doc_id", 20)
+    train, test = docs.where("part = 'train'"), docs.where("part = 'eval'")
+    n = train.agg(F.count(F.lit(1))).scalar()
+    counts = materialize(tokens.term_counts(train), "counts")
+    weights = materialize(tokens.idf(tokens.build_vocab(counts, n, 2, 1.0, None), n), "weights")
+    model = many_classes.fit_classes(tokens.tfidf(counts, weights), train.select("doc_id", "label"))
+    features = materialize(tokens.transform_features(test, weights), "features")
+    return many_classes.predict_classes(features, test.select("doc_id", "label"), model).select("doc_id", "label", "prediction")
+
+
 @query(
     "m7_softmax_argmax",
     """WITH x AS (SELECT vec_id, embedding AS v, list_max(embedding) AS top FROM embeddings),

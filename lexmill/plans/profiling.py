@@ -115,7 +115,7 @@ def a8(spark, d):
 @query("a8_describe_prices", f"SELECT {DESCRIBE.format(c='l_extendedprice')} FROM lineitem")
 def a8b(spark, d):
     return rounded(
-        profile.describe_numeric(tables.table(spark, d, "lineitem"), "l_extendedprice"), "mean", "std", "q25", "q50", "q75"
+        profile.describe_numeric(tables.table(spark, d, "lineitem"), "l_extendedprice", stored=True), "mean", "std", "q25", "q50", "q75"
     )
 
 
@@ -234,6 +234,7 @@ def a17(spark, d):
     return rounded(profile.feature_stats_numeric(tables.table(spark, d, "lineitem"), LINE_COLS), "mean", "std", "median")
 
 
+TOP_COLUMNS = (("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("documents", "source"), ("documents", "text"), ("events", "event_type"), ("events", "props"))
 PART_TEXT = ("p_name", "p_brand", "p_type")
 
 
@@ -251,6 +252,21 @@ def a17b(spark, d):
     return rounded(profile.feature_stats_string(tables.table(spark, d, "part"), PART_TEXT), "mean_length")
 
 
+@query(
+    "a17_top_values",
+    "WITH c AS ("
+    + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}""" for t, c in TOP_COLUMNS)
+    + """), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INTEGER AS rank FROM c)
+      SELECT "column", rank, value, n FROM r WHERE rank <= 5""",
+)
+def a17d(spark, d):
+    out = None
+    for name in dict.fromkeys(t for t, _ in TOP_COLUMNS):
+        found = profile.top_values(tables.table(spark, d, name), 5, [c for t, c in TOP_COLUMNS if t == name])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "a17_feature_histograms",
     " UNION ALL ".join(
