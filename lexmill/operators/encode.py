@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.functions import sequences as sq
@@ -45,48 +46,75 @@ def token_detail(encoded: DataFrame, vocab: DataFrame, keys: Sequence[str], n: i
     special = F.lit(None).cast("string")
     for code, name in SPECIAL.items():
         special = F.when(F.col("token_id") == code, name).otherwise(special)
-    return rows.join(vocab.select("token_id", "term"), "token_id", "left").select(
+    # special tokens, most of all padding, are in no vocabulary: they are dealt by position
+    dealt = F.when(special.isNull(), F.col("token_id").cast("bigint")).otherwise(-1 - F.pmod(F.xxhash64(*keys, "pos"), F.lit(1 << 30)))
+    terms = vocab.select(F.col("token_id").cast("bigint").alias("_id"), "term")
+    return rows.withColumn("_id", dealt).join(terms, "_id", "left").select(
         *keys, "pos", "token_id", "attention_mask", "token_type_id", F.coalesce(special, "term").alias("token_text")
     )
 
 
-def subword_tokens(words: DataFrame, vocab: DataFrame, max_chars: int | None = None) -> DataFrame:
+class PieceTrie:
+    """Pieces as a trie: edges (node, character) -> node, and the length of the piece that
+    ends at a node. First pieces and continuations have roots of their own."""
+
+    FIRST, INNER = 0, 1
+
+    def __init__(self, pieces: Iterable[str]):
+        self.edges: dict[tuple[int, str], int] = {}
+        self.ends = [False, False]
+        for piece in pieces:
+            inner = piece.startswith("##")
+            body = piece[2:] if inner else piece
+            node = self.INNER if inner else self.FIRST
+            for c in body:
+                node = self.edges.setdefault((node, c), len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(False)
+            if body:
+                self.ends[node] = True
+
+    def longest(self, word: str, start: int) -> int:
+        """Length of the longest piece at ``start``; 0 when there is none."""
+        node, found, edges, ends = self.INNER if start else self.FIRST, 0, self.edges, self.ends
+        for at in range(start, len(word)):
+            node = edges.get((node, word[at]))
+            if node is None:
+                break
+            if ends[node]:
+                found = at + 1 - start
+        return found
+
+    def walk(self, word: str) -> list[str] | None:
+        at, pieces = 0, []
+        while at < len(word):
+            size = self.longest(word, at)
+            if not size:
+                return None
+            pieces.append(("##" if at else "") + word[at : at + size])
+            at += size
+        return pieces or None
+
+
+def subword_tokens(words: DataFrame, vocab: DataFrame, max_chars: int | None = None, max_pieces: int = 200_000) -> DataFrame:
     """(word, pieces) by greedy longest match.
 
-    ``words`` holds distinct words, ``vocab`` the pieces, continuations marked by
-    '##'. Every substring of a word is looked up by an equi-join; per start only the
-    longest hit stays, and one fold over the positions walks the word. A word with
-    a gap, or longer than ``max_chars`` if that is given, is [UNK].
+    ``words`` holds distinct words, ``vocab`` the pieces, continuations marked by '##'. The
+    pieces travel with the tasks as a trie; ``max_pieces`` bounds and checks their number. A
+    word is walked once, in time that grows with its length times that of the longest piece
+    at most. A word with a gap, or longer than ``max_chars`` if that is given, is [UNK].
     """
-    word = words.select("word", F.length("word").alias("n"))
-    if max_chars is not None:
-        word = word.where(F.col("n") <= max_chars)
-    piece = vocab.select(
-        F.regexp_replace("piece", "^##", "").alias("chunk"),
-        F.col("piece").startswith("##").alias("inner"),
-    )
-    longest = vocab.agg(F.max(F.length(F.regexp_replace("piece", "^##", "")))).scalar()
-    spans = (
-        word.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("start") + 1, longest))))
-        .select("word", "n", "start", "len", F.substring("word", F.col("start"), F.col("len")).alias("chunk"),
-                (F.col("start") > 1).alias("inner"))
-    )
-    hits = spans.join(piece, ["chunk", "inner"]).groupBy("word", "start").agg(F.max("len").alias("len"))
-    table = hits.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "len"))).alias("best"))
-    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("pieces"))
-
-    def step(acc, i):
-        size = F.element_at(F.col("best"), i)
-        chunk = F.concat(F.when(i > 1, "##").otherwise(""), F.substring("word", i, size))
-        moved = F.struct((i + size).alias("at"), F.array_append(acc["pieces"], chunk).alias("pieces"))
-        return F.when((acc["at"] == i) & size.isNotNull(), moved).otherwise(acc)
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.length("word")), state, step)
-    unknown = F.array(F.lit("[UNK]"))
-    return (
-        words.select("word")
-        .join(table, "word", "left")
-        .withColumn("w", F.when(F.col("best").isNotNull() & (F.length("word") > 0), walked))
-        .select("word", F.when(F.col("w.at") == F.length("word") + 1, F.col("w.pieces")).otherwise(unknown).alias("pieces"))
-    )
+    pieces = [r[0] for r in vocab.where("piece IS NOT NULL").select("piece").distinct().limit(max_pieces + 1).collect()]
+    if len(pieces) > max_pieces:
+        raise ValueError(f"more than {max_pieces} pieces; raise max_pieces if executors can hold them")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = PieceTrie(pieces)
+        for batch in batches:
+            found = []
+            for word in batch.column(0).to_pylist():
+                fits = word is not None and (max_chars is None or len(word) <= max_chars)
+                found.append((trie.walk(word) if fits else None) or ["[UNK]"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["word", "pieces"])
+
+    return words.select("word").mapInArrow(run, "word string, pieces array<string>")

@@ -196,11 +196,12 @@ def attach_truth(pred: DataFrame, truth: DataFrame, key: str = "doc_id") -> Data
     return pred.join(truth, key, "inner")
 
 
-def compare_runs(a: DataFrame, b: DataFrame, step: str = "step") -> DataFrame:
-    """Two runs side by side; steps that only one run has stay, with nulls."""
-    left = a.select(F.col(step), F.col("value").alias("value_a"))
-    right = b.select(F.col(step), F.col("value").alias("value_b"))
-    return left.join(right, step, "full").withColumn("diff", F.col("value_b") - F.col("value_a"))
+def compare_runs(a: DataFrame, b: DataFrame, step: str = "step", by: Sequence[str] = ()) -> DataFrame:
+    """Two runs side by side, or many pairs of runs named by ``by``; steps that only one run
+    has stay, with nulls."""
+    left = a.select(*by, F.col(step), F.col("value").alias("value_a"))
+    right = b.select(*by, F.col(step), F.col("value").alias("value_b"))
+    return left.join(right, [*by, step], "full").withColumn("diff", F.col("value_b") - F.col("value_a"))
 
 
 def join_validation(train: DataFrame, val: DataFrame, keys: Sequence[str] = ("run", "step")) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lexmill.functions.ordered import ordered_scan
 from lexmill.operators.shape import union_tagged
+from lexmill.session import materialize
 
 
 def category_codes(df: DataFrame, lists: dict[str, Sequence[str]]) -> DataFrame:
@@ -57,19 +59,23 @@ def prepare_tabular(
     return standardize(a, b, [c for c in float_columns(a) if c != label])
 
 
-def class_list(df: DataFrame, label: str):
-    """The distinct labels in order, as one array value."""
-    return df.where(F.col(label).isNotNull()).agg(F.array_sort(F.collect_set(label))).scalar()
+def class_table(df: DataFrame, label: str) -> DataFrame:
+    """(class, code): the distinct labels with their 0-based place in order."""
+    found = materialize(df.where(F.col(label).isNotNull()).select(F.col(label).alias("class")).distinct(), "classes")
+    placed = ordered_scan(found, [], ["class"], {"_n": ("row_number",)})
+    return placed.select("class", (F.col("_n") - 1).cast("int").alias("code"))
 
 
-def encode_labels(df: DataFrame, label: str, classes=None, out: str = "code") -> DataFrame:
-    """0-based place of the label in alphabetical order."""
-    known = class_list(df, label) if classes is None else classes
-    return df.withColumn(out, (F.array_position(known, F.col(label)) - 1).cast("int"))
+def encode_labels(df: DataFrame, label: str, classes: DataFrame | None = None, out: str = "code") -> DataFrame:
+    """0-based place of the label in alphabetical order; null for unknown labels. The classes
+    are a table, however many there are."""
+    known = (class_table(df, label) if classes is None else classes).select(F.col("class").alias(label), F.col("code").alias(out))
+    return df.join(known, label, "left").select(*df.columns, out)
 
 
-def decode_labels(df: DataFrame, code: str, classes, out: str = "label") -> DataFrame:
-    return df.withColumn(out, F.get(classes, F.col(code)))
+def decode_labels(df: DataFrame, code: str, classes: DataFrame, out: str = "label") -> DataFrame:
+    known = classes.select(F.col("code").alias(code), F.col("class").alias(out))
+    return df.join(known, code, "left").select(*df.columns, out)
 
 
 def with_class_weight(df: DataFrame, weights: dict, label: str = "label", default: float = 1.0) -> DataFrame:

@@ -79,8 +79,8 @@ def t30(spark, d):
 @query("t30_decode_labels", "SELECT c_custkey, c_mktsegment AS label FROM customer")
 def t30b(spark, d):
     rows = customer(spark, d).select("c_custkey", "c_mktsegment")
-    classes = tabular.class_list(rows, "c_mktsegment")
-    return tabular.decode_labels(tabular.encode_labels(rows, "c_mktsegment"), "code", classes).select("c_custkey", "label")
+    classes = tabular.class_table(rows, "c_mktsegment")
+    return tabular.decode_labels(tabular.encode_labels(rows, "c_mktsegment", classes), "code", classes).select("c_custkey", "label")
 
 
 @query("t31_with_class_weight", "SELECT doc_id, quality AS label, CASE quality WHEN 0 THEN 3.5 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM labels")

@@ -75,11 +75,11 @@ def s4b(spark, d):
 
 @query(
     "s9_to_json_records",
-    """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS record
-       FROM nation""",
+    """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal
+       || ',"c_mktsegment":"' || c_mktsegment || '"}' AS record FROM customer""",
 )
 def s9(spark, d):
-    return tables.to_json_records(tables.table(spark, d, "nation"))
+    return tables.to_json_records(tables.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
 @query(

@@ -185,12 +185,13 @@ STEPS = """steps AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user
 
 @query(
     "j4_compare_runs",
-    f"""WITH {STEPS} SELECT coalesce(a.step, b.step) AS step, a."value" AS value_a, b."value" AS value_b, round(b."value" - a."value", 6) AS diff
-        FROM (SELECT * FROM steps WHERE run = 1) a FULL JOIN (SELECT * FROM steps WHERE run = 2) b ON a.step = b.step""",
+    f"""WITH {STEPS} SELECT coalesce(a.run, b.run - 1) AS run, coalesce(a.step, b.step) AS step, a."value" AS value_a, b."value" AS value_b,
+        round(b."value" - a."value", 6) AS diff FROM steps a FULL JOIN steps b ON a.step = b.step AND b.run = a.run + 1""",
 )
 def j4(spark, d):
-    steps = scalars.run_steps(tables.table(spark, d, "events").where("user_id IN (1, 2)"))
-    out = shape.compare_runs(steps.where("run = 1"), steps.where("run = 2"))
+    """Every run beside the one with the next number."""
+    steps = scalars.run_steps(tables.table(spark, d, "events"))
+    out = shape.compare_runs(steps, steps.withColumn("run", F.col("run") - 1), by=["run"])
     return out.withColumn("diff", F.round("diff", 6))
 
 

@@ -15,6 +15,10 @@ from lexmill.sources import tables
 CAP = 10_000
 
 
+#: Vocabulary without a cap.
+ALL_TERMS = COUNTS + vocab_sql(cap=None)
+
+
 def docs(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", "text", "lang")
 
@@ -23,8 +27,8 @@ def n_docs(spark, d):
     return tables.table(spark, d, "documents").agg(F.count(F.lit(1))).scalar()
 
 
-def vocab(spark, d, min_df=2):
-    return tokens.build_vocab(tokens.term_counts(docs(spark, d)), n_docs(spark, d), min_df, 1.0, CAP)
+def vocab(spark, d, min_df=2, cap=CAP):
+    return tokens.build_vocab(tokens.term_counts(docs(spark, d)), n_docs(spark, d), min_df, 1.0, cap)
 
 
 def weights(spark, d):
@@ -393,7 +397,7 @@ def word_vectors(spark, d):
     """A vector file written from the embeddings, read back. A vector is named by the
     term with its number, or by the number itself where the vocabulary has no such term."""
     emb = tables.table(spark, d, "embeddings")
-    terms = vocab(spark, d).select("term_id", "term")
+    terms = vocab(spark, d, cap=None).select("term_id", "term")
     named = emb.join(terms, F.col("term_id") == F.col("vec_id"), "left")
     named = named.withColumn("term", F.coalesce("term", F.concat(F.lit("vector_"), F.col("vec_id").cast("string"))))
     line = F.concat_ws(" ", "term", F.array_join(F.col("embedding").cast("array<string>"), " "))
@@ -404,7 +408,7 @@ def word_vectors(spark, d):
 
 @query(
     "s13_read_word_vectors",
-    f"""WITH {VOCAB} SELECT coalesce(term, 'vector_' || vec_id) AS word, len(embedding)::BIGINT AS n_dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+    f"""WITH {ALL_TERMS} SELECT coalesce(term, 'vector_' || vec_id) AS word, len(embedding)::BIGINT AS n_dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
         round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings LEFT JOIN vocab ON term_id = vec_id""",
 )
 def s13(spark, d):
@@ -417,7 +421,7 @@ def s13(spark, d):
 
 @query(
     "t25_vector_coverage",
-    f"""WITH {VOCAB}, known AS (SELECT coalesce(term, 'vector_' || vec_id) AS term FROM embeddings LEFT JOIN vocab ON term_id = vec_id),
+    f"""WITH {ALL_TERMS}, known AS (SELECT coalesce(term, 'vector_' || vec_id) AS term FROM embeddings LEFT JOIN vocab ON term_id = vec_id),
         lt AS (SELECT lang, token AS word, count(*) AS n FROM tokens JOIN documents USING (doc_id) GROUP BY 1, 2),
         f AS (SELECT lang, n, CASE WHEN k.term IS NULL THEN 0 ELSE 1 END AS found FROM lt LEFT JOIN known k ON k.term = lt.word)
         SELECT lang, sum(n)::BIGINT AS n_tokens, count(*) AS n_words, round(sum(n * found) / sum(n), 6) AS token_coverage,

@@ -145,6 +145,16 @@ def test_subwords_are_greedy(spark):
         assert got == {x: greedy(x, set(vocab), limit) for x in words}
 
 
+def test_subwords_of_long_words_and_bounded_vocabularies(spark):
+    v = spark.createDataFrame([("a",), ("##a",), ("##aa",), ("##",), ("",), (None,)], "piece string")
+    w = spark.createDataFrame([("a" * 100_001,), ("",), (None,), ("a" * 100_000 + "b",)], "word string")
+    got = {r.word: list(r.pieces) for r in encode.subword_tokens(w, v).collect()}
+    assert got["a" * 100_001] == ["a"] + ["##aa"] * 50_000
+    assert got[""] == got[None] == got["a" * 100_000 + "b"] == ["[UNK]"]
+    with pytest.raises(ValueError):
+        encode.subword_tokens(w, v, max_pieces=3)
+
+
 def test_encoded_files(spark):
     e = spark.createDataFrame([(1, [1, 2], [1, 1], [0, 0], None), (2, [3, 0], [1, 0], [0, 0], 1)],
                               "doc_id long, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>, label long")
@@ -237,3 +247,5 @@ def test_tabular(spark):
     assert got[3] == ("eval", round((60 - 30) / math.sqrt(700), 6)) and got[1][0] == "train"
     enc = tabular.encode_labels(df, "c")
     assert values(enc.orderBy("k"), F.col("code")) == [0, None, 1]
+    classes = tabular.class_table(df, "c")
+    assert values(tabular.decode_labels(enc, "code", classes, "back").orderBy("k"), F.col("back")) == ["a", None, "zz"]
