@@ -42,11 +42,11 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _REST = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+"""
 _TAG = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<dumb>{SILENT})(?=[\s/>])(?:{_REST}>|[^>]*+>).*?(?:</(?P=dumb)(?=[\s/>])[^>]*+>|\Z)"""
-    # what a title holds is no markup either; one that has no end within reach is a tag
-    rf"""|<title(?=[\s/>])[^>]*+>.{{0,4000}}?</title(?=[\s/>])[^>]*+>|<[!?][^>]*+>"""
+    rf"""|<[!?][^>]*+>"""
     rf"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{_REST})>""",
     re.S | re.I,
 )
+_TITLE_END = re.compile(r"</title(?=[\s/>])[^>]*+>", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+")
 
@@ -76,21 +76,28 @@ def _pieces(page: str) -> Iterator[tuple[int, int, str, re.Match | None]]:
     that cannot stand in it, a select likewise, so their end tags may be missing; both are
     left out. Elements in svg and math are inline and an HTML block ends an open one.
     """
-    at, quiet, title, foreign = 0, "", False, ""
-    for m in _TAG.finditer(page):
+    at, quiet, title, foreign, titles_end = 0, "", False, "", True
+    m = _TAG.search(page)
+    while m is not None:
         start, at_ = m.start(), at
         at = m.end()
+        if titles_end and m["name"] and m["name"].lower() == "title" and not m["end"]:
+            # what a title holds is no markup; after one without an end tag no other has one
+            end = _TITLE_END.search(page, at)
+            titles_end = end is not None
+            at = end.end() if end else at
+        here, m = m, _TAG.search(page, at)
         if start > at_ and not title:
             if quiet == "head" and page[at_:start].strip():
                 quiet = ""
             if not quiet:
                 yield at_, start, "", None
-        if m["name"] is None:
-            if quiet == "select" and m["dumb"] and m["dumb"].lower() == "textarea":
+        if here["name"] is None:
+            if quiet == "select" and here["dumb"] and here["dumb"].lower() == "textarea":
                 quiet = ""
             continue
-        tag, ends = m["name"].lower(), bool(m["end"])
-        title = tag == "title" and not ends
+        tag, ends = here["name"].lower(), bool(here["end"])
+        title = tag == "title" and not ends and not titles_end
         if quiet == "head":
             if tag not in ("head", "body", "html") if ends else tag in HEAD:
                 continue
@@ -116,9 +123,9 @@ def _pieces(page: str) -> Iterator[tuple[int, int, str, re.Match | None]]:
                 if ends:
                     continue
                 tag = "#inner"
-        elif (tag == "svg" or tag == "math") and not ends and not m["rest"].endswith("/"):
+        elif (tag == "svg" or tag == "math") and not ends and not here["rest"].endswith("/"):
             foreign = tag
-        yield start, at, tag, m
+        yield start, at, tag, here
     if at < len(page) and not title and (not quiet or quiet == "head" and page[at:].strip()):
         yield at, len(page), "", None
 

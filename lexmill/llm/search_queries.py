@@ -21,10 +21,11 @@ def _kd_sql(depth: int) -> str:
     axes = ("size", "source", "lang", "id")
     out = f"""
 WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, md5(coalesce(text, '')) AS t,
-  coalesce(('0x' || rpad(hex(left(source, 6)), 12, '0'))::BIGINT, -1) AS source,
-  coalesce(('0x' || rpad(hex(left(lang, 6)), 12, '0'))::BIGINT, -1) AS lang, coalesce(doc_id, -1) AS id FROM documents),
-n0 AS (SELECT t, sum(size)::BIGINT AS w, any_value(size) AS size, min(source) AS source, min(lang) AS lang, min(id) AS id,
+  dense_rank() OVER (ORDER BY source NULLS FIRST) AS source, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS lang,
+  coalesce(doc_id, -1) AS id FROM documents),
+g0 AS (SELECT t, sum(size)::BIGINT AS w, any_value(size) AS size, min(source) AS source, min(lang) AS lang, min(id) AS id,
   0 AS node FROM d GROUP BY t),
+n0 AS (SELECT t, w, size, dense_rank() OVER (ORDER BY source) AS source, dense_rank() OVER (ORDER BY lang) AS lang, id, node FROM g0),
 x AS (SELECT {', '.join(f'(max({a}) - min({a}))::DOUBLE AS {a}' for a in axes)} FROM n0)"""
     for k in range(depth):
         half = 2 ** (depth - k - 1)

@@ -19,10 +19,13 @@ from lexmill.session import materialize
 DIMENSIONS = ("_size", "_source", "_lang", "_id")
 
 
-def _code(c: str):
-    """Number that orders strings by their first six bytes; null comes first."""
-    digits = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
+def _coded(groups: DataFrame, c: str) -> DataFrame:
+    """``groups`` with the column as a number: the place of its value among the distinct
+    values in code-point order, null first. Every value has a place of its own."""
+    values = materialize(groups.select(c).distinct(), "values")
+    placed = ordered_scan(values, [], [c], {"_place": ("row_number",)}).withColumnRenamed(c, "_value")
+    met = groups.join(placed, F.col(c) == F.col("_value"))
+    return met.drop(c, "_value").withColumnRenamed("_place", c)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -32,8 +35,7 @@ def _rows(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("_size"),
         F.crc32(text.cast("binary")).alias("_crc"),
         F.md5(text.cast("binary")).alias("_text"),
-        _code("source").alias("_source"),
-        _code("lang").alias("_lang"),
+        *(F.struct(F.col(c).isNotNull().alias("has"), F.coalesce(c, F.lit("")).alias("v")).alias(f"_{c}") for c in ("source", "lang")),
         F.coalesce("doc_id", F.lit(-1)).alias("_id"),
     )
 
@@ -49,6 +51,8 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = materialize(_rows(docs), "sizes")
     least = [F.min(c).alias(c) for c in ("_source", "_lang", "_id")]
     groups = rows.groupBy("_text").agg(F.sum("_size").alias("_weight"), F.first("_size").alias("_size"), *least)
+    # struct minima order as the values do, null first; the distinct values are few
+    groups = _coded(_coded(materialize(groups, "groups"), "_source"), "_lang").select("_text", "_weight", *DIMENSIONS)
     nodes = materialize(groups.withColumns({"_node": F.lit(0), "_leaves": F.lit(shards), "_first": F.lit(0)}), "groups")
     whole = nodes.agg(F.struct(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in DIMENSIONS])).scalar()
     for _ in range((shards - 1).bit_length()):

@@ -225,6 +225,17 @@ def test_quality(docs, rows, empty):
     assert kept[1] == (True, 0, 0) and kept[2][1:] == (60, 120) and kept[2][0] and not kept[3][0]
 
 
+def test_shards_tell_long_names_apart(spark):
+    """Sources that begin alike are places of their own."""
+    rows = [(k, f"text {k:02d}", "en", "https://the-same-beginning.org/" + "ab"[k % 2]) for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = kd_shards(docs.withColumn("doc_id", F.lit(1)), 2).collect()  # only the source differs much
+    assert len(found) == 64 and {r.shard for r in found} == {0, 1}
+    own = {r.text_crc32: r.shard for r in found}
+    sides = [{own[zlib.crc32(t.encode())] for _, t, _, s in rows if s[-1] == x} for x in "ab"]
+    assert sides[0].isdisjoint(sides[1])
+
+
 # ---- line dedup
 
 
@@ -556,6 +567,7 @@ def test_main_text_of_inline_parts():
     for tag in ("script", "style", "textarea", "iframe", "noscript", "template"):
         assert texts(f"<p>one<{tag}>two<p>three") == ["one"]
     assert texts("<p>" + "<title>" * 3000 + "<svg>" * 3000 + "x") == ["x"]
+    assert texts("<head><title>" + "long <b>title " * 3000 + "</title></head><body><p>text") == ["text"]
 
 
 def test_main_text_held_out_pages():
