@@ -20,9 +20,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-#: Bound of the labelled sample: texts of each class, chosen by a hash of the id, none of
-#: them longer than so many bytes (scoring reads texts of any length).
-TOXIC_TEXTS, ORDINARY_TEXTS, TEXT_BYTES = 3_000, 5_000, 20_000
+#: Bounds of the labelled sample: texts of each class, chosen by a hash of the id, and their
+#: bytes together. Texts of any length take part; one that no longer fits is passed over.
+TOXIC_TEXTS, ORDINARY_TEXTS, SAMPLE_BYTES = 3_000, 5_000, 64 << 20
+#: Ordinary texts, first ones in the sample's order, that the ordinary dictionary is trained on.
+DICTIONARY_TEXTS = 2_000
 WINDOW, LEVEL = 3, 6
 ORDINARY_SIZE, TOXIC_SIZE = 8_192, 4_096
 STEPS = (2, 4, 6)
@@ -66,12 +68,12 @@ def _dictionary(words: list[bytes], size: int) -> bytes:
         return b" ".join(dict.fromkeys(words))[:size]
 
 
-def train_dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes], most: int = DICTIONARY_TEXTS) -> tuple[bytes, bytes]:
     """Contents (ordinary, toxic in front of ordinary)."""
     starts = characteristic(toxic, ordinary)
     cuts = range(SHORTEST, LONGEST + 1)
     telling = [w for t in toxic for w in t.lower().translate(None, _MARKS).split() if any(w[:k] in starts for k in cuts)]
-    common = _dictionary([w for t in ordinary[:2_000] for w in t.lower().split()], ORDINARY_SIZE)
+    common = _dictionary([w for t in ordinary[:most] for w in t.lower().split()], ORDINARY_SIZE)
     return common, (_dictionary(telling, TOXIC_SIZE) if telling else b"") + common
 
 
@@ -129,7 +131,9 @@ def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 5
     return w
 
 
-def fit(texts: Sequence[bytes], labels: Sequence[int], share: float | None = None, folds: int = 3) -> ToxicityModel:
+def fit(
+    texts: Sequence[bytes], labels: Sequence[int], share: float | None = None, folds: int = 3, dictionary_texts: int = DICTIONARY_TEXTS
+) -> ToxicityModel:
     """Model from labelled texts. Weights are fitted on savings under dictionaries of the
     other folds; the dictionaries kept are those of all texts. ``share``: the true share
     of label 1, when the sample holds another one."""
@@ -143,7 +147,7 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], share: float | None = Non
     side = lambda mask, k: [t for t, m, v in zip(texts, mask, y) if m and v == k]
     x = None
     for f in range(folds):
-        a, b = map(compressor, train_dictionaries(side(fold != f, 1), side(fold != f, 0)))
+        a, b = map(compressor, train_dictionaries(side(fold != f, 1), side(fold != f, 0), dictionary_texts))
         own = np.nonzero(fold == f)[0]
         rows = np.array([features(savings(texts[i], a, b)) for i in own])
         x = np.zeros((len(y), rows.shape[1])) if x is None else x
@@ -153,7 +157,7 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], share: float | None = Non
     if share is not None and 0 < share < 1:
         weights[0] += np.log(share / (1 - share)) - np.log(prior / (1 - prior))
     every = np.ones(len(y), bool)
-    plain, toxic = train_dictionaries(side(every, 1), side(every, 0))
+    plain, toxic = train_dictionaries(side(every, 1), side(every, 0), dictionary_texts)
     return ToxicityModel(plain, toxic, centre, scale, weights, prior)
 
 
@@ -162,21 +166,43 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 4 == 2
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, ordinary_texts: int = ORDINARY_TEXTS) -> ToxicityModel:
-    """Model from a bounded sample of the labelled rows that are not held out."""
+def draw_sample(docs: DataFrame, labels: DataFrame, toxic_texts: int, ordinary_texts: int, sample_bytes: int) -> tuple[list[tuple[int, int]], float | None]:
+    """([(doc_id, label)] in the order of a hash of the id, share of label 1) of the labelled
+    rows that are not held out. Each class has half the bytes. Of an id with several texts
+    the one with the smallest hash counts, of an id with several labels the largest."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     marks = marks.where(~is_held_out())
     shares = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
-    drawn = None
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(text).alias("_n"), F.xxhash64(text).alias("_h")).join(marks, "doc_id")
+    sizes = sizes.groupBy("doc_id").agg(F.max("_y").alias("_y"), F.min_by("_n", "_h").alias("_n"))
+    out = []
     for y, most in ((1, toxic_texts), (0, ordinary_texts)):
-        part = marks.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    # at most toxic_texts + ordinary_texts ids
-    short = docs.where(F.octet_length("text") <= TEXT_BYTES)
-    rows = short.select("doc_id", F.col("text").cast("binary").alias("_t")).join(F.broadcast(drawn), "doc_id")
-    sample = sorted((r["doc_id"], bytes(r["_t"] or b""), r["_y"]) for r in rows.limit(2 * (toxic_texts + ordinary_texts)).collect())
+        room = sample_bytes // 2
+        for r in sizes.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():  # ids and sizes only
+            if r["_n"] <= room:
+                room -= r["_n"]
+                out.append((r["doc_id"], y))
     total = sum(shares.values())
-    return fit([r[1] for r in sample], [r[2] for r in sample], shares.get(1, 0) / total if total else None)
+    return out, shares.get(1, 0) / total if total else None
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, toxic_texts: int = TOXIC_TEXTS, ordinary_texts: int = ORDINARY_TEXTS, sample_bytes: int = SAMPLE_BYTES,
+    dictionary_texts: int = DICTIONARY_TEXTS,
+) -> ToxicityModel:
+    """Model from a sample of the labelled rows that are not held out, bounded by the number
+    of texts of each class and by their bytes together."""
+    drawn, share = draw_sample(docs, labels, toxic_texts, ordinary_texts, sample_bytes)
+    if not drawn:
+        return fit([], [], share)
+    # at most toxic_texts + ordinary_texts ids
+    ids = docs.sparkSession.createDataFrame([(i, y, k) for k, (i, y) in enumerate(drawn)], "doc_id long, _y int, _k int")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", text.alias("_t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("_k").agg(F.first("_y").alias("_y"), F.min_by("_t", "_h").alias("_t"))
+    sample = sorted((r["_k"], bytes(r["_t"]), r["_y"]) for r in one.collect())
+    return fit([r[1] for r in sample], [r[2] for r in sample], share, dictionary_texts=dictionary_texts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

@@ -625,3 +625,39 @@ def test_toxicity(spark, empty):
     none = fit_toxicity(docs, labels.limit(0))
     assert {x.score for x in score_toxicity(docs, none).collect()} == {0.0}
     assert len(toxicity.savings(b"", toxicity.compressor(b"abc"), toxicity.compressor(b"abc"))) == 1
+
+
+def test_toxicity_sample(spark):
+    """Bounded by texts and bytes, long texts included, one text per id, whatever the labels repeat."""
+    rows = [(k, "word " * (1 + k % 7)) for k in range(200)] + [(300, "long " * 10_000), (7, "another text"), (8, "word " * 2)]
+    marks = [(k, k % 3 == 0) for k in range(200)] * 2 + [(300, True), (9, True), (None, True), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, None if t is None else int(t)) for i, t in marks], "doc_id bigint, toxic int")
+    held = {k for k in range(301) if zlib.crc32(str(k).encode()) % 4 == 2}
+    drawn, share = toxicity.draw_sample(docs, labels, 1_000, 1_000, 1 << 20)
+    wanted = {(k, int(k % 3 == 0)) for k in range(200) if k not in held} | ({(300, 1)} - {(k, 1) for k in held})
+    assert sorted(drawn) == sorted(wanted) and share == sum(y for _, y in wanted) / len(wanted)
+    few, _ = toxicity.draw_sample(docs, labels, 5, 4, 1 << 20)
+    assert few == [d for d in drawn if d[1]][:5] + [d for d in drawn if not d[1]][:4]
+    tight, _ = toxicity.draw_sample(docs, labels, 1_000, 1_000, 400)
+    text = dict(rows[:201])
+    for y in (0, 1):
+        assert 0 < sum(len(text[i]) for i, own in tight if own == y) <= 200
+    assert toxicity.draw_sample(docs, labels.limit(0), 5, 5, 100) == ([], None)
+
+
+def test_savings_and_features_by_hand():
+    plain, toxic = toxicity.compressor(b"common words here"), toxicity.compressor(b"dreadful insult common words here")
+    text = b"Common words here a dreadful insult then common words here"
+    words = text.lower().split()
+    wanted = []
+    for i in range(0, len(words), toxicity.WINDOW):
+        w = b" " + b" ".join(words[i : i + toxicity.WINDOW]) + b" "
+        wanted.append(len(plain.compress(w)) - len(toxic.compress(w)))
+    saved = toxicity.savings(text, plain, toxic)
+    assert saved.tolist() == wanted and max(wanted) > 2
+    found = toxicity.features(saved)
+    top = sorted(wanted, reverse=True)[:3]
+    counts = [sum(v >= s for v in wanted) for s in toxicity.STEPS]
+    right = [top[0], sum(top) / 3, sum(wanted) / len(wanted), *np.log1p(counts), *(c / len(wanted) for c in counts), np.log(len(wanted))]
+    assert np.allclose(found, right)
