@@ -3,16 +3,20 @@
 Vectors of one label are compared on the unit sphere, where a cosine of ``c`` or more is
 a distance of ``sqrt(2 - 2c)`` or less. Identical vectors are one point with a count. The
 points of a label are dealt into blocks around pivots; every block gets a cover tree:
-nested levels of centres whose radii halve, each node with its true covering radius. Two
-blocks meet only when their centres are no farther apart than both radii and the limit
-together. In a meeting the trees are descended level by level, pairs of nodes are pruned
-by the same bound, and what is left at the points is compared exactly. A meeting returns
-a count of links and a spanning star per point, never the pairs, so its output is as
-long as its input.
+nested levels of centres whose radii halve, each node with its true covering radius. Blocks
+stand in an order that keeps near pivots together, and nodes over 16 neighbours each, with
+covering radii of their own, make a tree over them up to one root per label. Pairs of its
+nodes are pruned when their centres are farther apart than both radii and the limit
+together; this descent goes level by level from the root, as joins of the pairs that are
+left with their children, and ends at teams of 16 blocks. Two teams meet in a task, which
+goes on inside the same way: pairs of blocks, then of nodes of their trees, and what is
+left at the points is compared exactly. A block travels to the teams it may have links
+with and not to their single blocks. A meeting returns a count of links and a spanning star
+per point, never the pairs.
 
 A block that is larger than its share only costs time. Vectors without any structure
 leave little to prune: then the work above the leaves grows with the square of the number
-of distinct clusters of a label, spread over block pairs.
+of distinct clusters of a label, spread over team pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lexmill.functions.ordered import ordered_scan
 from lexmill.llm.components import connected
 from lexmill.llm.simhash import local_roots
 from lexmill.session import materialize
@@ -30,6 +35,8 @@ from lexmill.session import materialize
 THRESHOLD = 0.93
 #: Points of a block; pivots, drawn from all labels by hash, that shape the blocks.
 BLOCK, PIVOTS = 512, 512
+#: Blocks of a team and children of a node above it.
+TEAM = 16
 RADII = (1.0, 0.5, 0.25, 0.125)
 
 
@@ -110,10 +117,28 @@ def _build(table: pa.Table) -> pa.Table:
         x=x[order], node=node, rep=table.column("rep").to_numpy()[order], copies=table.column("copies").to_numpy()[order], **parts
     )
     centre, radius = unit[order][levels[0][0][0]], levels[0][1][0]
-    one = {"label": table.column("label")[:1], "block": table.column("block")[:1]}
+    one = {"label": table.column("label")[:1], "block": table.column("block")[:1], "place": pa.array([min(table.column("cell").to_pylist())], pa.int64())}
     return pa.table(one | {"centre": pa.array([centre.tolist()]), "radius": pa.array([float(radius)]), "data": pa.array([data], pa.binary())})
 
 
+def coherent(x: np.ndarray) -> np.ndarray:
+    """An order of unit vectors in which neighbours are near: halves around two far ones, again
+    and again."""
+    out: list[int] = []
+    stack = [np.arange(len(x))]
+    while stack:
+        own = stack.pop()
+        if len(own) <= 2:
+            out += own.tolist()
+            continue
+        one = own[(x[own] @ x[own[0]]).argmin()]
+        two = own[(x[own] @ x[one]).argmin()]
+        side = x[own] @ (x[one] - x[two])
+        order = np.argsort(-side, kind="stable")
+        stack += [own[order[len(own) // 2 :]], own[order[: len(own) // 2]]]
+    return np.array(out, np.int64)
+
+
 def _points(vectors: DataFrame) -> DataFrame:
     """(label, embedding, low, copies, rep, h1, h2): one row per label and distinct vector."""
     e = F.col("embedding")
@@ -124,13 +149,14 @@ def _points(vectors: DataFrame) -> DataFrame:
 
 
 def _blocks(points: DataFrame) -> DataFrame:
-    """One row per block: label, block, centre, radius, data."""
+    """One row per block: label, block, place, centre, radius, data."""
     drawn = points.orderBy(F.xxhash64("embedding"), "rep").limit(PIVOTS).select("embedding").collect()
     sizes: dict[int, list] = {}
     for r in drawn:
         sizes.setdefault(len(r[0]), []).append(r[0])
     pivots = {k: np.array(v, np.float64) for k, v in sizes.items()}
     pivots = {k: v / np.linalg.norm(v, axis=1)[:, None] for k, v in pivots.items()}
+    pivots = {k: v[coherent(v)] for k, v in pivots.items()}
 
     def nearest(batches):
         for batch in batches:
@@ -147,12 +173,79 @@ def _blocks(points: DataFrame) -> DataFrame:
     counts = counts.select("label", "cell", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("cuts"), F.floor(before / BLOCK).alias("run"))
     width = F.when(F.col("cuts") > 1, F.struct(F.lit(1).alias("k"), F.col("cell").alias("c"), F.pmod(F.xxhash64("rep"), F.col("cuts")).alias("h")))
     shared = F.struct(F.lit(0).alias("k"), F.floor(F.col("cell") / PIVOTS).alias("c"), F.col("run").alias("h"))
-    dealt = placed.join(counts, ["label", "cell"]).select("rep", F.xxhash64("label", F.coalesce(width, shared)).alias("block"))
+    dealt = placed.join(counts, ["label", "cell"]).select("rep", "cell", F.xxhash64("label", F.coalesce(width, shared)).alias("block"))
     full = points.select("rep", "label", "embedding", "copies").join(dealt, "rep")
-    schema = "label int, block bigint, centre array<double>, radius double, data binary"
+    schema = "label int, block bigint, place bigint, centre array<double>, radius double, data binary"
     return materialize(full.groupBy("label", "block").applyInArrow(_build, schema), "blocks")
 
 
+def _gap(a: str, b: str):
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    return F.sqrt(total)
+
+
+def _nodes(below: DataFrame) -> DataFrame:
+    """The level above ``below`` (label, len, node, centre, radius): one node for TEAM
+    neighbours, around the first one's centre, with the radius that covers all of them."""
+    up = F.floor(F.col("node") / TEAM).cast("long").alias("node")
+    held = below.groupBy("label", "len", up).agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("k"), "centre", "radius"))).alias("c"))
+    held = held.withColumn("centre", F.get("c", F.lit(0))["centre"])
+    reach = F.array_max(F.transform("c", lambda x: x["radius"] + _gap(x["centre"], "centre")))
+    return materialize(held.select("label", "len", "node", "centre", reach.alias("radius")), "nodes")
+
+
+def team_pairs(blocks: DataFrame, limit: float) -> DataFrame:
+    """(label, len, a, b): teams a <= b of a label that may hold points within ``limit``.
+    ``blocks``: (label, len, rank, centre, radius), ranks from 0 in each (label, len)."""
+    levels = [_nodes(blocks.withColumnRenamed("rank", "node"))]
+    while levels[-1].agg(F.max("node")).first()[0]:  # until every label has one node
+        levels.append(_nodes(levels[-1]))
+    pairs = levels[-1].select("label", "len", F.col("node").alias("a"), F.col("node").alias("b"))
+    for level in reversed(levels[:-1]):
+        child = level.withColumn("up", F.floor(F.col("node") / TEAM).cast("long"))
+        one = child.select("label", "len", F.col("up").alias("a"), F.col("node").alias("a2"), F.col("centre").alias("c1"), F.col("radius").alias("r1"))
+        two = child.select("label", "len", F.col("up").alias("b"), F.col("node").alias("b2"), F.col("centre").alias("c2"), F.col("radius").alias("r2"))
+        met = pairs.join(one, ["label", "len", "a"]).join(two, ["label", "len", "b"]).where("a2 <= b2")
+        met = met.where((F.col("a2") == F.col("b2")) | (_gap("c1", "c2") <= F.col("r1") + F.col("r2") + F.lit(limit)))
+        pairs = materialize(met.select("label", "len", F.col("a2").alias("a"), F.col("b2").alias("b")), "pairs")
+    return pairs
+
+
+def meet_teams(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """(rep, links, root) of the blocks of two teams, or of one team with itself."""
+    reps, links, roots = [], [], []
+    limit = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    if left.num_rows and right.num_rows:
+        itself = left.column("a")[0].as_py() == left.column("b")[0].as_py()
+        ours = [_load(d.as_py()) for d in left.column("data")]
+        theirs = ours if itself else [_load(d.as_py()) for d in right.column("data")]
+        for p, a in enumerate(ours):
+            for q, b in enumerate(theirs):
+                same = itself and p == q
+                if itself and q < p:
+                    continue
+                (ca,), (ra,), (cb,), (rb,) = *a["levels"][0][:2], *b["levels"][0][:2]
+                if not same and np.sqrt(max(0.0, 2 - 2 * float(a["unit"][ca] @ b["unit"][cb]))) > ra + rb + limit:
+                    continue
+                i, j = dual_links(a, b, threshold)
+                if same:
+                    i, j = i[i != j], j[i != j]
+                if not len(i):
+                    continue
+                n = len(a["rep"])
+                rep = a["rep"] if same else np.concatenate([a["rep"], b["rep"]])
+                own = np.bincount(i, b["copies"][j], len(rep))
+                if not same:
+                    own += np.bincount(j + n, a["copies"][i], len(rep))
+                root = local_roots(len(rep), i, j if same else j + n)
+                hit = np.nonzero(own)[0]
+                reps.append(rep[hit])
+                links.append(own[hit].astype(np.int64))
+                roots.append(rep[root[hit]])
+    empty = [np.empty(0, np.int64)]
+    return pa.table({n: np.concatenate(v or empty) for n, v in (("rep", reps), ("links", links), ("root", roots))})
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links (bigint), component_id, kept.
 
@@ -165,41 +258,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vectors = vectors.select("vec_id", "embedding", "label")
     points = _points(vectors)
     blocks = _blocks(points)
-    slim = blocks.select("label", "block", "centre", "radius", F.size("centre").alias("len"))
-    right = slim.withColumnsRenamed({c: f"{c}2" for c in slim.columns})
-    apart = F.aggregate(F.zip_with("centre", "centre2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = F.sqrt(apart) <= F.col("radius") + F.col("radius2") + F.lit(float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6))
-    met = slim.join(right, (F.col("label") == F.col("label2")) & (F.col("len") == F.col("len2")) & (F.col("block") <= F.col("block2")))
-    met = met.where((F.col("block") == F.col("block2")) | near).select("block", "block2")
-    data = blocks.select("block", F.col("data").alias("a"))
-    other = blocks.select(F.col("block").alias("block2"), F.col("data").alias("b"))
-    pairs = met.join(data, "block").join(other, "block2")
-
-    def meet(table: pa.Table) -> pa.Table:
-        reps, links, roots = [], [], []
-        for k in range(table.num_rows):
-            same = table.column("block")[k].as_py() == table.column("block2")[k].as_py()
-            a = _load(table.column("a")[k].as_py())
-            b = a if same else _load(table.column("b")[k].as_py())
-            i, j = dual_links(a, b, threshold)
-            if same:
-                i, j = i[i != j], j[i != j]
-            if not len(i):
-                continue
-            n = len(a["rep"])
-            rep = a["rep"] if same else np.concatenate([a["rep"], b["rep"]])
-            own = np.bincount(i, b["copies"][j], len(rep))
-            if not same:
-                own += np.bincount(j + n, a["copies"][i], len(rep))
-            root = local_roots(len(rep), i, j if same else j + n)
-            hit = np.nonzero(own)[0]
-            reps.append(rep[hit])
-            links.append(own[hit].astype(np.int64))
-            roots.append(rep[root[hit]])
-        empty = [np.empty(0, np.int64)]
-        return pa.table({n: np.concatenate(v or empty) for n, v in (("rep", reps), ("links", links), ("root", roots))})
-
-    found = materialize(pairs.groupBy("block", "block2").applyInArrow(meet, "rep bigint, links bigint, root bigint"), "links")
+    slim = blocks.select("label", F.size("centre").alias("len"), "place", "block", "centre", "radius")
+    ranked = ordered_scan(materialize(slim, "slim"), ["label", "len"], ["place", "block"], {"rank": ("row_number",)})
+    ranked = materialize(ranked.withColumn("rank", F.col("rank") - 1), "ranked")
+    limit = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
+    pairs = team_pairs(ranked.select("label", "len", "rank", "centre", "radius"), limit)
+    members = ranked.select("label", "len", "block", F.floor(F.col("rank") / TEAM).cast("long").alias("team"))
+    key = ["label", "len", "a", "b"]
+    left = pairs.join(members.withColumnRenamed("team", "a"), ["label", "len", "a"]).select(*key, "block").join(blocks.select("block", "data"), "block")
+    # a team that meets itself is sent once
+    right = pairs.where("a < b").join(members.withColumnRenamed("team", "b"), ["label", "len", "b"]).select(*key, "block")
+    one = pairs.where("a = b").join(members.withColumnRenamed("team", "b"), ["label", "len", "b"]).select(*key, F.lit(None).cast("bigint").alias("block"))
+    right = right.join(blocks.select("block", "data"), "block").unionByName(one.select("block", *key, F.lit(b"").alias("data")).distinct())
+    right = right.select(*(F.col(c).alias(c) for c in left.columns))  # columns of its own for the cogroup
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: meet_teams(a, b, threshold), "rep bigint, links bigint, root bigint")
+    found = materialize(met, "links")
     components = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = points.join(components, points.rep == components.node, "left").drop("node").join(totals, "rep", "left")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm import maintext, packing, quality, simhash, toxicity
+from lexmill.llm import covertree, maintext, packing, quality, simhash, toxicity
 from lexmill.llm.components import connected
 from lexmill.llm.covertree import near_vectors
 from lexmill.llm.linededup import dedup_lines
@@ -483,7 +483,11 @@ def test_every_link_of_a_page_counts(spark):
 # ---- embeddings
 
 
-def test_near_vectors_by_brute_force(spark):
+@pytest.mark.parametrize("block, team", [(512, 16), (8, 2)])
+def test_near_vectors_by_brute_force(spark, monkeypatch, block, team):
+    """Also with small blocks and teams, so that the tree over them has several levels."""
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    monkeypatch.setattr(covertree, "TEAM", team)
     r = np.random.default_rng(8)
     base = r.normal(size=(40, 16))
     rows = []
@@ -514,6 +518,21 @@ def test_near_vectors_by_brute_force(spark):
     assert near_vectors(docs.limit(0)).count() == 0
 
 
+def test_team_pairs_prune_far_clusters(spark, monkeypatch):
+    """With clusters far apart most pairs of teams are never met, and none is missed."""
+    monkeypatch.setattr(covertree, "TEAM", 2)
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(16, 64))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(1, 64, k, centres[k // 4].tolist(), 0.05) for k in range(64)]
+    blocks = spark.createDataFrame(rows, "label int, len int, rank bigint, centre array<double>, radius double")
+    pairs = {(p.a, p.b) for p in covertree.team_pairs(blocks, 0.37).collect()}
+    wanted = {(a, b) for a in range(32) for b in range(a, 32) if a // 2 == b // 2}
+    assert wanted <= pairs and len(pairs) < 80  # of 528
+    order = covertree.coherent(centres[r.permutation(np.repeat(np.arange(16), 8))])
+    assert sorted(order.tolist()) == list(range(128))
+
+
 # ---- main text
 
 
