@@ -253,10 +253,10 @@ def _range_row(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
 
 
-def auto_bins(df: DataFrame, col: str) -> DataFrame:
+def auto_bins(df: DataFrame, col: str, stored: bool = False) -> DataFrame:
     """(lo, hi, bins): the narrower of the Sturges and Freedman-Diaconis widths,
     the latter ignored when the quartiles coincide."""
-    d = describe_numeric(df, col)
+    d = describe_numeric(df, col, stored=stored)
     span, n = F.col("max") - F.col("min"), F.col("count")
     sturges = span / (F.log2(n) + 1)
     fd = 2 * (F.col("q75") - F.col("q25")) / F.pow(n, F.lit(1.0 / 3.0))
@@ -265,15 +265,23 @@ def auto_bins(df: DataFrame, col: str) -> DataFrame:
     return d.select(F.col("min").alias("lo"), F.col("max").alias("hi"), bins.alias("bins"))
 
 
+def _numbers(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value), written: what the number is taken from is read once."""
+    return materialize(df.select(*by, F.col(col).cast("double").alias("value")), "numbers")
+
+
 def histogram(df: DataFrame, col: str, bins: int | str = 50) -> DataFrame:
-    stats = auto_bins(df, col) if bins == "auto" else _range_row(df, col).withColumn("bins", F.lit(bins))
-    return _binned(df, col, _edges(stats))
+    """Range, bins and counts from numbers that are taken from ``df`` in one scan."""
+    values = _numbers(df, col)
+    stats = auto_bins(values, "value", stored=True) if bins == "auto" else _range_row(values, "value").withColumn("bins", F.lit(bins))
+    return _binned(values, "value", _edges(stats))
 
 
 def histogram_density(df: DataFrame, col: str, by: str, bins: int = 50) -> DataFrame:
     """Histogram per group on shared bins, each scaled to area one."""
-    edges = _edges(_range_row(df, col).withColumn("bins", F.lit(bins)))
-    counts = _binned(df, col, edges, [by])
+    values = _numbers(df, col, [by])
+    edges = _edges(_range_row(values, "value").withColumn("bins", F.lit(bins)))
+    counts = _binned(values, "value", edges, [by])
     whole = Window.partitionBy(by)  # one row per bin
     return counts.withColumn("density", F.col("n") / (F.nullif(F.sum("n").over(whole), F.lit(0)) * F.col("width")))
 
