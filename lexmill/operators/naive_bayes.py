@@ -169,11 +169,20 @@ def train(
     return TrainedText(weights, model, norm)
 
 
-def train_and_evaluate(df: DataFrame, eval_pct: int = 20, key: str = "doc_id", label: str = "label", **params) -> DataFrame:
-    """The whole job: split, features, fit, accuracy per part."""
-    parts = shape.hash_split(df, key, eval_pct)
-    fitted = train(parts.where("part = 'train'"), key=key, label=label, **params)
-    scored = fitted.predict(parts, key, keep=[label, "part"])
+def train_and_evaluate(
+    df: DataFrame, eval_pct: int = 20, key: str = "doc_id", label: str = "label", text: str = "text", min_df: float | int = 1,
+    max_df: float | int = 1.0, max_features: int | None = 10_000, norm: str | None = "l2", alpha: float = 1.0,
+) -> DataFrame:
+    """The whole job: split, features, fit, accuracy per part. The texts of both parts are
+    counted once; vocabulary, weights and model see the training part alone."""
+    docs = shape.hash_split(df.select(key, label), key, eval_pct)
+    counts = materialize(tokens.term_counts(df, key, text), "counts")
+    seen = shape.hash_split(counts, key, eval_pct).where("part = 'train'")
+    n = docs.where("part = 'train'").agg(F.count(F.lit(1))).scalar()
+    weights = materialize(tokens.idf(tokens.build_vocab(seen, n, min_df, max_df, max_features), n), "weights")
+    features = materialize(tokens.tfidf(counts, weights, norm, key, max_features), "features")
+    model = nb_fit_many(features, docs, [Variant(F.col("part") == "train", alpha)], key, label, max_features)
+    scored = nb_predict(features, docs, model, key)
     return scored.groupBy("part").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg((F.col(label) == F.col("prediction")).cast("int")).alias("accuracy")
     )
