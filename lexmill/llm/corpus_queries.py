@@ -121,7 +121,7 @@ c AS (SELECT d.doc_id, d.size, g.*, sum(size) OVER (PARTITION BY k ORDER BY u) -
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 n AS (SELECT *, (CASE WHEN target > 0 THEN least(q + CASE WHEN placed + size / 2 < target - q * source_size THEN 1 ELSE 0 END, 3) ELSE 0 END)::INT AS copies FROM c)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
-  list_transform(range(copies), lambda r: round((CASE k % 3 {_TIMES} END)::DOUBLE, 9)) AS positions
+  coalesce(array_to_string(list_transform(range(copies), lambda r: round((CASE k % 3 {_TIMES} END)::DOUBLE * 1e9)::BIGINT), ','), '') AS positions
 FROM n"""
 
 
@@ -129,7 +129,9 @@ FROM n"""
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mix_plan(documents(spark, folder).select("doc_id", "source", "text"))
     taken = (F.col("size") * F.size("positions")).alias("taken")
-    return plan.select("doc_id", "size", "source_size", "target", taken, F.transform("positions", lambda x: F.round(x, 9)).alias("positions"))
+    # times in billionths, one for each copy
+    times = F.transform("positions", lambda x: F.round(x * 1e9).cast("long").cast("string"))
+    return plan.select("doc_id", "size", "source_size", "target", taken, F.array_join(times, ",").alias("positions"))
 
 
 @query("op9_simhash")
