@@ -11,7 +11,6 @@ question by one ordered scan over documents and envelope together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd

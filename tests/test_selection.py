@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import many_classes, profile, roc, tokens
+from lexmill.operators import many_classes, profile, roc
 
 
 @pytest.mark.parametrize("small", [0, 100_000])
