@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexmill.functions import vectors as vx
-from lexmill.functions.hashing import shuffle_key
-from lexmill.functions.joins import null_safe_join
+from lexmill.functions.joins import hinted, null_safe_join
 from lexmill.functions.ordered import ordered_scan
 from lexmill.session import materialize
 
@@ -58,14 +57,18 @@ def pca_2d(df: DataFrame, vec: str, keep: Sequence[str]) -> DataFrame:
 
 # ---- nearest neighbours in another group ----------------------------------
 #
-# Exact search on unit vectors. Vectors are assigned to the nearest of a few pivots
-# (cells); a cell can hold a neighbour of a vector only if
-#     distance(vector, pivot) - radius(cell) <= bound(vector),
-# where the bound comes from neighbours already known. Cells are cut into blocks of
-# limited size and meet blocks of queries of limited size, and only the best k per
-# query leave a task. Copies of a vector are searched once.
+# Exact search on unit vectors. A tree of cells is grown level by level: a cell with more
+# than ``block`` vectors is cut by pivots drawn from it, until every leaf is small. Each
+# leaf is also a block of queries. It first meets itself, which gives its queries a k-th
+# best distance; then the tree is descended breadth-first, and a node is dropped when
+#     distance(query, centre) - radius(node) > bound(query)
+# holds for every query of the leaf. The nearest leaves that remain are met first, their
+# results lower the bounds, and only leaves still in reach are met after that. No task
+# holds more than two leaves or one leaf and the children of one node.
 
 SLACK = 1e-4  # covers rounding of cosines to 9 places
+SLICE = 16_384  # rows of a cell that meet its pivots in one task
+NEAREST = 8  # leaves met before the bounds are lowered
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -83,7 +86,6 @@ def _best(queries: pd.DataFrame, cands: pd.DataFrame, k: int) -> pd.DataFrame:
         keys = [list(x) for x in cands["keys"]]
         cos = np.round(_matrix(queries["vec"]) @ _matrix(cands["vec"]).T, 9)
         qg, cg = queries["grp"].to_numpy(), cands["grp"].to_numpy()
-        reps = cands["rep"].to_numpy()
         for i, rep in enumerate(queries["rep"].to_numpy()):
             ok = np.flatnonzero(cg != qg[i])
             if not len(ok):
@@ -99,16 +101,116 @@ def _best(queries: pd.DataFrame, cands: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"rep": np.array(out_rep, dtype="int64"), "neighbour": np.array(out_nb, dtype="int64"), "cosine": np.array(out_cos, dtype="float64")})
 
 
-def _per_cell(values: list[int]):
-    return F.array(*[F.lit(int(v)) for v in values])
+def _grow(reps: DataFrame, block: int, fan: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Leaves (rows with ``leaf``, a path such as ``0/3/5``, and ``gaps``, the distance to
+    the centre of each node on it), the centres (node, parent, centre), and the depth."""
+    shape = f"rep long, grp {reps.schema['grp'].dataType.simpleString()}, vec array<double>, keys array<long>, leaf string, gaps array<double>"
+    rows = reps.select("*", F.lit("0").alias("leaf"), F.array().cast("array<double>").alias("gaps"))
+    done, centres, depth = None, None, 0
+    while True:
+        big = materialize(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "big")
+        n_big = big.count()
+        if n_big == 0:
+            return (rows if done is None else done.unionByName(rows)), centres, depth
+        depth += 1
+        tagged = rows.join(hinted(big, n_big), "leaf", "left")
+        small = tagged.where("n IS NULL").drop("n")
+        done = small if done is None else done.unionByName(small)
+        wide = tagged.where("n IS NOT NULL")
+        draw = F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        drawn = wide.where(draw * F.col("n") < max(128, 4 * fan)).groupBy("leaf", "n").agg(
+            F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("draw"), "rep", "vec"))), 1, fan).alias("pivots")
+        )
+        drawn = materialize(drawn, "pivots")
+        slices = F.ceil(F.col("n") / SLICE).cast("int")
+        dealt = wide.withColumn("slice", F.pmod(F.xxhash64("rep"), slices).cast("int")).drop("n")
+        asked = drawn.select("leaf", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("pivots.vec").alias("pivots"))
+
+        def deal(part: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+            gaps = _gaps(_matrix(part["vec"]), np.array(cell["pivots"].iloc[0].tolist(), dtype=np.float64))
+            low = gaps.min(axis=1)
+            near = gaps <= low[:, None] + 1e-9
+            # vectors that no pivot tells apart are dealt in turn, so that every cut makes progress
+            turn = part["rep"].to_numpy() % near.sum(axis=1)
+            child = (np.cumsum(near, axis=1) > turn[:, None]).argmax(axis=1)
+            own = gaps[np.arange(len(part)), child]
+            return part.drop(columns="slice").assign(
+                leaf=[f"{leaf}/{c}" for leaf, c in zip(part["leaf"], child)], gaps=[[*g, own[i]] for i, g in enumerate(part["gaps"])]
+            )[["rep", "grp", "vec", "keys", "leaf", "gaps"]]
+
+        rows = materialize(dealt.groupBy("leaf", "slice").cogroup(asked.groupBy("leaf", "slice")).applyInPandas(deal, shape), "cells")
+        found = drawn.select(F.col("leaf").alias("parent"), F.posexplode("pivots.vec").alias("at", "centre")).select(
+            F.concat_ws("/", "parent", F.col("at").cast("string")).alias("node"), "parent", "centre"
+        )
+        centres = found if centres is None else centres.unionByName(found)
+
+
+def _with_bounds(leaves: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(q, rep, grp, vec, bound): the distance of the k-th neighbour known so far."""
+    known = best.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("worst")).where(F.col("n") >= k)
+    bound = F.when(F.col("worst").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("worst"))))
+    return leaves.join(known, "rep", "left").select(F.col("leaf").alias("q"), "rep", "grp", "vec", F.coalesce(bound, F.lit(math.inf)).alias("bound"))
+
+
+def _descend(asking: DataFrame, nodes: DataFrame, depth: int, k: int) -> DataFrame:
+    """(q, node, near): leaves that may hold a neighbour of a query of leaf ``q``;
+    ``near`` is a lower bound of the distance."""
+    pairs = materialize(asking.select("q").distinct().select("q", F.lit("0").alias("node"), F.lit(math.inf).alias("upper")), "start")
+    reached = None
+
+    def look(part: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
+        gaps = _gaps(_matrix(part["vec"]), _matrix(kids["centre"]))
+        radius, others = kids["radius"].to_numpy(), kids["others"].to_numpy()
+        bound = np.minimum(part["bound"].to_numpy(), kids["upper"].iloc[0])
+        # the nodes whose farthest members still are k others bound the distance, too
+        far = np.where(others > 0, gaps + radius, np.inf)
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(others[order], axis=1) >= k
+        row = np.arange(len(part))
+        by_nodes = np.where(enough.any(axis=1), far[row, order[row, enough.argmax(axis=1)]], np.inf)
+        limit = np.minimum(bound, by_nodes)
+        keep = (gaps - radius <= limit[:, None] + SLACK).any(axis=0)
+        near = (gaps - radius).min(axis=0)
+        return pd.DataFrame({
+            "q": part["q"].iloc[0], "node": kids["node"][keep].to_numpy(), "near": near[keep], "upper": limit.max(), "is_leaf": kids["is_leaf"][keep].to_numpy(),
+        })
+
+    for level in range(1, depth + 1):
+        here = nodes.where(F.col("level") == level)
+        kids = pairs.withColumnRenamed("node", "parent").join(hinted(here, here.count(), 10_000), "parent")
+        askers = asking.join(pairs.select("q", F.col("node").alias("parent")), "q")
+        found = askers.groupBy("q", "parent").cogroup(kids.groupBy("q", "parent")).applyInPandas(
+            lambda a, b: look(a, b) if len(a) and len(b) else pd.DataFrame(columns=["q", "node", "near", "upper", "is_leaf"]),
+            "q string, node string, near double, upper double, is_leaf boolean",
+        )
+        found = materialize(found, "reach")
+        leaf_pairs = found.where("is_leaf AND q <> node").select("q", "node", "near")
+        reached = leaf_pairs if reached is None else reached.unionByName(leaf_pairs)
+        pairs = found.where("NOT is_leaf").select("q", "node", "upper")
+    return reached
+
+
+def _meet(asking: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    def meet(part: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        if len(part) and len(cands):
+            vectors = _matrix(cands["vec"])
+            middle = vectors[(vectors @ vectors.mean(axis=0)).argmax()][None, :]
+            radius = _gaps(vectors, middle).max()
+            part = part[_gaps(_matrix(part["vec"]), middle)[:, 0] - radius <= part["bound"].to_numpy() + SLACK]
+        return _best(part, cands, k)
+
+    left = asking.join(pairs.select("q", "node"), "q")
+    right = leaves.select(F.col("leaf").alias("node"), "rep", "grp", "vec", "keys").join(pairs.select("q", "node"), "node")
+    return left.groupBy("q", "node").cogroup(right.groupBy("q", "node")).applyInPandas(meet, "rep long, neighbour long, cosine double")
 
 
 def cross_group_neighbours(
-    df: DataFrame, key: str, group: str, vec: str, k: int = 3, block: int = 1024, n_pivots: int | None = None
+    df: DataFrame, key: str, group: str, vec: str, k: int = 3, block: int = 2048, fan: int = 32
 ) -> DataFrame:
     """(key, rank, neighbour, cosine): the k most similar vectors of other groups,
-    ties by key. ``key`` is an integer id."""
-    unit = df.select(F.col(key).cast("long").alias("key"), F.col(group).alias("grp"), vx.normalised(vec).alias("vec"))
+    ties by key. ``key`` is an integer id; rows without a vector have no neighbours.
+    Leaves hold at most ``block`` distinct vectors, and a cell is cut by ``fan`` pivots."""
+    unit = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(group).alias("grp"), vx.normalised(vec).alias("vec"))
     # Copies: only the k lowest keys of equal vectors can be neighbours. The filter on
     # row_number is applied before the shuffle, so many copies stay few rows.
     low = Window.partitionBy("grp", "vec").orderBy("key")
@@ -118,77 +220,31 @@ def cross_group_neighbours(
         .select(F.get("keys", F.lit(0)).alias("rep"), "grp", "vec", "keys")
     )
     reps = materialize(reps, "reps")
-    n = reps.count()
-    if n == 0:
-        return unit.select("key", F.lit(1).alias("rank"), F.col("key").alias("neighbour"), F.lit(0.0).alias("cosine"))
-    wanted = n_pivots or max(1, min(1024, round(math.sqrt(n) / 2)))
-    chosen = reps.orderBy(shuffle_key("rep", "pivot"), "rep").limit(wanted).select("vec").collect()
-    pivots = np.array([r[0] for r in chosen], dtype=np.float64)
-    group_type = reps.schema["grp"].dataType.simpleString()
-    base = f"rep long, grp {group_type}, vec array<double>, keys array<long>"
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            gaps = _gaps(_matrix(b["vec"]), pivots) if len(b) else np.zeros((0, 1))
-            cell = gaps.argmin(axis=1) if len(b) else np.zeros(0, dtype=int)
-            yield b.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(b)), cell])
-
-    placed = materialize(reps.mapInPandas(assign, f"{base}, cell int, gap double"), "cells")
-    # One row per cell: at most ``wanted`` rows.
-    per_group = placed.groupBy("cell", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap"))
-    stats = per_group.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max("gap").alias("gap")).collect()
-    size, radius, others = np.zeros(len(pivots)), np.full(len(pivots), -np.inf), np.zeros(len(pivots))
-    for r in stats:
-        size[r.cell], radius[r.cell], others[r.cell] = r.n, r.gap, r.n - r.top
-    n_blocks = [max(1, math.ceil(s / block)) for s in size]
-    blocked = placed.withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.get(_per_cell(n_blocks), F.col("cell"))).cast("int")
+    leaves, centres, depth = _grow(reps, block, max(2, fan))
+    top = Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    own = leaves.select("leaf", "rep", "grp", "vec", "keys").groupBy("leaf").applyInPandas(
+        lambda pdf: _best(pdf, pdf, k), "rep long, neighbour long, cosine double"
     )
-
-    def first_bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Bounds from one block: the k-th neighbour found there."""
-        found = _best(pdf, pdf, k)
-        worst = found.groupby("rep")["cosine"].agg(["min", "size"])
-        worst = worst[worst["size"] >= k]
-        bound = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * worst["min"].to_numpy()))
-        return pd.DataFrame({"rep": worst.index.to_numpy(dtype="int64"), "bound": bound})
-
-    bounds = blocked.groupBy("cell", "block").applyInPandas(first_bound, "rep long, bound double")
-
-    def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order_slack = SLACK
-        for b in batches:
-            if not len(b):
-                continue
-            gaps = _gaps(_matrix(b["vec"]), pivots)
-            known = b["bound"].fillna(np.inf).to_numpy(dtype=float).copy()
-            reach = np.where(others > 0, gaps + radius, np.inf)  # all members of a cell are within
-            order = np.argsort(reach, axis=1)
-            enough = np.cumsum(others[order], axis=1) >= k
-            has = enough.any(axis=1)
-            at = enough.argmax(axis=1)
-            by_cells = np.where(has, reach[np.arange(len(b)), order[np.arange(len(b)), at]], np.inf)
-            limit = np.minimum(known, by_cells) + order_slack
-            row, cell = np.nonzero((gaps - radius <= limit[:, None]) & (size > 0))
-            picked = b.iloc[row][["rep", "grp", "vec"]].reset_index(drop=True)
-            yield picked.assign(cell=cell.astype("int32"))
-
-    asked = blocked.select("rep", "grp", "vec").join(bounds, "rep", "left")
-    queries = materialize(asked.mapInPandas(targets, f"rep long, grp {group_type}, vec array<double>, cell int"), "queries")
-    asked_per_cell = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_chunks = [max(1, math.ceil(asked_per_cell.get(c, 0) / block)) for c in range(len(pivots))]
-    chunk_count = F.get(_per_cell(n_chunks), F.col("cell"))
-    left = queries.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunk_count).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.get(_per_cell(n_blocks), F.col("cell")) - 1))
-    )
-    right = blocked.select("rep", "grp", "vec", "keys", "cell", "block").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), chunk_count - 1))
-    )
-    part = ["cell", "block", "chunk"]
-    found = left.groupBy(*part).cogroup(right.groupBy(*part)).applyInPandas(
-        lambda q, c: _best(q, c, k), "rep long, neighbour long, cosine double"
-    )
-    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour")
-    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    per_vector = reps.select("rep", "grp", "vec").join(top, "rep")
+    if depth == 0:
+        best = own
+    else:
+        best = materialize(own, "best")
+        at = leaves.select("leaf", "grp", F.posexplode("gaps").alias("level", "gap")).withColumn("level", F.col("level") + 1)
+        sums = (
+            at.withColumn("node", F.expr("substring_index(leaf, '/', level + 1)"))
+            .groupBy("node", "level", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap"), F.max(F.col("leaf") == F.col("node")).alias("is_leaf"))
+            .groupBy("node", "level").agg((F.sum("n") - F.max("n")).alias("others"), F.max("gap").alias("radius"), F.max("is_leaf").alias("is_leaf"))
+        )
+        nodes = materialize(centres.join(sums, "node"), "nodes")
+        asking = materialize(_with_bounds(leaves, best, k), "asking")
+        ordered = Window.partitionBy("q").orderBy("near", "node")
+        pairs = materialize(_descend(asking, nodes, depth, k).withColumn("turn", F.row_number().over(ordered)), "pairs")
+        first = _meet(asking, leaves, pairs.where(F.col("turn") <= NEAREST), k)
+        best = materialize(ranked(best.unionByName(first)).drop("rank"), "best")
+        asking = materialize(_with_bounds(leaves, best, k), "asking")
+        reach = asking.groupBy("q").agg(F.max("bound").alias("bound"))
+        rest = pairs.where(F.col("turn") > NEAREST).join(reach, "q").where(F.col("near") <= F.col("bound") + SLACK)
+        best = best.unionByName(_meet(asking, leaves, materialize(rest.select("q", "node"), "rest"), k))
+    per_vector = reps.select("rep", "grp", "vec").join(ranked(best), "rep")
     return null_safe_join(unit, per_vector, ["grp", "vec"]).select("key", "rank", "neighbour", "cosine")

@@ -350,7 +350,7 @@ def test_neighbours_equal_brute_force(spark, clustered):
     v[::3] = v[0]  # a third of the rows are copies
     v[1] = v[2] = 0.0  # and two have no direction
     pdf = pd.DataFrame({"id": np.arange(360), "g": [f"g{(i * 7) % 4}" for i in range(360)], "v": [list(map(float, x)) for x in v]})
-    got = embeddings.cross_group_neighbours(spark.createDataFrame(pdf, "id long, g string, v array<double>"), "id", "g", "v", 4, block=16, n_pivots=7)
+    got = embeddings.cross_group_neighbours(spark.createDataFrame(pdf, "id long, g string, v array<double>"), "id", "g", "v", 4, block=16, fan=4)
     assert {(r.key, r["rank"], r.neighbour) for r in got.collect()} == brute(pdf, 4)
 
 
