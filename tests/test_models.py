@@ -359,6 +359,13 @@ def test_single_group_has_no_neighbours(spark):
     assert embeddings.cross_group_neighbours(df, "id", "g", "v", 2).count() == 0
 
 
+def test_rows_without_a_vector_have_no_neighbours(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "b", None), (4, None, [1.0, 1.0])], "id long, g string, v array<double>")
+    got = {(r.key, r["rank"], r.neighbour) for r in embeddings.cross_group_neighbours(df, "id", "g", "v", 2).collect()}
+    assert got == {(1, 1, 4), (1, 2, 2), (2, 1, 4), (2, 2, 1), (4, 1, 1), (4, 2, 2)}
+    assert embeddings.cross_group_neighbours(df.limit(0), "id", "g", "v", 2).count() == 0
+
+
 def test_anchor_projection(spark):
     df = spark.createDataFrame([("s", 0, [1.0, 2.0, 0.0]), ("s", 1, [0.5, 1.5, 3.0]), ("s", 2, [0.0, 1.0, 1.0]), ("t", 0, [2.0, 0.0, 0.0]),
                                ("p", 0, [1.0, 1.0, 0.0]), ("p", 1, [1.0, 0.0, 5.0]), ("p", 2, [2.0, 2.0, 0.0]), ("z", 0, [0.0, 0.0, 0.0])],
