@@ -249,3 +249,20 @@ def test_tabular(spark):
     assert values(enc.orderBy("k"), F.col("code")) == [0, None, 1]
     classes = tabular.class_table(df, "c")
     assert values(tabular.decode_labels(enc, "code", classes, "back").orderBy("k"), F.col("back")) == ["a", None, "zz"]
+
+
+def test_tasks_follow_the_bytes_of_text(spark, monkeypatch):
+    """A task takes apart a bounded amount of text; repeated and null keys still meet."""
+    rows = [(i % 90 if i % 10 else None, f"Ab cd ab w{i} x{i} y{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lambda: tokens.term_counts(df)
+    grams = lambda: tokens.ngram_counts(df, 1, 3)
+    usual = [sorted(map(tuple, f().collect()), key=str) for f in (counts, grams)]
+    before = [f().rdd.getNumPartitions() for f in (counts, grams)]
+    monkeypatch.setattr(tokens, "TASK_BYTES", 256)
+    assert [sorted(map(tuple, f().collect()), key=str) for f in (counts, grams)] == usual
+    size = sum(len(t) for _, t in rows)
+    assert counts().rdd.getNumPartitions() == -(-size // 256) > before[0]
+    assert grams().rdd.getNumPartitions() == -(-size * 6 // 256) > before[1]
+    index = tokens.word_index(df, num_words=50)
+    assert tokens.to_sequences(df, index, 50).count() == len({k for k, _ in rows})
