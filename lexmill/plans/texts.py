@@ -128,17 +128,17 @@ SUMS = """SELECT doc_id, count(*) AS n_terms, round(sum(weight), 6) AS sum_weigh
 
 @query("t8_tfidf_l2", f"WITH {TFIDF} " + SUMS.format(src="tfidf"))
 def t8(spark, d):
-    return tfidf_sums(tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), "l2"))
+    return tfidf_sums(tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), "l2", max_features=CAP))
 
 
 @query("t8_tfidf_l1", f"WITH {TFIDF}, l1 AS (SELECT doc_id, w / sum(abs(w)) OVER (PARTITION BY doc_id) AS weight FROM raw) " + SUMS.format(src="l1"))
 def t8b(spark, d):
-    return tfidf_sums(tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), "l1"))
+    return tfidf_sums(tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), "l1", max_features=CAP))
 
 
 @query("t8_tfidf_none", f"WITH {TFIDF}, l0 AS (SELECT doc_id, w AS weight FROM raw) " + SUMS.format(src="l0"))
 def t8c(spark, d):
-    return tfidf_sums(tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), "None"))
+    return tfidf_sums(tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), "None", max_features=CAP))
 
 
 @query(
@@ -182,7 +182,7 @@ def t11(spark, d):
     + extremes_sql("m", "mean_weight", places=6),
 )
 def t12(spark, d):
-    weighted = tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d))
+    weighted = tokens.tfidf(tokens.term_counts(docs(spark, d)), weights(spark, d), max_features=CAP)
     means = tokens.mean_tfidf(weighted, n_docs(spark, d), 20)
     return means.withColumn("mean_weight", F.round("mean_weight", 6))
 
