@@ -4,6 +4,11 @@ Every training set (a fold's rest, a prefix of a learning curve) has a vocabular
 inverse document frequency of its own, fitted on its documents alone. Document frequencies
 and totals of all sets are columns of one grouping by term; the limits and the largest
 vocabularies are decided from those. No text is tokenized again, and no row is copied per set.
+
+A row of counts never meets its numbers of all sets in an exchange or on disk, where they
+would be as wide as the sets are many: weights stay factors (``Features``), a number per term
+and set and a number per document and set. Sums over them are taken in blocks of documents;
+to a block go its counts and one row per distinct term.
 """
 
 from __future__ import annotations
@@ -11,12 +16,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill.functions.ordered import ordered_scan
 from lexmill.session import materialize
 
 
+#: Rows of counts in a block.
+BLOCK_ROWS = 1 << 19
+
+
 @dataclass(frozen=True)
 class FeatureSet:
     """``member``: which of the training sets it is fitted on; limits as in a vocabulary:
@@ -69,10 +81,8 @@ def _most_frequent(stats: DataFrame, sets: Sequence[FeatureSet], fits: Sequence[
     return out, ties
 
 
-def feature_weights(counts: DataFrame, docs: DataFrame, members: Sequence[Column], sets: Sequence[FeatureSet], key: str = "doc_id") -> DataFrame:
-    """(key, term, weight): ``weight`` has one number per feature set, null where the term is
-    not in the set's vocabulary. ``counts``: (key, term, tf); ``members``: conditions on the
-    columns of ``docs``, one row per key. All documents get weights, in the set or not."""
+def _vocabulary(counts: DataFrame, docs: DataFrame, members: Sequence[Column], sets: Sequence[FeatureSet], key: str) -> DataFrame:
+    """(term, idf): one number per feature set, null where the term is not in its vocabulary."""
     rows = counts.select(key, "term", "tf").join(docs, key)
     held = [(F.count_if(m).alias(f"df{i}"), F.coalesce(F.sum(F.when(m, F.col("tf"))), F.lit(0)).alias(f"tf{i}")) for i, m in enumerate(members)]
     stats = materialize(rows.groupBy("term").agg(*(c for pair in held for c in pair)), "stats")
@@ -87,7 +97,87 @@ def feature_weights(counts: DataFrame, docs: DataFrame, members: Sequence[Column
         found = stats.join(ties, "term", "left").withColumn("tied", F.coalesce("tied", F.array().cast("array<int>")))
     idf = [F.when(k, F.log(F.lit(sizes[s.member] + 1.0) / (F.col(f"df{s.member}") + 1)) + 1) for s, k in zip(sets, kept)]
     vocab = found.select("term", F.array(*idf).alias("idf")).where(F.exists("idf", lambda x: x.isNotNull()))
-    vocab = materialize(vocab, "vocab")
+    return materialize(vocab, "vocab")
+
+
+@dataclass(frozen=True)
+class Features:
+    """Weights of many sets as factors: ``counts`` (block, key, term, tf), ``idf`` (term, idf)
+    and ``lengths`` (key, length) with one number per set; a weight is tf * idf / length."""
+
+    counts: DataFrame
+    idf: DataFrame
+    lengths: DataFrame
+    key: str = "doc_id"
+
+    def per_document(self, values: DataFrame, powers: Sequence[int]) -> DataFrame:
+        """(key, sums): over the document's terms, tf to its power times ``values`` (term, v)."""
+        needed = self.counts.select("block", "term").distinct().join(values, "term")
+        return _block_sums(self.counts, needed, "term", self.key, powers)
+
+    def per_term(self, values: DataFrame, width: int) -> DataFrame:
+        """(term, sums): over the term's documents, tf times ``values`` (block, key, v)."""
+        parts = _block_sums(self.counts, values, self.key, "term", [1] * width)
+        return parts.groupBy("term").agg(F.array(*[F.sum(F.get("sums", F.lit(j))) for j in range(width)]).alias("sums"))
+
+
+def _block_sums(counts: DataFrame, values: DataFrame, on: str, by: str, powers: Sequence[int]) -> DataFrame:
+    """(by, sums) of every block: tf to the power of its column times the ``v`` that the row
+    finds under ``on``; rows that find none add nothing."""
+    width = len(powers)
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        groups = rows[by].combine_chunks().dictionary_encode()
+        place = pc.index_in(rows[on], value_set=found["_on"].combine_chunks())
+        known = place.is_valid().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy()[known]
+        at = groups.indices.to_numpy()[known]
+        tf = rows["tf"].to_numpy().astype(np.float64)[known]
+        sums = np.zeros((len(groups.dictionary), width))
+        if len(at):
+            lists = found["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for j, power in enumerate(powers):
+                sums[:, j] = np.bincount(at, lists[:, j][place] * tf**power, len(sums))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+        return pa.Table.from_arrays([groups.dictionary, lists], names=[by, "sums"])
+
+    kind = counts.schema[by].dataType.simpleString()
+    # both sides stem from ``counts``: new names keep them apart
+    left = counts.select(F.col("block").alias("_b"), on, by, "tf").groupBy("_b")
+    right = values.select(F.col("block").alias("_c"), F.col(on).alias("_on"), "v").groupBy("_c")
+    return left.cogroup(right).applyInArrow(run, f"{by} {kind}, sums array<double>")
+
+
+def block_of(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def fit_features(
+    counts: DataFrame, docs: DataFrame, members: Sequence[Column], sets: Sequence[FeatureSet], key: str = "doc_id"
+) -> Features:
+    """The features of ``feature_weights`` as factors. ``counts`` is read several times: pass
+    a stored table."""
+    vocab = _vocabulary(counts, docs, members, sets, key)
+    rows = counts.where(F.col(key).isNotNull()).select(key, "term", F.col("tf").cast("long").alias("tf"))
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    dealt = rows.withColumn("block", block_of(key, blocks))
+    found = Features(dealt, vocab, rows, key)
+    squared = [s.norm == "l2" for s in sets]
+    size = [F.coalesce(F.pow(x, F.lit(2)) if sq else F.abs(x), F.lit(0.0)) for sq, x in zip(squared, (F.get("idf", F.lit(i)) for i in range(len(sets))))]
+    sums = found.per_document(vocab.select("term", F.array(*size).alias("v")), [2 if sq else 1 for sq in squared])
+    length = [
+        F.lit(1.0) if s.norm in (None, "None") else (F.sqrt(x) if sq else x)
+        for s, sq, x in zip(sets, squared, (F.get("sums", F.lit(i)) for i in range(len(sets))))
+    ]
+    lengths = materialize(sums.select(key, F.array(*length).alias("length")), "lengths")
+    return Features(dealt, vocab, lengths, key)
+
+
+def feature_weights(counts: DataFrame, docs: DataFrame, members: Sequence[Column], sets: Sequence[FeatureSet], key: str = "doc_id") -> DataFrame:
+    """(key, term, weight): ``weight`` has one number per feature set, null where the term is
+    not in the set's vocabulary. ``counts``: (key, term, tf); ``members``: conditions on the
+    columns of ``docs``, one row per key. All documents get weights, in the set or not."""
+    vocab = _vocabulary(counts, docs, members, sets, key)
     raw = counts.select(key, "term", "tf").join(vocab, "term").select(key, "term", F.transform("idf", lambda x: x * F.col("tf")).alias("raw"))
     doc = Window.partitionBy(key)  # the terms of one document
     lengths = []

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexmill.functions import vectors as vx
 from lexmill.functions.joins import hinted
 from lexmill.operators import shape, tokens
+from lexmill.operators.feature_sets import Features
 from lexmill.session import materialize
 
 
@@ -73,6 +74,13 @@ def nb_fit_many(
         ],
         *[F.max(v.weight()).isNotNull().alias(f"k{i}") for i, v in enumerate(variants)],
     )
+    return _model(sums, docs, classes, variants, label, max_terms)
+
+
+def _model(sums: DataFrame, docs: DataFrame, classes: list, variants: Sequence[Variant], label: str, max_terms: int | None) -> BayesModel:
+    """From (term, s0, s1, ..., k0, ...): a weight sum per variant and class, and whether the
+    variant knows the term."""
+    cells = [(v, c) for v in variants for c in classes]
     sums = materialize(sums, "class_sums")  # read for the totals and for the rows
     # A few numbers per class and variant: the fitted parameters of the model.
     found = sums.agg(*[F.count_if(f"k{i}") for i in range(len(variants))], *[F.sum(f"s{j}") for j in range(len(cells))]).first()
@@ -90,6 +98,38 @@ def nb_fit_many(
     return BayesModel(classes, table, prior, len(variants), max_terms, tuple(variants))
 
 
+def nb_fit_sets(features: Features, docs: DataFrame, variants: Sequence[Variant], label: str = "label") -> BayesModel:
+    """``nb_fit_many`` over features that are kept as factors."""
+    classes, key = label_classes(docs, label), features.key
+    cells = [(v, c) for v in variants for c in classes]
+    of = lambda name, i: F.get(name, F.lit(i))
+    # rows of a document that train a cell, over the document's length in the cell's set
+    hits = docs.groupBy(key).agg(F.array(*[F.count_if(v.member & (F.col(label) == c)) for v, c in cells]).alias("hits"))
+    share = [F.when(of("length", v.features) > 0, of("hits", j) / of("length", v.features)).otherwise(0.0) for j, (v, _) in enumerate(cells)]
+    keyed = features.counts.select("block", key).distinct().join(features.lengths, key).join(hits, key)
+    found = features.per_term(keyed.select("block", key, F.array(*share).alias("v")), len(cells)) if cells else None
+    table = features.idf.join(found, "term", "left") if cells else features.idf
+    sums = table.select(
+        "term",
+        *[F.coalesce(of("idf", v.features) * of("sums", j), F.lit(0.0)).alias(f"s{j}") for j, (v, _) in enumerate(cells)],
+        *[of("idf", v.features).isNotNull().alias(f"k{i}") for i, v in enumerate(variants)],
+    )
+    return _model(sums, docs, classes, variants, label, None)
+
+
+def nb_scores_sets(features: Features, docs: DataFrame, model: BayesModel) -> DataFrame:
+    """``nb_scores`` over features that are kept as factors."""
+    k, key = len(model.classes), features.key
+    at = [v.features for v in model.variants for _ in range(k)]
+    gain = [F.coalesce(F.get("idf", F.lit(i)) * F.get("ll", F.lit(j)), F.lit(0.0)) for j, i in enumerate(at)]
+    values = features.idf.join(model.table, "term").select("term", F.array(*gain).alias("v"))
+    sums = features.per_document(values, [1] * len(at)).join(features.lengths, key)
+    scaled = [F.when(F.get("length", F.lit(i)) > 0, F.get("sums", F.lit(j)) / F.get("length", F.lit(i))) for j, i in enumerate(at)]
+    sums = sums.select(key, F.array(*scaled).alias("_sums"))
+    joint = F.array(*[F.lit(model.prior[j]) + F.coalesce(F.get("_sums", F.lit(j)), F.lit(0.0)) for j in range(len(at))])
+    return docs.join(sums, key, "left").select(*docs.columns, joint.alias("joint"))
+
+
 def nb_fit(weights: DataFrame, docs: DataFrame, alpha: float = 1.0, key: str = "doc_id", label: str = "label", max_terms: int | None = None) -> BayesModel:
     return nb_fit_many(weights, docs, [Variant(F.lit(True), alpha)], key, label, max_terms)
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions.hashing import shuffle_key
 from lexmill.functions.ordered import ordered_scan
-from lexmill.operators.feature_sets import FeatureSet, feature_weights
-from lexmill.operators.naive_bayes import BayesModel, Variant, class_of, nb_fit_many, nb_scores
+from lexmill.operators.feature_sets import FeatureSet, fit_features
+from lexmill.operators.naive_bayes import BayesModel, Variant, class_of, nb_fit_sets, nb_scores_sets
 from lexmill.session import materialize
 
 
@@ -45,11 +45,11 @@ def grid_search_nb(
     """
     dealt = materialize(with_fold(docs.select(key, label), key, label, folds), "folds")
     members = [F.col("fold") != f for f in range(folds)]
-    weights = materialize(feature_weights(counts, dealt, members, [FeatureSet(f, **limits) for f in range(folds)], key), "weights")
+    features = fit_features(counts, dealt, members, [FeatureSet(f, **limits) for f in range(folds)], key)
     trials = [(t, a, f) for t, a in enumerate(alphas) for f in range(folds)]
-    model = nb_fit_many(weights, dealt, [Variant(members[f], a, f) for _, a, f in trials], key, label)
+    model = nb_fit_sets(features, dealt, [Variant(members[f], a, f) for _, a, f in trials], label)
     masks = [{"train": members[f], "test": F.col("fold") == f} for _, _, f in trials]
-    scores = _accuracy(nb_scores(weights, dealt, model, key), model, masks, label)
+    scores = _accuracy(nb_scores_sets(features, dealt, model), model, masks, label)
     names = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(float(a)).alias("alpha"), F.lit(f).alias("fold")) for t, a, f in trials])
     return scores.withColumn("_v", F.get(names, F.col("variant"))).select("_v.*", "part", "n_rows", "score")
 
@@ -65,11 +65,11 @@ def search_objective(counts: DataFrame, docs: DataFrame, settings: Sequence[dict
     members = [F.col("fold") != f for f in range(folds)]
     cells = [(t, f) for t in range(len(settings)) for f in range(folds)]
     sets = [FeatureSet(f, **{k: v for k, v in settings[t].items() if k != "alpha"}) for t, f in cells]
-    weights = materialize(feature_weights(counts, dealt, members, sets, key), "weights")
+    features = fit_features(counts, dealt, members, sets, key)
     variants = [Variant(members[f], settings[t].get("alpha", 1.0), i) for i, (t, f) in enumerate(cells)]
-    model = nb_fit_many(weights, dealt, variants, key, label)
+    model = nb_fit_sets(features, dealt, variants, label)
     masks = [{"train": members[f], "test": F.col("fold") == f} for _, f in cells]
-    scores = _accuracy(nb_scores(weights, dealt, model, key), model, masks, label)
+    scores = _accuracy(nb_scores_sets(features, dealt, model), model, masks, label)
     scores = scores.withColumn("trial", F.floor(F.col("variant") / folds).cast("int"))
     return cv_summary(scores, [], folds).drop("cv_folds")
 
@@ -179,10 +179,10 @@ def learning_curve(
         return F.coalesce(F.try_element_at("tiers", F.lit(f)) <= i, F.lit(False))
 
     members = [member(f, i) for f, i in cells]
-    weights = materialize(feature_weights(counts, ready, members, [FeatureSet(v, **limits) for v in range(len(cells))], key), "weights")
-    model = nb_fit_many(weights, ready, [Variant(m, alpha, v) for v, m in enumerate(members)], key, label)
+    features = fit_features(counts, ready, members, [FeatureSet(v, **limits) for v in range(len(cells))], key)
+    model = nb_fit_sets(features, ready, [Variant(m, alpha, v) for v, m in enumerate(members)], label)
     masks = [{"train": member(f, i), "test": F.col("fold") == f} for f, i in cells]
-    scores = _accuracy(nb_scores(weights, ready, model, key), model, masks, label)
+    scores = _accuracy(nb_scores_sets(features, ready, model), model, masks, label)
     at = (F.col("variant") % len(sizes)).cast("int")
     test, train = (F.when(F.col("part") == p, F.col("score")) for p in ("test", "train"))
     return (

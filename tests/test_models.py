@@ -9,11 +9,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from lexmill.operators import embeddings, estimators, logistic, metrics, naive_bayes, roc, search, telemetry, tokens, tuning
+from lexmill.operators import embeddings, estimators, feature_sets, logistic, metrics, naive_bayes, roc, search, telemetry, tokens, tuning
 from lexmill.operators.feature_sets import FeatureSet, feature_weights
-from lexmill.session import scratch_path
+from lexmill.session import materialize, scratch_path
 from lexmill.streaming import jobs
 
 WORDS = ["red", "blue", "green", "cold", "warm", "wind"]
@@ -411,3 +411,44 @@ def test_stream_goes_on_after_a_restart(spark, corpus):
     assert out.count() == 120 == out.select("doc_id").distinct().count()
     batch = trained.predict(corpus, keep=["label"]).select("doc_id", "prediction")
     assert out.select("doc_id", "prediction").exceptAll(batch).count() == 0
+
+
+def test_no_row_of_counts_is_stored_with_the_numbers_of_all_sets(spark, monkeypatch):
+    """Learning curves keep weights as factors, and factors give the sums of the weights."""
+    rows = [(i, "ab cd" if i % 3 else f"ef gh w{i % 4}", i % 2) for i in range(60)] + [(None, "ab zz", 1), (90, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    stored = []
+
+    def kept(frame, name="table"):
+        stored.append(frame.schema)
+        return materialize(frame, name)
+
+    for module in (tuning, naive_bayes, feature_sets):
+        monkeypatch.setattr(module, "materialize", kept)
+    monkeypatch.setattr(feature_sets, "BLOCK_ROWS", 16)
+    counts, docs = materialize(tokens.term_counts(df), "counts"), df.select("doc_id", "label")
+    curve = tuning.learning_curve(counts, docs, min_df=2).collect()
+    assert len(curve) == 5
+    for schema in stored:
+        wide = any(isinstance(f.dataType, T.ArrayType) for f in schema)
+        assert not (wide and {"doc_id", "term"} <= set(schema.names))
+
+    # folds by key: two sets and norms, null and repeated keys included
+    df = df.union(spark.createDataFrame([(7, "ab yy", 0)], df.schema))
+    counts, docs = materialize(tokens.term_counts(df), "counts"), df.select("doc_id", "label")
+    dealt = docs.withColumn("fold", F.coalesce(F.col("doc_id") % 2, F.lit(0)))
+    members = [F.col("fold") != f for f in range(2)]
+    sets = [feature_sets.FeatureSet(0, min_df=2), feature_sets.FeatureSet(1, norm="l1"), feature_sets.FeatureSet(1, norm=None)]
+    variants = [naive_bayes.Variant(members[s.member], 0.5 + i, i) for i, s in enumerate(sets)]
+    weights = feature_sets.feature_weights(counts, dealt, members, sets)
+    old = naive_bayes.nb_fit_many(weights, dealt, variants)
+    features = feature_sets.fit_features(counts, dealt, members, sets)
+    new = naive_bayes.nb_fit_sets(features, dealt, variants)
+    assert features.counts.select("block").distinct().count() > 1
+    assert new.prior == old.prior
+    expected, found = ({r.term: r.ll for r in m.table.collect()} for m in (old, new))
+    assert found.keys() == expected.keys() and all(found[t] == pytest.approx(expected[t]) for t in found)
+    scored = lambda frame: sorted((str(r.doc_id), r.label, *r.joint) for r in frame.collect())
+    a, b = scored(naive_bayes.nb_scores(weights, dealt, old)), scored(naive_bayes.nb_scores_sets(features, dealt, new))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x for r in b for x in r[2:]] == pytest.approx([x for r in a for x in r[2:]])
