@@ -63,12 +63,15 @@ def pca_2d(df: DataFrame, vec: str, keep: Sequence[str]) -> DataFrame:
 # best distance; then the tree is descended breadth-first, and a node is dropped when
 #     distance(query, centre) - radius(node) > bound(query)
 # holds for every query of the leaf. The nearest leaves that remain are met first, their
-# results lower the bounds, and only leaves still in reach are met after that. No task
-# holds more than two leaves or one leaf and the children of one node.
+# results lower the bounds, and only leaves still in reach are met after that. Leaves meet in
+# teams of neighbours in the tree; no task holds more than two teams, or one leaf and the
+# centres of one level that it reaches.
 
 SLACK = 1e-4  # covers rounding of cosines to 9 places
 SLICE = 16_384  # rows of a cell that meet its pivots in one task
 NEAREST = 8  # leaves met before the bounds are lowered
+TEAM = 16_384  # vectors of leaves that stand side by side in the tree and meet in one task
+CELLS = 1 << 22  # cosines held at once
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -83,21 +86,27 @@ def _best(queries: pd.DataFrame, cands: pd.DataFrame, k: int) -> pd.DataFrame:
     """(rep, neighbour, cosine): best k candidates of another group per query."""
     out_rep, out_nb, out_cos = [], [], []
     if len(queries) and len(cands):
-        keys = [list(x) for x in cands["keys"]]
-        cos = np.round(_matrix(queries["vec"]) @ _matrix(cands["vec"]).T, 9)
+        keys, reps = [list(x) for x in cands["keys"]], queries["rep"].to_numpy()
+        vectors, columns = _matrix(queries["vec"]), _matrix(cands["vec"]).T
         qg, cg = queries["grp"].to_numpy(), cands["grp"].to_numpy()
-        for i, rep in enumerate(queries["rep"].to_numpy()):
-            ok = np.flatnonzero(cg != qg[i])
-            if not len(ok):
-                continue
-            row = cos[i, ok]
-            if len(ok) > k:
-                kth = np.partition(row, len(row) - k)[len(row) - k]
-                ok, row = ok[row >= kth], row[row >= kth]
-            found = sorted((-c, key) for c, at in zip(row, ok) for key in keys[at])[:k]
-            out_rep += [rep] * len(found)
-            out_nb += [key for _, key in found]
-            out_cos += [-c for c, _ in found]
+        if qg.dtype == object or cg.dtype == object:
+            codes = pd.factorize(np.concatenate([qg.astype(object), cg.astype(object)]), use_na_sentinel=False)[0]
+            qg, cg = codes[: len(qg)], codes[len(qg) :]
+        step = max(1, CELLS // len(cg))
+        for low in range(0, len(reps), step):
+            cos = vectors[low : low + step] @ columns
+            cos[qg[low : low + step, None] == cg[None, :]] = -np.inf
+            kth = np.partition(cos, len(cg) - k, axis=1)[:, len(cg) - k] if len(cg) > k else np.full(len(cos), -np.inf)
+            # all that can reach the k-th place after rounding
+            row, at = np.nonzero((cos >= kth[:, None] - 2e-9) & (cos > -np.inf))
+            value = np.round(cos[row, at], 9)
+            ends = np.searchsorted(row, np.arange(len(cos) + 1))
+            for i in range(len(cos)):
+                mine = slice(ends[i], ends[i + 1])
+                found = sorted((-c, key) for c, j in zip(value[mine], at[mine]) for key in keys[j])[:k]
+                out_rep += [reps[low + i]] * len(found)
+                out_nb += [key for _, key in found]
+                out_cos += [-c for c, _ in found]
     return pd.DataFrame({"rep": np.array(out_rep, dtype="int64"), "neighbour": np.array(out_nb, dtype="int64"), "cosine": np.array(out_cos, dtype="float64")})
 
 
@@ -119,9 +128,11 @@ def _grow(reps: DataFrame, block: int, fan: int) -> tuple[DataFrame, DataFrame |
         wide = tagged.where("n IS NOT NULL")
         draw = F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         drawn = wide.where(draw * F.col("n") < max(128, 4 * fan)).groupBy("leaf", "n").agg(
-            F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("draw"), "rep", "vec"))), 1, fan).alias("pivots")
+            F.array_sort(F.collect_list(F.struct(draw.alias("draw"), "rep", "vec"))).alias("pivots")
         )
-        drawn = materialize(drawn, "pivots")
+        # no more pivots than leaves needed: a cell little above the limit is not cut to splinters
+        cuts = F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(F.col("n") * 2 / block))).cast("int")
+        drawn = materialize(drawn.withColumn("pivots", F.slice("pivots", F.lit(1), cuts)), "pivots")
         slices = F.ceil(F.col("n") / SLICE).cast("int")
         dealt = wide.withColumn("slice", F.pmod(F.xxhash64("rep"), slices).cast("int")).drop("n")
         asked = drawn.select("leaf", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("pivots.vec").alias("pivots"))
@@ -175,13 +186,16 @@ def _descend(asking: DataFrame, nodes: DataFrame, depth: int, k: int) -> DataFra
             "q": part["q"].iloc[0], "node": kids["node"][keep].to_numpy(), "near": near[keep], "upper": limit.max(), "is_leaf": kids["is_leaf"][keep].to_numpy(),
         })
 
+    def look_all(part: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
+        found = [look(part, own) for _, own in kids.groupby("parent")] if len(part) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=["q", "node", "near", "upper", "is_leaf"])
+
     for level in range(1, depth + 1):
         here = nodes.where(F.col("level") == level)
         kids = pairs.withColumnRenamed("node", "parent").join(hinted(here, here.count(), 10_000), "parent")
-        askers = asking.join(pairs.select("q", F.col("node").alias("parent")), "q")
-        found = askers.groupBy("q", "parent").cogroup(kids.groupBy("q", "parent")).applyInPandas(
-            lambda a, b: look(a, b) if len(a) and len(b) else pd.DataFrame(columns=["q", "node", "near", "upper", "is_leaf"]),
-            "q string, node string, near double, upper double, is_leaf boolean",
+        # the queries of a leaf move once a level, the centres go to them
+        found = asking.groupBy("q").cogroup(kids.groupBy("q")).applyInPandas(
+            look_all, "q string, node string, near double, upper double, is_leaf boolean"
         )
         found = materialize(found, "reach")
         leaf_pairs = found.where("is_leaf AND q <> node").select("q", "node", "near")
@@ -190,18 +204,40 @@ def _descend(asking: DataFrame, nodes: DataFrame, depth: int, k: int) -> DataFra
     return reached
 
 
-def _meet(asking: DataFrame, leaves: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _teams(leaves: DataFrame) -> DataFrame:
+    """(leaf, at, team): leaves numbered in the order of the tree, some ``TEAM`` vectors to a team."""
+    sizes = materialize(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    placed = ordered_scan(sizes, [], ["leaf"], {"at": ("row_number",), "upto": ("sum", "n")})
+    team = F.floor((F.col("upto") - F.col("n")) / TEAM)
+    return materialize(placed.select("leaf", F.col("at").cast("int").alias("at"), team.cast("int").alias("team")), "teams")
+
+
+def _meet(asking: DataFrame, leaves: DataFrame, pairs: DataFrame, teams: DataFrame, k: int) -> DataFrame:
+    """(rep, neighbour, cosine) of the leaves in ``pairs``. Teams of leaves meet in a task, so
+    that a vector moves once for each team in reach, not for each leaf."""
     def meet(part: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        if len(part) and len(cands):
-            vectors = _matrix(cands["vec"])
+        found = [_best(part.iloc[:0], cands.iloc[:0], k)]
+        cells = {}
+        for at, cell in cands.groupby("at"):
+            vectors = _matrix(cell["vec"])
             middle = vectors[(vectors @ vectors.mean(axis=0)).argmax()][None, :]
-            radius = _gaps(vectors, middle).max()
-            part = part[_gaps(_matrix(part["vec"]), middle)[:, 0] - radius <= part["bound"].to_numpy() + SLACK]
-        return _best(part, cands, k)
-
-    left = asking.join(pairs.select("q", "node"), "q")
-    right = leaves.select(F.col("leaf").alias("node"), "rep", "grp", "vec", "keys").join(pairs.select("q", "node"), "node")
-    return left.groupBy("q", "node").cogroup(right.groupBy("q", "node")).applyInPandas(meet, "rep long, neighbour long, cosine double")
+            cells[at] = cell, middle, _gaps(vectors, middle).max()
+        for _, asked in part.groupby("q"):
+            vectors, bound = _matrix(asked["vec"]), asked["bound"].to_numpy()
+            near = {at: _gaps(vectors, cells[at][1])[:, 0] - cells[at][2] <= bound + SLACK for at in asked["nodes"].iloc[0]}
+            reached = [at for at, hit in near.items() if hit.any()]
+            if reached:
+                some = np.logical_or.reduce([near[at] for at in reached])
+                found.append(_best(asked[some], pd.concat([cells[at][0] for at in reached]), k))
+        return pd.concat(found)
+
+    of = lambda leaf, team: teams.select(F.col("leaf").alias(leaf), F.col("team").alias(team), F.col("at").alias(f"{leaf}_at"))
+    met = materialize(pairs.select("q", "node").join(of("q", "asks"), "q").join(of("node", "holds"), "node"), "met")
+    wanted = met.groupBy("q", "asks", "holds").agg(F.collect_set("node_at").alias("nodes"))
+    left = asking.join(wanted, "q").select("asks", "holds", "q", "nodes", "rep", "grp", "vec", "bound")
+    held = met.select(F.col("node").alias("leaf"), F.col("node_at").alias("at"), F.col("asks").alias("for"), F.col("holds").alias("of")).distinct()
+    right = leaves.join(held, "leaf").select("for", "of", "at", "rep", "grp", "vec", "keys")
+    return left.groupBy("asks", "holds").cogroup(right.groupBy("for", "of")).applyInPandas(meet, "rep long, neighbour long, cosine double")
 
 
 def cross_group_neighbours(
@@ -240,11 +276,12 @@ def cross_group_neighbours(
         asking = materialize(_with_bounds(leaves, best, k), "asking")
         ordered = Window.partitionBy("q").orderBy("near", "node")
         pairs = materialize(_descend(asking, nodes, depth, k).withColumn("turn", F.row_number().over(ordered)), "pairs")
-        first = _meet(asking, leaves, pairs.where(F.col("turn") <= NEAREST), k)
+        teams = _teams(leaves)
+        first = _meet(asking, leaves, pairs.where(F.col("turn") <= NEAREST), teams, k)
         best = materialize(ranked(best.unionByName(first)).drop("rank"), "best")
         asking = materialize(_with_bounds(leaves, best, k), "asking")
         reach = asking.groupBy("q").agg(F.max("bound").alias("bound"))
         rest = pairs.where(F.col("turn") > NEAREST).join(reach, "q").where(F.col("near") <= F.col("bound") + SLACK)
-        best = best.unionByName(_meet(asking, leaves, materialize(rest.select("q", "node"), "rest"), k))
+        best = best.unionByName(_meet(asking, leaves, rest, teams, k))
     per_vector = reps.select("rep", "grp", "vec").join(ranked(best), "rep")
     return null_safe_join(unit, per_vector, ["grp", "vec"]).select("key", "rank", "neighbour", "cosine")

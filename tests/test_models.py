@@ -354,6 +354,24 @@ def test_neighbours_equal_brute_force(spark, clustered):
     assert {(r.key, r["rank"], r.neighbour) for r in got.collect()} == brute(pdf, 4)
 
 
+def test_neighbours_move_by_teams_of_leaves(spark, monkeypatch):
+    """Cells little above the limit are not cut to splinters, and a vector moves once for
+    each team of leaves in reach, whatever the number of leaves."""
+    monkeypatch.setattr(embeddings, "TEAM", 200)
+    monkeypatch.setattr(embeddings, "CELLS", 100)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 8))
+    v[::5] = v[0]
+    pdf = pd.DataFrame({"id": np.arange(600), "g": np.arange(600) % 4, "v": [list(map(float, x)) for x in v]})
+    df = spark.createDataFrame(pdf, "id long, g long, v array<double>")
+    reps = df.selectExpr("id as rep", "g as grp", "v as vec", "array(id) as keys").where("id % 5 <> 0")
+    leaves, _, depth = embeddings._grow(reps, 16, 32)
+    found = embeddings._teams(leaves).collect()
+    assert depth > 1 and len(found) <= 4 * 600 / 16 and len({t.team for t in found}) <= 3
+    got = embeddings.cross_group_neighbours(df, "id", "g", "v", 3, block=16, fan=32)
+    assert {(r.key, r["rank"], r.neighbour) for r in got.collect()} == brute(pdf, 3)
+
+
 def test_single_group_has_no_neighbours(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0])], "id long, g string, v array<double>")
     assert embeddings.cross_group_neighbours(df, "id", "g", "v", 2).count() == 0
