@@ -11,8 +11,10 @@ question by one ordered scan over documents and envelope together.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +23,8 @@ from lexmill.session import materialize
 
 #: Scores that agree to so many digits are a tie, which the first class wins.
 DIGITS = 6
+#: (document, term) cells of a block, and classes that are scored in one task.
+CELLS, PART = 1 << 19, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -86,24 +90,61 @@ def envelope(classes: DataFrame, buckets: int | None = None) -> DataFrame:
     return first.drop("start").withColumn("_b", F.lit(0)).groupBy("_b").applyInPandas(lambda p: hull(p[["class", "prior", "base"]]), schema)
 
 
+def _best_shared(weights: DataFrame, sizes: DataFrame, model: ClassModel, key: str, kind: str) -> DataFrame:
+    """(key, class, score): for every document and part of the classes the best class that
+    shares a term with it. Documents come in blocks of about ``CELLS`` cells, and a block gets
+    the gains of its terms once, as one row per term; so neither the rows of (document, term,
+    class) nor the scores of (document, class) are ever exchanged."""
+    blocks = max(1, math.ceil((sizes.agg(F.sum("_n")).first()[0] or 0) / CELLS))
+    numbered = ordered_scan(model.classes, [], ["class"], {"_no": ("row_number",)})
+    place = (F.col("_no") - 1).cast("long")
+    numbered = materialize(
+        numbered.select("class", "prior", "base", F.floor(place / PART).cast("int").alias("part"), (place % PART).cast("int").alias("at")), "numbered"
+    )
+    rows = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    gains = model.gains.join(numbered.select("class", "part", "at"), "class").groupBy("term", "part").agg(rows("at", "gain").alias("_g"))
+    gains = gains.select("term", "part", F.col("_g.at").alias("at"), F.col("_g.gain").alias("gain"))
+    lines = numbered.groupBy("part").agg(rows("at", "prior", "base").alias("_c"))
+    lines = materialize(lines.select("part", F.col("_c.prior").alias("prior"), F.col("_c.base").alias("base")), "class_lines")
+    cells = weights.where(F.col(key).isNotNull()).withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    held = cells.select("block", "term").distinct().join(gains, "term")
+    none = F.lit(None)
+    given = held.select(F.col("block").alias("to"), F.col("part").alias("of"), F.col("term").alias("word"), "at", "gain", none.cast("array<double>").alias("prior"), none.cast("array<double>").alias("base"))
+    dealt = lines.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    given = given.unionByName(dealt.select("to", F.col("part").alias("of"), none.cast("string").alias("word"), none.cast("array<int>").alias("at"), none.cast("array<double>").alias("gain"), "prior", "base"))
+    asked = cells.crossJoin(F.broadcast(lines.select("part"))).select("block", "part", F.col(key).alias("key"), "term", "weight")
+
+    def best(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        out_key, out_at, out_score = [], [], []
+        terms, line = table[table["word"].notna()], table[table["word"].isna()]
+        if len(part) and len(terms):
+            prior, base = (np.asarray(line[c].iloc[0], dtype="float64") for c in ("prior", "base"))
+            at, gain = terms["at"].to_list(), terms["gain"].to_list()
+            part = part.assign(code=pd.Index(terms["word"]).get_indexer(part["term"]))
+            for name, doc in part.groupby("key", sort=False):
+                weight, code = doc["weight"].to_numpy(), doc["code"].to_numpy()
+                met = [(at[c], w * gain[c]) for c, w in zip(code, weight) if c >= 0]
+                if met:
+                    place = np.concatenate([m[0] for m in met])
+                    sums = np.bincount(place, np.concatenate([m[1] for m in met]), len(prior))
+                    score = np.where(np.bincount(place, minlength=len(prior)) > 0, prior + weight.sum() * base + sums, -np.inf)
+                    first = int(np.argmax(np.round(score, DIGITS)))
+                    out_key.append(name), out_at.append(first), out_score.append(score[first])
+        number = int(table["of"].iloc[0]) if len(table) else 0
+        return pd.DataFrame({"key": pd.Series(out_key, dtype=part["key"].dtype), "part": np.int32(number), "at": np.array(out_at, dtype="int32"), "score": np.array(out_score, dtype="float64")})
+
+    found = asked.groupBy("block", "part").cogroup(given.groupBy("to", "of")).applyInPandas(best, f"key {kind}, part int, at int, score double")
+    return found.join(numbered.select("class", "part", "at"), ["part", "at"]).select(F.col("key").alias(key), "class", "score")
+
+
 def predict_classes(weights: DataFrame, docs: DataFrame, model: ClassModel, key: str = "doc_id") -> DataFrame:
     """``docs`` with ``prediction`` and its log score ``joint``. ``weights`` holds terms of the
     model's vocabulary only. Documents without terms get the most frequent class."""
     weights = weights.select(key, "term", "weight")
-    # common terms are dealt by document too, so that no term fills one task
-    shards = _shards(weights)
-    marked = weights.join(F.broadcast(model.common.withColumn("_common", F.lit(True))), "term", "left")
-    salted = marked.withColumn("_salt", F.when(F.col("_common"), F.pmod(F.xxhash64(key), F.lit(shards))).otherwise(F.lit(0))).drop("_common")
-    gains = model.gains.join(F.broadcast(model.common.withColumn("_common", F.lit(True))), "term", "left")
-    salts = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
-    gains = gains.withColumn("_salt", F.explode(salts)).drop("_common")
-    met = salted.withColumn("_salt", F.col("_salt").cast("bigint")).join(gains, ["term", "_salt"])
-    shared = met.groupBy(key, "class").agg(F.sum(F.col("weight") * F.col("gain")).alias("gain"))
-    sizes = materialize(weights.groupBy(key).agg(F.sum("weight").alias("_w")), "sizes")
-    score = F.round(F.col("prior") + F.col("_w") * F.col("base") + F.col("gain"), DIGITS)
-    # the smallest struct: highest score, then first class; combined before the exchange
-    choice = F.min(F.struct((-score).alias("down"), "class"))
-    shared = shared.join(model.classes, "class").join(sizes, key).groupBy(key).agg(choice.alias("best"))
+    sizes = materialize(weights.groupBy(key).agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_n")), "sizes")
+    shared = _best_shared(weights, sizes, model, key, docs.schema[key].dataType.simpleString())
+    # the smallest struct: highest score, then first class
+    shared = shared.groupBy(key).agg(F.min(F.struct((-F.round("score", DIGITS)).alias("down"), "class")).alias("best"))
     # the highest line at each document's weight, by one scan over lines and documents
     lines = envelope(model.classes).select(
         F.col("start").alias("_w"), F.lit(0).alias("kind"), F.lit(None).cast(docs.schema[key].dataType).alias(key), F.struct("class", "prior", "base").alias("line")

@@ -140,6 +140,25 @@ def test_many_classes_equal_brute_force(spark):
         assert found[k] == (name, pytest.approx(score, abs=2e-6)), k
 
 
+def test_many_classes_meet_by_blocks(spark, monkeypatch):
+    """Blocks of documents meet parts of the classes; a document leaves with one row a part,
+    not with one for each class that it shares a term with."""
+    monkeypatch.setattr(many_classes, "CELLS", 40)
+    monkeypatch.setattr(many_classes, "PART", 4)
+    r = np.random.default_rng(7)
+    doc = lambda k: (k, f"c{k % 18:02d}", {f"w{x}": float(n) for x, n in Counter(r.integers(0, 12, 5).tolist()).items()})
+    train, asked = [doc(k) for k in range(150)], [doc(k) for k in range(200, 240)]
+    wide = lambda rows: spark.createDataFrame([(k, w, x) for k, _, ws in rows for w, x in ws.items()], "doc_id long, term string, weight double")
+    docs = lambda rows: spark.createDataFrame([(k, c) for k, c, _ in rows], "doc_id long, label string")
+    model = many_classes.fit_classes(wide(train), docs(train))
+    sizes = wide(asked).groupBy("doc_id").agg(F.sum("weight").alias("_w"), F.count("*").alias("_n"))
+    rows = many_classes._best_shared(wide(asked), sizes, model, "doc_id", "bigint").collect()
+    assert len(rows) <= 40 * 5 and len({x.doc_id for x in rows}) == 40
+    found = {x.doc_id: (x.prediction, x.joint) for x in many_classes.predict_classes(wide(asked), docs(asked), model).collect()}
+    for k, (name, score) in brute_classes(train, asked).items():
+        assert found[k] == (name, pytest.approx(score, abs=2e-6)), k
+
+
 def test_envelope_is_the_highest_line(spark):
     r = np.random.default_rng(4)
     lines = [(f"c{k}", float(np.round(r.normal(), 2)), float(np.round(-abs(r.normal()), 2))) for k in range(60)] + [("b", 0.1, -0.1), ("a", 0.1, -0.1)]
