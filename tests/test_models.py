@@ -145,6 +145,34 @@ def test_logistic_equals_mllib(spark, corpus):
     assert wider.coefficients.count() == len(ids)
 
 
+def test_logistic_settles_on_values_of_many_sizes(spark, monkeypatch):
+    """A hundred rounds left a gradient far above the tolerance. Several blocks and groups; a
+    key that comes twice counts twice, rows without a key count in the intercept only."""
+    monkeypatch.setattr(logistic, "BLOCK_DOCS", 16, raising=False)
+    monkeypatch.setattr(logistic, "GROUP_CELLS", 100, raising=False)
+    rng = np.random.default_rng(5)
+    rows = [
+        (i, f"t{c:02d}", int(rng.integers(1, 4)) * 30 ** int(rng.integers(0, 3)))
+        for i in range(60) for c in np.flatnonzero(rng.random(30) < 0.4)
+    ]
+    labels = [(i, int(rng.random() < 0.5)) for i in range(60)]
+    values = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    docs = spark.createDataFrame([*labels, (3, 0), (3, 1), (None, 1)], "doc_id long, label int")
+    fit = logistic.fit_logistic(values, docs, tolerance=1e-5)
+    assert fit.gradient <= 1e-5
+    # the gradient from scratch, in one array
+    coef = {r.term: r.coef for r in fit.coefficients.collect()}
+    terms = sorted(coef)
+    x = np.zeros((60, len(terms)))
+    for i, t, v in rows:
+        x[i, terms.index(t)] = v
+    at = [(x[i], y) for i, y in [*labels, (3, 0), (3, 1)]] + [(np.zeros(len(terms)), 1)]
+    u = np.array([coef[t] for t in terms])
+    rest = [1 / (1 + np.exp(-(row @ u + fit.intercept))) - y for row, y in at]
+    g = sum(r * row for r, (row, _) in zip(rest, at)) / len(at) + u / len(at)
+    assert np.abs(g).max() <= 2e-5 and abs(sum(rest)) / len(at) <= 2e-5
+
+
 def test_equal_columns_share_a_coefficient(spark):
     rows = [(1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 1), (2, "c", 1), (3, "d", 1), (2, "e", 1)]
     terms, columns = logistic.equal_columns(spark.createDataFrame(rows, "doc_id long, term string, tf long"))
