@@ -173,6 +173,36 @@ def test_logistic_settles_on_values_of_many_sizes(spark, monkeypatch):
     assert np.abs(g).max() <= 2e-5 and abs(sum(rest)) / len(at) <= 2e-5
 
 
+def test_logistic_rounds_are_one_job_each(spark, corpus, monkeypatch):
+    """Rounds wrote and read tables, several jobs each. With more documents than the driver
+    takes they still do, and the fit is the same."""
+    counts = materialize(tokens.ngram_counts(corpus, 1, 2), "grams")
+    docs = corpus.select("doc_id", "label")
+
+    def run(group):
+        spark.sparkContext.setJobGroup(group, group)
+        fit = logistic.fit_logistic(counts, docs, tolerance=1e-6)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return fit, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    fit, jobs = run("few documents")
+    assert fit.rounds > 10 and jobs <= fit.rounds + 50
+    monkeypatch.setattr(logistic, "TOLD", 0)
+    monkeypatch.setattr(logistic, "PACK_CELLS", 50)
+    tables, more = run("many documents")
+    assert more > jobs
+    want = {r.term: r.coef for r in tables.coefficients.collect()}
+    have = {r.term: r.coef for r in fit.coefficients.collect()}
+    assert have.keys() == want.keys() and np.allclose([have[t] for t in want], list(want.values()), atol=1e-4)
+    assert fit.intercept == pytest.approx(tables.intercept, abs=1e-4)
+
+
+def test_logistic_terms_with_equal_cells_are_one_column():
+    doc, tf = np.array([0, 1, 0, 1, 1, 2, 1]), np.array([2.0, 1, 2, 1, 1, 1, 1])
+    cols = logistic._equal_columns(doc, tf, np.array([0, 2, 4, 5, 6]))
+    assert cols[0] == cols[1] and cols[2] == cols[4] and sorted(set(cols)) == [0, 1, 2]
+
+
 def test_equal_columns_share_a_coefficient(spark):
     rows = [(1, "a", 2), (1, "b", 2), (2, "a", 1), (2, "b", 1), (2, "c", 1), (3, "d", 1), (2, "e", 1)]
     terms, columns = logistic.equal_columns(spark.createDataFrame(rows, "doc_id long, term string, tf long"))
