@@ -202,11 +202,22 @@ def train(
     alpha: float = 1.0, key: str = "doc_id", text: str = "text", label: str = "label",
 ) -> TrainedText:
     """Fit vocabulary, weights and model on labelled documents."""
+    return train_many(df, [alpha], min_df, max_df, max_features, norm, key, text, label)[0]
+
+
+def train_many(
+    df: DataFrame, alphas: Sequence[float], min_df: float | int = 1, max_df: float | int = 1.0, max_features: int | None = 10_000,
+    norm: str | None = "l2", key: str = "doc_id", text: str = "text", label: str = "label",
+) -> list[TrainedText]:
+    """``train`` for several smoothing values, which share vocabulary, weights and one pass."""
     n = df.agg(F.count(F.lit(1))).scalar()
     counts = materialize(tokens.term_counts(df, key, text), "counts")  # read for the vocabulary and the weights
     weights = materialize(tokens.idf(tokens.build_vocab(counts, n, min_df, max_df, max_features), n), "weights")
-    model = nb_fit(tokens.tfidf(counts, weights, norm, key, max_features), df.select(key, label), alpha, key, label, max_features)
-    return TrainedText(weights, model, norm)
+    variants = [Variant(F.lit(True), a) for a in alphas]
+    model = nb_fit_many(tokens.tfidf(counts, weights, norm, key, max_features), df.select(key, label), variants, key, label, max_features)
+    k = len(model.classes)
+    tables = [model.table.select("term", model.at("ll", i).alias("ll")) for i in range(len(alphas))]
+    return [TrainedText(weights, BayesModel(model.classes, t, model.prior[i * k : i * k + k], 1, max_features), norm) for i, t in enumerate(tables)]
 
 
 def train_and_evaluate(

@@ -469,6 +469,18 @@ def test_smooth_idf_stage_equals_long_table(spark, corpus, weighted):
             assert want[(r.doc_id, vocab[i])] == pytest.approx(float(w))
 
 
+def test_grid_search_fits_smoothing_values_together(corpus, monkeypatch):
+    """Each value built the vocabulary of every fold anew."""
+    chain = estimators.nb_chain()
+    bayes = chain.getStages()[-1]
+    search = lambda alphas: {r.params["alpha"]: (r.test_score, r.std) for r in estimators.grid_search(corpus, chain, {bayes.alpha: alphas}, folds=2)[1].collect()}
+    alone = search([0.5])
+    built, build = [], tokens.build_vocab
+    monkeypatch.setattr(tokens, "build_vocab", lambda *a, **k: built.append(1) or build(*a, **k))
+    both = search([0.5, 50.0])
+    assert both[0.5] == alone[0.5] and len(both) == 2 and len(built) == 3  # two folds and the fit on all rows
+
+
 def test_chain_keeps_every_term(corpus):
     model = estimators.nb_chain().fit(corpus)
     assert model.stages[0].trained.model.max_terms is None
